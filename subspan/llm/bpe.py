@@ -143,11 +143,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
     results; other columns are ignored.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(PerfectHash.build(read_ranks(ranks_path)))
+    table_ = PerfectHash.build(read_ranks(ranks_path))
+    shared = spark.sparkContext.broadcast((table_.seeds, table_.keys, table_.values))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, pattern)
+        codec = Codec(PerfectHash(*shared.value), pattern)
         for batch in batches:
             rows = [codec.encode(t) for t in batch.column("text").to_pylist()]
             out = [batch.column("doc_id"), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in rows]), pa.array([hashlib.sha256(codec.decode(r)).hexdigest() for r in rows])]

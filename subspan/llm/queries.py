@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from subspan.llm.ann import OP7_SQL, op7_one_bit_codes
 from subspan.llm.bpe import op5_byte_bpe
 from subspan.llm.mixing import OP2_SQL, op2_mix_sources
 from subspan.llm.sharding import op4_shard_by_splitters
 from subspan.llm.simhash import op10_simhash_positions
+from subspan.llm.toxicity import op9_toxicity
+from subspan.llm.warc import OP6_SQL, op6_warc_segments
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op4_shard_by_splitters": op4_shard_by_splitters,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_warc_segments": op6_warc_segments,
+    "op7_one_bit_codes": op7_one_bit_codes,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash_positions": op10_simhash_positions,
 }
 
 SQL = {
     "op2_mix_sources": OP2_SQL,
+    "op6_warc_segments": OP6_SQL,
+    "op7_one_bit_codes": OP7_SQL,
 }
