@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,3 +37,8 @@ def durable(df: DataFrame) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def process_cache() -> dict:
+    """A dict that lives as long as this Python process, so that a reused worker keeps it between tasks."""
+    return vars(sys.modules.setdefault("subspan_process_cache", types.ModuleType("subspan_process_cache")))
