@@ -261,6 +261,21 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, carry: tuple[st
     return rows.mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.entries, model.weights, model.scale))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*shared.value)
+        scorer, w, scale = Scorer(m.entries), np.array(m.weights), np.array(m.scale)
+        for batch in batches:
+            x = np.array([scorer.features(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
+            s = 1 / (1 + np.exp(-np.clip(x / scale @ w[:-1] + w[-1], -30, 30)))
+            yield batch.filter(pa.array(s < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
