@@ -11,10 +11,12 @@ from subspan.llm.sharding import op4_shard_by_splitters
 from subspan.llm.simhash import op10_simhash_positions
 from subspan.llm.toxicity import op9_toxicity
 from subspan.llm.warc import OP6_SQL, op6_warc_segments
+from subspan.llm.webp import op3_lossless_webp
 
 QUERIES = {
     "op1_pii_weak_labels": op1_pii_weak_labels,
     "op2_mix_sources": op2_mix_sources,
+    "op3_lossless_webp": op3_lossless_webp,
     "op4_shard_by_splitters": op4_shard_by_splitters,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_warc_segments": op6_warc_segments,
