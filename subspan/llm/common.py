@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from subspan.plans.lineage import durable, scratch
+
+__all__ = ["WORD", "durable", "process_cache", "scratch", "table", "text_or_empty"]
+
 #: White space as the contracts count it; words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,23 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the cluster's shared folder (see durable)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="scratch")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is spark.checkpoint.dir. Only a session without one (a test) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
-
-
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subspan.llm.common import durable, table, text_or_empty
-from subspan.llm.graph import connected_components
+from subspan.plans.components import connected_components
 
 SPACE = " \t\x0b\x0c\r"
 
