@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subspan.llm.common import table, text_or_empty
+from subspan.llm.common import process_cache, table, text_or_empty
 
 MASK = (1 << 32) - 1
 
@@ -24,8 +24,8 @@ MASK = (1 << 32) - 1
 class PerfectHash:
     """Minimal perfect hash by displacement: a key's bucket holds the seed that sends it to its slot.
 
-    Slots number the keys without gaps. Foreign keys also land in some slot, so the key kept there
-    is compared.
+    Slots number the keys without gaps. A bucket of one key holds its slot itself, as -1 - slot.
+    Foreign keys also land in some slot, so the key kept there is compared.
     """
 
     seeds: list[int]
@@ -33,7 +33,7 @@ class PerfectHash:
     values: list[int]
 
     @classmethod
-    def build(cls, items: dict[bytes, int], per_bucket: int = 4) -> PerfectHash:
+    def build(cls, items: dict[bytes, int], per_bucket: int = 2) -> PerfectHash:
         n = len(items)
         buckets: list[list[bytes]] = [[] for _ in range(max(1, -(-n // per_bucket)))]
         for key in items:
@@ -41,7 +41,7 @@ class PerfectHash:
         seeds, slots = [0] * len(buckets), [b""] * n
         taken = bytearray(n)
         for b in sorted(range(len(buckets)), key=lambda b: -len(buckets[b])):
-            if not buckets[b]:
+            if len(buckets[b]) < 2:
                 break
             seed = 1
             while True:
@@ -52,13 +52,19 @@ class PerfectHash:
             seeds[b] = seed
             for i, k in zip(at, buckets[b], strict=True):
                 taken[i], slots[i] = 1, k
+        free = (i for i in range(n) if not taken[i])
+        for b, keys in enumerate(buckets):
+            if len(keys) == 1:
+                slot = next(free)
+                seeds[b], slots[slot] = -1 - slot, keys[0]
         return cls(seeds, slots, [items[k] for k in slots])
 
     def get(self, key: bytes) -> int:
         """The key's value, or -1."""
         if not self.keys:
             return -1
-        slot = xxhash.xxh64_intdigest(key, self.seeds[xxhash.xxh64_intdigest(key) % len(self.seeds)]) % len(self.keys)
+        seed = self.seeds[xxhash.xxh64_intdigest(key) % len(self.seeds)]
+        slot = -1 - seed if seed < 0 else xxhash.xxh64_intdigest(key, seed) % len(self.keys)
         return self.values[slot] if self.keys[slot] == key else -1
 
 
@@ -67,62 +73,65 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_bytes(piece: bytes, lookup: PerfectHash) -> list[int]:
-    """Ids of one pre-token: the lowest-ranked adjacent pair, leftmost first, is merged until none is left.
+def merge_bytes(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[bytes]:
+    """Parts of one pre-token: the lowest-ranked adjacent pair, leftmost first, is merged until none is left.
 
-    Parts are a doubly linked list over byte positions; a heap holds (rank, position, end of pair).
-    An entry whose pair has changed since is skipped, so a piece of n bytes takes O(n log n).
+    Parts are a doubly linked list over byte positions; a heap holds rank, position and end of each
+    pair, packed in one number. An entry whose pair has changed since is skipped, so a piece of n
+    bytes takes O(n log n).
     """
     n = len(piece)
+    wide = n.bit_length()
+    low = (1 << wide) - 1
     end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is merged away
     prev = list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        rank = lookup.get(piece[i : i + 2])
-        if rank >= 0:
-            heap.append((rank, i, i + 2))
-    heapq.heapify(heap)
+    heap = [(r << wide | i) << wide | i + 2 for i in prev[1:] if (r := rank_of(piece[i : i + 2])) is not None]
+    heapify(heap)
     while heap:
-        _, i, stop = heapq.heappop(heap)
+        entry = heappop(heap)
+        stop, i = entry & low, entry >> wide & low
         j = end[i]
         if not j or j >= n or end[j] != stop:
             continue
         end[i], end[j] = stop, 0
         if stop < n:
             prev[stop] = i
-            rank = lookup.get(piece[i : end[stop]])
-            if rank >= 0:
-                heapq.heappush(heap, (rank, i, end[stop]))
+            far = end[stop]
+            if (r := rank_of(piece[i:far])) is not None:
+                heappush(heap, (r << wide | i) << wide | far)
         h = prev[i]
-        if h >= 0:
-            rank = lookup.get(piece[h:stop])
-            if rank >= 0:
-                heapq.heappush(heap, (rank, h, stop))
+        if h >= 0 and (r := rank_of(piece[h:stop])) is not None:
+            heappush(heap, (r << wide | h) << wide | stop)
     out, i = [], 0
     while i < n:
-        out.append(lookup.get(piece[i : end[i]]))
+        out.append(piece[i : end[i]])
         i = end[i]
     return out
 
 
 class Codec(dict):
-    """Maps a pre-token to its ids as little-endian 32-bit bytes; a bounded cache over both tiers."""
+    """Maps a pre-token to its ids as little-endian 32-bit bytes; a bounded cache over both tiers.
 
-    def __init__(self, lookup: PerfectHash, pattern: str, room: int = 300_000):
+    A pre-token that the cache lacks is looked up whole in the perfect hash, and merged from bytes
+    if it is no vocabulary entry.
+    """
+
+    def __init__(self, lookup: PerfectHash, pattern: str, room: int = 1_000_000):
         self.lookup, self.room = lookup, room
         self.split = regex.compile(pattern).findall
+        self.ranks = dict(zip(lookup.keys, lookup.values, strict=True))
+        self.packed = {k: v.to_bytes(4, "little") for k, v in self.ranks.items()}
         self.bytes_of = [b""] * (max(lookup.values, default=-1) + 1)
-        for key, value in zip(lookup.keys, lookup.values, strict=True):
+        for key, value in self.ranks.items():
             self.bytes_of[value] = key
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         rank = self.lookup.get(raw)
-        ids = [rank] if rank >= 0 else merge_bytes(raw, self.lookup)
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(self) >= self.room:
-            self.clear()
+        out = rank.to_bytes(4, "little") if rank >= 0 else b"".join(map(self.packed.__getitem__, merge_bytes(raw, self.ranks.get)))
         if len(raw) <= 64:
+            if len(self) >= self.room:
+                self.clear()
             self[piece] = out
         return out
 
@@ -145,10 +154,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
     spark = docs.sparkSession
     table_ = PerfectHash.build(read_ranks(ranks_path))
     shared = spark.sparkContext.broadcast((table_.seeds, table_.keys, table_.values))
+    version = (hashlib.sha256(repr(table_.keys).encode()).hexdigest(), pattern)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(PerfectHash(*shared.value), pattern)
+        kept = process_cache()
+        codec = kept.get("codec") if kept.get("codec_of") == version else None
+        if codec is None:
+            codec = Codec(PerfectHash(*shared.value), pattern)
+            kept.update(codec=codec, codec_of=version)
         for batch in batches:
             rows = [codec.encode(t) for t in batch.column("text").to_pylist()]
             out = [batch.column("doc_id"), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in rows]), pa.array([hashlib.sha256(codec.decode(r)).hexdigest() for r in rows])]
