@@ -261,10 +261,10 @@ def d11_representatives(spark, sf_dir):
     return ch.representatives(label_chunks(spark, sf_dir)).select("entity_id", "chunk_pos", "chunk_id")
 
 
-@query(_half(with_self=True).replace("round(d, 6)", "round(d, 4)"))
+@query(_half(with_self=True).replace("round(d, 6)", "round(d, 3)"))
 def d12_entity_distance_with_self(spark, sf_dir):
-    """To 4 digits: an angle near 0 loses half the digits of its cosine, in any method."""
-    return _distances(spark, sf_dir, 2, "geodesic", with_self=True).withColumn("d", F.round("d", 4))
+    """To 3 digits: an angle near 0 loses half the digits of its cosine, in any method."""
+    return _distances(spark, sf_dir, 2, "geodesic", with_self=True).withColumn("d", F.round("d", 3))
 
 
 @query(_half(duplicates=False))
