@@ -20,8 +20,8 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(doc, text) of the .md files under path; doc is the file name without ending."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1).alias("doc"), F.col("value").alias("text"))
-    return rows
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1).alias("doc"), F.col("value").alias("text"))
 
 
 def write_embeddings(entries: DataFrame, path: str) -> None:

@@ -163,4 +163,4 @@ def run_worker(requests: DataFrame, out: str, worker_id: str = "worker", checkpo
 
 def request_stream(spark: SparkSession, path: str) -> DataFrame:
     """Requests from the text files that appear under path, one JSON document a file."""
-    return spark.readStream.schema("value string").option("wholetext", True).text(path)
+    return spark.readStream.schema("value string").text(path, wholetext=True)

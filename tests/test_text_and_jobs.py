@@ -96,7 +96,7 @@ def test_worker(spark, tmp_path):
     def send(*requests):
         for r in requests:
             n[0] += 1
-            (inbox / f"{n[0]:03d}.json").write_text(r if isinstance(r, str) else json.dumps(r))
+            (inbox / f"{n[0]:03d}.json").write_text(r if isinstance(r, str) else json.dumps(r, indent=1))
         worker.run_worker(worker.request_stream(spark, str(inbox)), out, "w1").awaitTermination()
         return {r["job_id"]: r for r in jobs.read_results(spark.read.text(f"{out}/results")).collect()}
 
