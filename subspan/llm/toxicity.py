@@ -22,7 +22,7 @@ QUOTES = frozenset("\"'“”‘’«»")
 FOLD = str.maketrans("013457", "oieast")
 
 WORDS = re.compile(r"\w+")
-FEATURES = 6
+FEATURES = 7
 
 
 class Trie:
@@ -30,17 +30,23 @@ class Trie:
 
     def __init__(self, entries: dict[str, bool]):
         self.root: dict = {}
-        self.heads, self.tails, self.stems = set(), set(), set()
+        self.halves: set[tuple[int, str, str]] = set()
+        self.sizes: dict[int, set[tuple[int, int]]] = {}
         for entry, stem in entries.items():
             node = self.root
             for c in entry:
                 node = node.setdefault(c, {})
             node[""] = (entry, stem)
-            if stem:
-                self.stems.add(entry[:3])
-            if len(entry) >= 5:  # one edit leaves the first or the second half as it was
-                self.heads.add(entry[:2])
-                self.tails.add(entry[-2:])
+            if not stem and len(entry) >= 5:
+                cut = len(entry) // 2
+                for n in (len(entry) - 1, len(entry), len(entry) + 1):
+                    self.sizes.setdefault(n, set()).add((cut, len(entry) - cut))
+                    self.halves |= {(n, entry[:cut], ""), (n, "", entry[cut:])}
+
+    def may_be_near(self, word: str) -> bool:
+        """Whether a whole-word entry of 5 letters or more can be one edit away: the edit leaves one of its halves as it was."""
+        n = len(word)
+        return any((n, word[:a], "") in self.halves or (n, "", word[-b:]) in self.halves for a, b in self.sizes.get(n, ()))
 
     def exact(self, word: str) -> str | None:
         """The longest entry that is the word, or a stem that it begins with."""
@@ -54,7 +60,7 @@ class Trie:
         return node[""][0] if "" in node else best
 
     def near(self, word: str, most: int) -> str | None:
-        """The entry with the fewest edits from the word, at most `most`; ties to the first by letters.
+        """The whole-word entry with the fewest edits from the word, at most `most`; ties to the first by letters.
 
         The word's Levenshtein automaton is run along the trie. Its state is, for each number of
         edits, the set of positions in the word as bits; a trie letter moves all of them at once.
@@ -68,7 +74,7 @@ class Trie:
         stack = [(self.root, start)]
         while stack:
             node, state = stack.pop()
-            if "" in node and (stop := next((e for e, bits in enumerate(state) if bits & end), None)) is not None:
+            if "" in node and not node[""][1] and (stop := next((e for e, bits in enumerate(state) if bits & end), None)) is not None:
                 best = min(best or (most + 1, ""), (stop, node[""][0]))
             for c, child in node.items():
                 if not c:
@@ -105,12 +111,10 @@ class Scorer:
         t = self.trie
         if t.exact(low):
             return 2
-        if 4 < len(low) < 40 and (low[:2] in t.heads or low[-2:] in t.tails) and t.near(low, 1):
-            return 1
-        return 0
+        return int(t.may_be_near(low) and t.near(low, 1) is not None)
 
     def features(self, text: str, window: int = 8) -> list[float]:
-        """Exact and misspelled terms in abuse and in quotation, their share of the words, and address nearby.
+        """Exact and misspelled terms in abuse and in quotation, their share of the words, address nearby, and whether there is abuse.
 
         A term is quoted if an odd number of quotation marks of a kind stands before it in its line,
         or a word of report within the window before it.
@@ -144,7 +148,7 @@ class Scorer:
                 address += not ADDRESS.isdisjoint(near)
             if exact:
                 terms.add(m.group().lower())
-        return [math.log1p(abuse), math.log1p(misspelt), math.log1p(quoted) + 0.5 * math.log1p(quoted_misspelt), math.log1p(100 * abuse / len(words)), math.log1p(len(terms)), math.log1p(address)]
+        return [math.log1p(abuse), math.log1p(misspelt), math.log1p(quoted) + 0.5 * math.log1p(quoted_misspelt), math.log1p(100 * abuse / len(words)), math.log1p(len(terms)), math.log1p(address), float(abuse > 0)]
 
 
 def held_out(column: str = "doc_id"):
@@ -155,8 +159,8 @@ def learn_lexicon(sample: DataFrame, least: int = 5, most: int = 500) -> dict[st
     """Words and stems (word beginnings of 4 to 8 letters) that mark toxic texts in (text, toxic) rows.
 
     A term is taken if the share of toxic texts among those that hold it is at least 0.9 and is too
-    high for chance among all terms seen: n * KL(share, base rate) over log(terms) + 4. Terms that
-    begin with a chosen stem are left out. Counting is distributed; at most `most` terms return.
+    high for chance among all terms seen: n * KL(share, base rate) over log(terms) + 4. A stem must
+    say clearly more than any longer term it covers; terms that begin with a chosen stem are left out. Counting is distributed; at most `most` terms return.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,16 +194,17 @@ def learn_lexicon(sample: DataFrame, least: int = 5, most: int = 500) -> dict[st
     chosen = terms.where(F.col("gain") > bound).orderBy(F.desc("gain"), "term").limit(most).collect()
     gain = {r["term"]: r["gain"] for r in chosen}
     entries: dict[str, bool] = {}
-    for term in sorted(gain, key=lambda t: (-gain[t], len(t), t)):
-        word = term.rstrip("*")
-        if any(stem and word.startswith(e) or e == word for e, stem in entries.items()):
+    for term in sorted(gain, key=lambda t: (-gain[t], -len(t), t)):
+        word, stem = term.rstrip("*"), term.endswith("*")
+        if any(s and word.startswith(e) or e == word for e, s in entries.items()):
             continue
-        exact = gain.get(word, 0.0)
-        entries[word] = term.endswith("*") and gain[term] > exact * 1.02
+        narrower = max((g for t, g in gain.items() if stem and t != term and t.startswith(word)), default=0.0)
+        if gain[term] > 1.15 * narrower:  # else the longer term says nearly as much and covers fewer clean words
+            entries[word] = stem
     return entries
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Model:
     """Fit the lexicon and the classifier on at most max_labels labelled rows.
 
     Rows whose crc32(doc_id as text) mod 3 is 1 are held out. Of the others, those least by
@@ -220,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> Model:
 
     got = sample.mapInArrow(run, "x array<double>, y double").groupBy("x", "y").count().toPandas()
     if got["y"].nunique() < 2:
-        return Model(entries, (2.0, 0.5, -0.5, 0.5, 1.0, 0.5, -2.0), (1.0,) * FEATURES)
+        return Model(entries, (1.0, 0.5, -0.5, 0.3, 0.7, 0.3, 1.5, -2.5), (1.0,) * FEATURES)
     x, y, n = np.array(got["x"].tolist()), got["y"].to_numpy(), got["count"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the sum does not depend on the order of arrival
     x, y, n = x[order], y[order], n[order]

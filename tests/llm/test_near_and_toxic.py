@@ -242,7 +242,7 @@ def test_stems_and_quotation():
     assert [s.match(w) for w in ("idiot", "IDIOT", "id1ot", "idiots", "idoit", "lowest", "low", "slowe", "ideal")] == [2, 2, 2, 1, 0, 2, 0, 0, 0]
     abuse, quoted, said = (s.features(t) for t in ("you are an idiot here", 'the text has "an idiot" in it', "he called them an idiot there"))
     assert abuse[0] > 0 and abuse[5] > 0 and quoted[0] == said[0] == 0 and quoted[2] > 0 and said[2] > 0
-    assert s.features("") == [0.0] * 6 and s.features("clean words only") == [0.0] * 6
+    assert s.features("") == [0.0] * 7 and s.features("clean words only") == [0.0] * 7
 
 
 def corpus(spark, n=1500):
