@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,5 @@ def pair_blocks(left: DataFrame, right: DataFrame, key: Column, blocks: int, run
 
 def vectors_of(table: pa.Table, column: str, width: int):
     """A column of equally long arrays as a matrix."""
-    import numpy as np
-
     flat = table.column(column).combine_chunks()
-    return np.asarray(flat.flatten()).astype(np.float64, copy=False).reshape(-1, width)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,18 +83,37 @@ def entity_distances(tangents: DataFrame, p: int, metric: str = "geodesic", with
     return pairwise_means(rows, "flat", width, score, with_self=with_self)
 
 
+def mean_directions(chunks: DataFrame) -> DataFrame:
+    """(entity_idx, mean): the mean of each entity's unit vectors. Tasks send sums, so an entity of any size is spread."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("entity_idx").to_numpy()
+            v = vectors_of(pa.table(batch), "vec", len(batch.column("vec")[0]))
+            v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+            order = np.argsort(ids, kind="stable")
+            own, first, n = np.unique(ids[order], return_index=True, return_counts=True)
+            sums = np.add.reduceat(v[order], first, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype("int64")), pa.array(sums.tolist(), pa.list_(pa.float64()))], ["entity_idx", "n", "sums"])
+
+    parts = chunks.select("entity_idx", "vec").mapInArrow(run, "entity_idx long, n long, sums array<double>")
+    parts = parts.select("entity_idx", "n", F.posexplode("sums").alias("pos", "x")).groupBy("entity_idx", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+    listed = parts.groupBy("entity_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("m"))  # as many as dimensions
+    return listed.select("entity_idx", F.transform("m", lambda e: e["x"]).alias("mean"))
+
+
 def cosine_similarities(chunks: DataFrame) -> DataFrame:
-    """(src, dst, d), src < dst: the mean cosine over all pairs of chunks of two entities."""
-    rows = chunks.select("entity_idx", F.col("chunk_pos").alias("ord"), "vec")
-    first = rows.select(F.size("vec")).first()
+    """(src, dst, d), src < dst: the mean cosine over all pairs of chunks of two entities.
+
+    That mean is the inner product of the entities' mean directions, so no pair of chunks is formed.
+    """
+    rows = durable(mean_directions(chunks).withColumn("ord", F.lit(1).cast("long")))
+    first = rows.select(F.size("mean")).first()
     if first is None:
         return chunks.sparkSession.createDataFrame([], HALF)
-
-    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        unit = lambda v: v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-        return unit(a) @ unit(b).T
-
-    return pairwise_means(rows, "vec", first[0], score)
+    return pairwise_means(rows, "mean", first[0], lambda a, b: a @ b.T)
 
 
 def symmetric(half: DataFrame) -> DataFrame:
