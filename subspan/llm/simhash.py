@@ -133,7 +133,7 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096, large: int = 64) ->
     pairs = F.when(F.col("n") > block, F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))).otherwise(F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))))
     rows = rows.withColumn("own", own).withColumn("z", F.explode(pairs)).select("k", "b", F.col("z.x").alias("x"), F.col("z.y").alias("y"), "fp")
     dealt = rows.select(F.xxhash64("k", "b", "x", "y").alias("key"), "fp")
-    dealt = dealt.repartition(spark.conf.get("spark.sql.shuffle.partitions") and int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
 
     def solve(keys: np.ndarray, values: np.ndarray) -> pd.DataFrame:
         cuts = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))[0]
