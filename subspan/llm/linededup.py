@@ -46,25 +46,31 @@ def _keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*parts)
 
 
-def near_links(lines: DataFrame, edits: int = 2, block: int = 256) -> DataFrame:
+def near_links(lines: DataFrame, edits: int = 2, block: int = 256, broadcast_keys: int = 1_000_000) -> DataFrame:
     """(u, v): pairs of line ids within `edits` edits, enough of them to join whatever is joined.
 
-    lines has (h, line) with distinct h, each line long enough for non-empty segments. Index entries
-    and probes meet by key; keys that one line alone holds are dropped. The lines under a key are
-    compared with a banded edit distance and only links leave. A link is left out if a third line
-    with a smaller id is linked to both its ends, which keeps the same lines connected. Keys with
-    over `block` lines are cut into blocks by hash, each pair of blocks on its own.
+    lines has (h, line), repeats allowed, each line long enough for non-empty segments. Index entries
+    and probes meet by key in a combined minimum and maximum of line hashes, which moves no text and
+    takes any number of repeats of a line; keys that one line alone holds are dropped. The lines that
+    meet under the keys left are found by a second pass, to which the keys are broadcast if there are
+    at most broadcast_keys of them, else joined. They are compared with a banded edit distance and
+    only links leave. A link is left out if a third line with a smaller id is linked to both its
+    ends, which keeps the same lines connected. Keys with over `block` lines are cut into blocks by
+    hash, each pair of blocks on its own.
     """
-    rows = lines.select("h", F.explode(_keys(F.col("line"), F.length("line"), edits)).alias("p")).select("h", "p.key", "p.own")
-    per_key = W.partitionBy("key")
-    met = rows.withColumn("n", F.count("*").over(per_key)).where("n > 1").withColumn("owners", F.max("own").over(per_key)).where("owners")
-    met = met.groupBy("key", "h").agg(F.max("own").alias("own"), F.max("n").alias("n"))
+    def rows(*columns: Column) -> DataFrame:
+        return lines.select(*columns, F.explode(_keys(F.col("line"), F.length("line"), edits)).alias("p")).select("*", "p.key", F.col("p.own").cast("int").alias("own")).drop("p")
+
+    held = rows(F.xxhash64("line").alias("x")).groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max("own").alias("own"))
+    keys = durable(held.where("low <> high AND own = 1").select("key"))
+    few = keys.count() <= broadcast_keys
+    met = rows(F.col("h"), F.col("line")).join(F.broadcast(keys) if few else keys, "key").groupBy("key", "h").agg(F.max("own").alias("own"), F.min("line").alias("line"))
+    met = met.withColumn("n", F.count("*").over(W.partitionBy("key")))
     blocks = F.ceil(F.col("n") / block).cast("int")
     met = met.withColumn("at", F.when(F.col("n") > block, F.pmod(F.xxhash64("h"), blocks)).otherwise(F.lit(0)).cast("int"))
     met = met.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("at")).alias("x"), F.greatest(o, F.col("at")).alias("y")))))
-    texts = met.join(lines.select("h", "line"), "h")
-    groups = texts.groupBy("key", "pair").agg(F.sort_array(F.collect_list(F.struct("h", "own", "line"))).alias("m")).where("size(m) > 1")
-    linked = f"(m[i].own or m[j].own) and abs(length(m[i].line) - length(m[j].line)) <= {edits} and levenshtein(m[i].line, m[j].line, {edits}) >= 0"
+    groups = met.groupBy("key", "pair").agg(F.sort_array(F.collect_list(F.struct("h", "own", "line"))).alias("m")).where("size(m) > 1")
+    linked = f"(m[i].own + m[j].own > 0) and abs(length(m[i].line) - length(m[j].line)) <= {edits} and levenshtein(m[i].line, m[j].line, {edits}) >= 0"
     groups = groups.withColumn("adj", F.expr(f"transform(m, (x, i) -> case when i = 0 then array() else filter(sequence(0, i - 1), j -> {linked}) end)"))
     kept = F.expr("flatten(transform(adj, (s, i) -> transform(filter(s, j -> not arrays_overlap(s, adj[j])), j -> struct(m[j].h as u, m[i].h as v))))")
     return groups.select(F.explode(kept).alias("e")).select("e.u", "e.v").distinct()
@@ -83,8 +89,8 @@ def decisions(docs: DataFrame, edits: int = 2, near_from: int = 24) -> DataFrame
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th")]
     split = docs.select(*key, F.posexplode(_lines(text_or_empty())).alias("pos", "raw")).select("doc_id", "th", "pos", _trimmed(F.col("raw")).alias("line")).where("line <> ''")
     spots = durable(split.select("doc_id", "th", "pos", F.unhex(F.md5("line")).alias("h")).distinct())
-    distinct = split.where(F.length("line") >= near_from).select(F.unhex(F.md5("line")).alias("h"), "line").groupBy("h").agg(F.first("line").alias("line"))
-    joined = connected_components(near_links(distinct, edits))
+    long = split.where(F.length("line") >= near_from).select(F.unhex(F.md5("line")).alias("h"), "line")
+    joined = connected_components(near_links(long, edits))
     spots = spots.join(joined.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "th", "pos", F.coalesce("component", "h").alias("class"))
     first = spots.groupBy("class").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"))
     spots = spots.join(first, "class").withColumn("drop", ~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
