@@ -97,12 +97,13 @@ def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: in
     the same kind. Other columns are ignored.
     """
     body = text_or_empty("html").cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"), F.sha1(body).alias("sha"))
-    narrow = rows.select("page_id", "sha").distinct()
+    page = F.col("page_id").cast("long")
+    key = F.coalesce(page.cast("string"), F.lit(""))  # never null, so that join and window share one exchange
+    rows = pages.select(page.alias("page_id"), key.alias("page"), F.col("url").cast("string").alias("url"), body.alias("html"), F.sha1(body).alias("sha"))
     largest = rows.groupBy("sha").agg(F.max("page_id").alias("largest"))
-    roles = narrow.join(largest, "sha")
-    dealt = rows.alias("p").join(roles.alias("r"), (F.col("p.sha") == F.col("r.sha")) & F.col("p.page_id").eqNullSafe(F.col("r.page_id"))).select("p.*", "largest")
-    dealt = dealt.withColumn("copy", F.row_number().over(W.partitionBy("sha", "page_id").orderBy(F.col("url").asc_nulls_first())) - 1)
+    roles = rows.select("page", "sha").distinct().join(largest, "sha")
+    dealt = rows.join(roles, ["page", "sha"])
+    dealt = dealt.withColumn("copy", F.row_number().over(W.partitionBy("page", "sha").orderBy(F.col("url").asc_nulls_first())) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
