@@ -46,7 +46,7 @@ def _keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*parts)
 
 
-def near_links(lines: DataFrame, edits: int = 2, block: int = 256, broadcast_keys: int = 1_000_000) -> DataFrame:
+def near_links(lines: DataFrame, edits: int = 2, block: int = 48, broadcast_keys: int = 1_000_000) -> DataFrame:
     """(u, v): pairs of line ids within `edits` edits, enough of them to join whatever is joined.
 
     lines has (h, line), repeats allowed, each line long enough for non-empty segments. Index entries
@@ -69,6 +69,7 @@ def near_links(lines: DataFrame, edits: int = 2, block: int = 256, broadcast_key
     blocks = F.ceil(F.col("n") / block).cast("int")
     met = met.withColumn("at", F.when(F.col("n") > block, F.pmod(F.xxhash64("h"), blocks)).otherwise(F.lit(0)).cast("int"))
     met = met.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("at")).alias("x"), F.greatest(o, F.col("at")).alias("y")))))
+    met = met.repartition("key", "pair")  # the window has all of a key in one task
     groups = met.groupBy("key", "pair").agg(F.sort_array(F.collect_list(F.struct("h", "own", "line"))).alias("m")).where("size(m) > 1")
     linked = f"(m[i].own + m[j].own > 0) and abs(length(m[i].line) - length(m[j].line)) <= {edits} and levenshtein(m[i].line, m[j].line, {edits}) >= 0"
     groups = groups.withColumn("adj", F.expr(f"transform(m, (x, i) -> case when i = 0 then array() else filter(sequence(0, i - 1), j -> {linked}) end)"))
@@ -92,7 +93,7 @@ def decisions(docs: DataFrame, edits: int = 2, near_from: int = 24) -> DataFrame
     long = split.where(F.length("line") >= near_from).select(F.unhex(F.md5("line")).alias("h"), "line")
     joined = connected_components(near_links(long, edits))
     spots = spots.join(joined.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "th", "pos", F.coalesce("component", "h").alias("class"))
-    first = spots.groupBy("class").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"))
+    first = durable(spots.groupBy("class").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first")))  # stored, so that a class with many lines can be split in the join
     spots = spots.join(first, "class").withColumn("drop", ~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
     return spots.groupBy("doc_id", "th").agg(
         F.count("*").alias("n_lines"), F.count_if("drop").alias("n_dropped"), F.count_distinct("class").alias("n_classes"), F.min("class").alias("class_id"),
