@@ -555,7 +555,8 @@ def i16_spread_by_cluster(spark, sf_dir):
 def j_prefiltered_ranking(spark, sf_dir):
     chunks = durable(label_chunks(spark, sf_dir))
     reps = points(durable(ch.representatives(chunks)))
-    found = ranking.prefiltered(reps.where("id % 7 = 0"), reps, points(chunks), 16, 20)
+    every = points(chunks)
+    found = ranking.prefiltered(reps, every, every, 16, 20)
     return found.withColumn("distance", r6("distance"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from subspan import queries
 from subspan.config import GraphConfig, SpaceConfig, WorkerConfig, parse_broker_url
 from subspan.functions import subspace as sp
 from subspan.functions import vectors as vec
@@ -119,6 +120,27 @@ def test_ranking_known_angles(spark):
     assert [r["id"] for r in got] == [1, 2, 3] and got[0]["distance"] == pytest.approx(math.pi / 6)
 
 
+def test_prefiltered_query_ranks_every_chunk_for_every_representative(spark, tmp_path):
+    rng = np.random.default_rng(31)
+    x, labels = rng.standard_normal((70, 24)), [i % 3 for i in range(70)]
+    spark.createDataFrame([(i, v.tolist(), l, "c") for i, (v, l) in enumerate(zip(x, labels))], "vec_id long, embedding array<double>, label int, code string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    chunks = queries.label_chunks(spark, str(tmp_path)).orderBy("chunk_id").collect()
+    ids, x, owners = [r["chunk_id"] for r in chunks], np.array([r["vec"] for r in chunks]), [r["entity_idx"] for r in chunks]
+    own = [sorted((r["chunk_pos"], i) for i, r in enumerate(chunks) if r["entity_idx"] == e) for e in sorted(set(owners))]
+    reps = [o[r][1] for o in own for r in model.representatives(len(o), 5)]
+    cut = x[:, :16] / np.linalg.norm(x[:, :16], axis=1, keepdims=True)
+    spaces = [model.tangent(x, i, 20, 2) for i in range(70)]
+    got: dict = {}
+    for r in queries.QUERIES["j_prefiltered_ranking"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["distance"]))
+    assert sorted(got) == sorted(ids[i] for i in reps) and len(reps) == 15
+    for i in reps:
+        near = sorted(range(70), key=lambda j: (-float(cut[i] @ cut[j]), ids[j]))[:20]
+        want = {ids[j]: model.distance(spaces[i], spaces[j], "geodesic") for j in near}
+        assert dict(got[ids[i]]) == pytest.approx(want, abs=1e-5)
+        assert [want[c] for c, _ in got[ids[i]]] == pytest.approx(sorted(want.values()), abs=1e-5)
+
+
 @pytest.mark.parametrize("p, metric, m", [(2, "geodesic", 5), (1, "geodesic", 3), (3, "geodesic", 4), (2, "chordal", 2)])
 def test_entity_distances_against_model(spark, p, metric, m):
     rng = np.random.default_rng(4)
