@@ -13,7 +13,7 @@ from subspan.llm.bpe import encode_documents, public_vocabulary
 from subspan.llm.common import scratch, table
 from subspan.llm.linededup import dedup_lines
 from subspan.llm.mixing import mix
-from subspan.llm.simhash import near_duplicates
+from subspan.llm.simhash import components
 from subspan.llm.toxicity import keep_clean, train
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,9 +31,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the least doc_id; documents with a null doc_id count as one."""
-    stay = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each SimHash component one document: the least by doc_id, nulls last, then by the text's md5, null texts first.
+
+    Rows with equal doc_id and text are one document.
+    """
+    rows = docs.select(*COLUMNS, F.coalesce(F.md5("text"), F.lit("")).alias("_md5"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("_md5").alias("md5")))
+    stay = components(rows, carry=("_md5",)).groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias("_id"), F.col("first.md5").alias("_stay"))
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_stay")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_md5"]).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

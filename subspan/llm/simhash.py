@@ -41,15 +41,16 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp) with fp the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, words: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried string columns, fp) with fp the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *carry)], pa.array(fp.view(np.int64))], ["doc_id", *carry, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), *carry, text_or_empty().alias("text"))
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *[f"{c} string" for c in carry], "fp long"]))
 
 
 def posting_sets(bytes_: int = 8, equal: int = 4, size: int = 3) -> list[tuple[int, ...]]:
@@ -164,19 +165,27 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096, large: int = 64) ->
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for each row; component_id is the least doc_id reachable over links.
+    """(doc_id, fp, component_id) for each row; component_id is the least doc_id reachable over links."""
+    return components(docs, words, most).select("doc_id", "fp", "component_id")
+
+
+def components(docs: DataFrame, words: int = 4, most: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried string columns, fp, component, component_id) for each row.
+
+    component is the least fingerprint reachable over links and tells components apart whatever the
+    ids; component_id is the least doc_id in it, null if it has none.
 
     Equal fingerprints are one node of the link graph, so copies are never paired. Documents without
     words, null ones included, have fingerprint 0 and are linked like any other. Repeated rows keep
     their number; an empty table gives an empty result; other columns are ignored.
     """
-    own = durable(fingerprints(docs, words))
+    own = durable(fingerprints(docs, words, carry))
     nodes = durable(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = connected_components(links(nodes.select("fp"), most))
     classes = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = classes.join(lowest, "component").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = classes.join(lowest, "component").select("fp", "component", "component_id")
+    return own.join(by_fp, "fp").select("doc_id", *carry, "fp", "component", "component_id")
 
 
 def op10_simhash_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

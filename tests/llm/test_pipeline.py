@@ -87,6 +87,16 @@ def test_stages_against_plain_versions(spark, sf_dir, tmp_path):
         assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
 
 
+def test_near_dedup_of_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(13)
+    a, b, c, d, e = (" ".join(str(rng.randint(0, 9999)) for _ in range(400)) for _ in range(5))
+    rows = [(2, a), (5, a), (5, b), (None, c), (None, d), (None, d), (None, b), (7, e), (7, e), (7, c), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS)
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(2, a), (5, b), (7, c), (0, d), (7, e), (9, "")])
+    assert [r["text"] for r in got if r["doc_id"] == 9] == [None]
+
+
 def test_run_gives_the_last_stage(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 20
