@@ -133,12 +133,18 @@ class Scorer:
             return [0.0] * FEATURES
         found = [m for m in WORDS.finditer(text)]
         abuse, misspelt, quoted, quoted_misspelt, address, terms = 0, 0, 0, 0, 0, set()
+        at, marks = 0, dict.fromkeys('"“”«»', 0)  # of the line, as far as the text was walked
         for i, m in enumerate(found):
             if m.group() not in hits:
                 continue
             near = [x.group().lower() for x in found[max(0, i - window) : i + window + 1]]
-            line = text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 400) : m.start()]
-            in_marks = line.count('"') % 2 == 1 or line.count("“") > line.count("”") or line.count("«") > line.count("»")
+            begin = text.rfind("\n", at, m.start()) + 1
+            if begin:
+                at, marks = begin, dict.fromkeys(marks, 0)
+            for c in marks:
+                marks[c] += text.count(c, at, m.start())
+            at = m.start()
+            in_marks = marks['"'] % 2 == 1 or marks["“"] > marks["”"] or marks["«"] > marks["»"]
             in_quotation = in_marks or not REPORTS.isdisjoint(near[: min(i, window)])
             exact = seen.get(m.group(), 0) == 2 or self.match(m.group()) == 2
             if in_quotation:

@@ -245,6 +245,15 @@ def test_stems_and_quotation():
     assert s.features("") == [0.0] * 7 and s.features("clean words only") == [0.0] * 7
 
 
+def test_marks_are_counted_over_the_whole_line():
+    s, far = Scorer({"idiot": False}), "clean " * 100
+    quoted = s.features(f'the text has "{far} an idiot" in it')
+    abuse = s.features(f'"{far}" and "more" you idiot')
+    assert quoted[0] == 0 and quoted[2] > 0 and abuse[0] > 0 and abuse[2] == 0
+    lines = s.features(f'"{far} idiot\nan idiot “{far} idiot')  # the second line begins without marks
+    assert lines[0] == pytest.approx(np.log(2)) and lines[2] == pytest.approx(np.log(3))
+
+
 def corpus(spark, n=1500):
     rng = random.Random(9)
     words = ["".join(rng.choice(["ba", "lo", "ti", "re", "mu", "sa"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
