@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -140,15 +141,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bound: float = 2.
     rows, chosen by hash of id, so that what is broadcast does not grow with the data; a second
     block makes the index be stored first.
 
-    Vectors of another length than the commonest (ties to the longer) take no part. A query id that
-    repeats counts once, with its least vector; repeated candidate rows each count. Fewer candidates
-    than k are all returned; without queries the result is empty.
+    Each length of vector has an index of its own, and a query meets the vectors of its length. A
+    query id that repeats counts once for each length, with its least vector; repeated candidate rows
+    each count. Fewer candidates than k are all returned; without queries the result is empty.
     """
+    dims = sorted(r["dim"] for r in queries.select(F.size("vec").alias("dim")).distinct().collect())  # lengths only
+    parts = [p for p in (_search_length(vectors, queries, dim, k, bound, block, seed) for dim in dims) if p is not None]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return reduce(DataFrame.union, parts).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search_length(vectors: DataFrame, queries: DataFrame, dim: int, k: int, bound: float, block: int, seed: int) -> DataFrame | None:
+    """(query_id, vec_id, score): what each task finds for the queries of dim components; None without any."""
     spark, schema = vectors.sparkSession, "query_id long, vec_id long, score double"
-    sizes = vectors.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = sizes["dim"]
     asked = queries.where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec"))
     blocks = max(1, -(-asked.count() // block))
     index = build_index(vectors, dim, seed)
@@ -175,10 +182,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bound: float = 2.
 
         part = index.mapInArrow(run, schema)
         found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 def op7_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,6 +211,18 @@ def test_search_edges(spark):
     assert search(v.where("false"), v.where("false")).collect() == [] and search(v, v.where("false")).collect() == []
 
 
+def test_search_meets_each_length(spark):
+    rng = np.random.default_rng(12)
+    x = [rng.standard_normal(8 if i % 3 else 5) for i in range(60)]
+    got = {}
+    v = usable(vectors(spark, x))
+    for r in search(v, v, bound=9.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for n in (5, 8):
+        ids = [i for i in range(60) if len(x[i]) == n]
+        assert {q: got.get(q) for q in ids} == brute(ids, x, ids)
+
+
 def test_error_bound_holds():
     rng = np.random.default_rng(7)
     x, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
