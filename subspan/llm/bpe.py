@@ -15,17 +15,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subspan.llm.common import process_cache, table, text_or_empty
-
-MASK = (1 << 32) - 1
+from subspan.llm.common import Recent, table, text_or_empty
 
 
 @dataclass(frozen=True)
 class PerfectHash:
     """Minimal perfect hash by displacement: a key's bucket holds the seed that sends it to its slot.
 
-    Slots number the keys without gaps. A bucket of one key holds its slot itself, as -1 - slot.
-    Foreign keys also land in some slot, so the key kept there is compared.
+    A key is hashed once; its bucket, and its slot for a seed, are arithmetic on that hash. Slots
+    number the keys without gaps. A bucket of one key holds its slot itself, as -1 - slot. Foreign
+    keys also land in some slot, so the key kept there is compared.
     """
 
     seeds: list[int]
@@ -43,9 +42,9 @@ class PerfectHash:
         for b in sorted(range(len(buckets)), key=lambda b: -len(buckets[b])):
             if len(buckets[b]) < 2:
                 break
-            seed = 1
+            hashes, seed = [xxhash.xxh64_intdigest(k) for k in buckets[b]], 1
             while True:
-                at = [xxhash.xxh64_intdigest(k, seed) % n for k in buckets[b]]
+                at = [(h * seed >> 32) % n for h in hashes]
                 if len(set(at)) == len(at) and not any(taken[i] for i in at):
                     break
                 seed += 1
@@ -61,11 +60,13 @@ class PerfectHash:
 
     def get(self, key: bytes) -> int:
         """The key's value, or -1."""
-        if not self.keys:
+        keys = self.keys
+        if not keys:
             return -1
-        seed = self.seeds[xxhash.xxh64_intdigest(key) % len(self.seeds)]
-        slot = -1 - seed if seed < 0 else xxhash.xxh64_intdigest(key, seed) % len(self.keys)
-        return self.values[slot] if self.keys[slot] == key else -1
+        h = xxhash.xxh64_intdigest(key)
+        seed = self.seeds[h % len(self.seeds)]
+        slot = -1 - seed if seed < 0 else (h * seed >> 32) % len(keys)
+        return self.values[slot] if keys[slot] == key else -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,8 +74,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_bytes(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[bytes]:
-    """Parts of one pre-token: the lowest-ranked adjacent pair, leftmost first, is merged until none is left.
+def merge_bytes(piece: bytes, rank_of: Callable[[bytes], int]) -> list[bytes]:
+    """Parts of one pre-token: the lowest-ranked adjacent pair, leftmost first, is merged until none has a rank (-1).
 
     Parts are a doubly linked list over byte positions; a heap holds rank, position and end of each
     pair, packed in one number. An entry whose pair has changed since is skipped, so a piece of n
@@ -85,7 +86,7 @@ def merge_bytes(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[by
     low = (1 << wide) - 1
     end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is merged away
     prev = list(range(-1, n - 1))
-    heap = [(r << wide | i) << wide | i + 2 for i in prev[1:] if (r := rank_of(piece[i : i + 2])) is not None]
+    heap = [(r << wide | i) << wide | i + 2 for i in prev[1:] if (r := rank_of(piece[i : i + 2])) >= 0]
     heapify(heap)
     while heap:
         entry = heappop(heap)
@@ -97,10 +98,10 @@ def merge_bytes(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[by
         if stop < n:
             prev[stop] = i
             far = end[stop]
-            if (r := rank_of(piece[i:far])) is not None:
+            if (r := rank_of(piece[i:far])) >= 0:
                 heappush(heap, (r << wide | i) << wide | far)
         h = prev[i]
-        if h >= 0 and (r := rank_of(piece[h:stop])) is not None:
+        if h >= 0 and (r := rank_of(piece[h:stop])) >= 0:
             heappush(heap, (r << wide | h) << wide | stop)
     out, i = [], 0
     while i < n:
@@ -109,31 +110,25 @@ def merge_bytes(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[by
     return out
 
 
-class Codec(dict):
+class Codec(Recent):
     """Maps a pre-token to its ids as little-endian 32-bit bytes; a bounded cache over both tiers.
 
     A pre-token that the cache lacks is looked up whole in the perfect hash, and merged from bytes
-    if it is no vocabulary entry.
+    if it is no vocabulary entry. The perfect hash is the only copy of the vocabulary.
     """
 
-    def __init__(self, lookup: PerfectHash, pattern: str, room: int = 1_000_000):
-        self.lookup, self.room = lookup, room
+    def __init__(self, lookup: PerfectHash, pattern: str, room: int = 50_000):
+        super().__init__(room)
+        self.lookup = lookup
         self.split = regex.compile(pattern).findall
-        self.ranks = dict(zip(lookup.keys, lookup.values, strict=True))
-        self.packed = {k: v.to_bytes(4, "little") for k, v in self.ranks.items()}
         self.bytes_of = [b""] * (max(lookup.values, default=-1) + 1)
-        for key, value in self.ranks.items():
+        for key, value in zip(lookup.keys, lookup.values, strict=True):
             self.bytes_of[value] = key
 
-    def __missing__(self, piece: str) -> bytes:
+    def make(self, piece: str) -> bytes:
         raw = piece.encode()
         rank = self.lookup.get(raw)
-        out = rank.to_bytes(4, "little") if rank >= 0 else b"".join(map(self.packed.__getitem__, merge_bytes(raw, self.ranks.get)))
-        if len(raw) <= 64:
-            if len(self) >= self.room:
-                self.clear()
-            self[piece] = out
-        return out
+        return rank.to_bytes(4, "little") if rank >= 0 else b"".join(self.lookup.get(p).to_bytes(4, "little") for p in merge_bytes(raw, self.lookup.get))
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.split(text)))
@@ -146,7 +141,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row, and the token ids where ids is set.
 
     The driver reads the ranks (a fixed vocabulary of some megabytes) and broadcasts the perfect
-    hash. Each match of pattern is encoded on its own; no special token is known. ids_sha256 is over
+    hash. Each match of pattern is encoded on its own; no special token is known. A task holds the
+    vocabulary once and a cache of at most 100,000 short pre-tokens; nothing outlives it. ids_sha256 is over
     little-endian unsigned 32-bit ids, decoded_sha256 over the bytes that decoding gives back.
     Null and empty texts have no tokens; rows are independent, so repeated rows give repeated
     results; other columns are ignored.
@@ -154,15 +150,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
     spark = docs.sparkSession
     table_ = PerfectHash.build(read_ranks(ranks_path))
     shared = spark.sparkContext.broadcast((table_.seeds, table_.keys, table_.values))
-    version = (hashlib.sha256(repr(table_.keys).encode()).hexdigest(), pattern)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = process_cache()
-        codec = kept.get("codec") if kept.get("codec_of") == version else None
-        if codec is None:
-            codec = Codec(PerfectHash(*shared.value), pattern)
-            kept.update(codec=codec, codec_of=version)
+        codec = Codec(PerfectHash(*shared.value), pattern)  # goes with the task
         for batch in batches:
             rows = [codec.encode(t) for t in batch.column("text").to_pylist()]
             out = [batch.column("doc_id"), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in rows]), pa.array([hashlib.sha256(codec.decode(r)).hexdigest() for r in rows])]

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-import types
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subspan.plans.lineage import durable, scratch
 
-__all__ = ["WORD", "durable", "process_cache", "scratch", "table", "text_or_empty"]
+__all__ = ["WORD", "Recent", "durable", "scratch", "table", "text_or_empty"]
 
 #: White space as the contracts count it; words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +21,27 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def process_cache() -> dict:
-    """A dict that lives as long as this Python process, so that a reused worker keeps it between tasks."""
-    return vars(sys.modules.setdefault("subspan_process_cache", types.ModuleType("subspan_process_cache")))
+class Recent(dict):
+    """A cache of what make(key) gives, for keys of at most `longest` characters; it never holds over 2 * room of them.
+
+    When room keys are held they become the older half, and the half before them goes; a key that is
+    asked for again moves up, so what is frequent stays.
+    """
+
+    def __init__(self, room: int, longest: int = 64):
+        super().__init__()
+        self.room, self.longest, self.older = room, longest, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.room:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
