@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subspan.llm.common import durable, table, text_or_empty
+from subspan.llm.common import Recent, durable, table, text_or_empty
 
 #: Insults known without labels, words that report speech, words of address.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "imbecile", "bastard")
@@ -26,27 +26,47 @@ FEATURES = 7
 
 
 class Trie:
-    """Lexicon entries as nested dicts; "" holds (entry, whether longer words count too)."""
+    """Lexicon entries as nested dicts; "" holds (entry, whether longer words count too).
 
-    def __init__(self, entries: dict[str, bool]):
+    Whole-word entries of at least `word` letters and stems of at least `stem` letters can be met
+    misspelled; shorter ones have too many clean neighbours.
+    """
+
+    def __init__(self, entries: dict[str, bool], word: int = 5, stem: int = 6):
         self.root: dict = {}
         self.halves: set[tuple[int, str, str]] = set()
         self.sizes: dict[int, set[tuple[int, int]]] = {}
-        for entry, stem in entries.items():
+        self.beginnings: dict[tuple[int, int], set[str]] = {}  # halves of stems by place and size
+        self.whole = {e for e, is_stem in entries.items() if not is_stem and len(e) > 3}
+        self.letters = {"".join(sorted(e)) for e in self.whole}
+        for entry, is_stem in entries.items():
             node = self.root
             for c in entry:
                 node = node.setdefault(c, {})
-            node[""] = (entry, stem)
-            if not stem and len(entry) >= 5:
-                cut = len(entry) // 2
+            node[""] = (entry, is_stem)
+            cut = len(entry) // 2
+            if is_stem and len(entry) >= stem:
+                self.beginnings.setdefault((0, cut), set()).add(entry[:cut])
+                for shift in (-1, 0, 1):
+                    self.beginnings.setdefault((cut + shift, len(entry) - cut), set()).add(entry[cut:])
+            elif not is_stem and len(entry) >= word:
                 for n in (len(entry) - 1, len(entry), len(entry) + 1):
                     self.sizes.setdefault(n, set()).add((cut, len(entry) - cut))
                     self.halves |= {(n, entry[:cut], ""), (n, "", entry[cut:])}
+        self.word, self.stem = word, stem
 
     def may_be_near(self, word: str) -> bool:
-        """Whether a whole-word entry of 5 letters or more can be one edit away: the edit leaves one of its halves as it was."""
+        """Whether an entry that can be met misspelled can be one edit away: the edit leaves one of its halves as it was."""
         n = len(word)
-        return any((n, word[:a], "") in self.halves or (n, "", word[-b:]) in self.halves for a, b in self.sizes.get(n, ()))
+        if any((n, word[:a], "") in self.halves or (n, "", word[-b:]) in self.halves for a, b in self.sizes.get(n, ())):
+            return True
+        return any(word[at : at + size] in own for (at, size), own in self.beginnings.items())
+
+    def swapped(self, word: str) -> bool:
+        """Whether the word is a whole-word entry of over 3 letters with two neighbouring letters exchanged."""
+        if "".join(sorted(word)) not in self.letters:
+            return False
+        return any(word[:i] + word[i + 1] + word[i] + word[i + 2 :] in self.whole for i in range(len(word) - 1))
 
     def exact(self, word: str) -> str | None:
         """The longest entry that is the word, or a stem that it begins with."""
@@ -60,10 +80,12 @@ class Trie:
         return node[""][0] if "" in node else best
 
     def near(self, word: str, most: int) -> str | None:
-        """The whole-word entry with the fewest edits from the word, at most `most`; ties to the first by letters.
+        """The entry with the fewest edits from the word, at most `most`; ties to the first by letters.
 
-        The word's Levenshtein automaton is run along the trie. Its state is, for each number of
-        edits, the set of positions in the word as bits; a trie letter moves all of them at once.
+        Of a whole-word entry the edits from the word count, of a stem those from some beginning of
+        the word. The word's Levenshtein automaton is run along the trie. Its state is, for each
+        number of edits, the set of positions in the word as bits; a trie letter moves all of them
+        at once. Entries too short to be met misspelled are met only as they are.
         """
         letters: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -74,8 +96,11 @@ class Trie:
         stack = [(self.root, start)]
         while stack:
             node, state = stack.pop()
-            if "" in node and not node[""][1] and (stop := next((e for e, bits in enumerate(state) if bits & end), None)) is not None:
-                best = min(best or (most + 1, ""), (stop, node[""][0]))
+            if "" in node:
+                entry, is_stem = node[""]
+                stop = next((e for e, bits in enumerate(state) if bits & (full if is_stem else end)), None)
+                if stop is not None and (not stop or len(entry) >= (self.stem if is_stem else self.word)):
+                    best = min(best or (most + 1, ""), (stop, entry))
             for c, child in node.items():
                 if not c:
                     continue
@@ -97,21 +122,21 @@ class Model:
     scale: tuple[float, ...]
 
 
-class Scorer:
-    """Finds lexicon terms in texts; a bounded cache keeps what each word matched."""
+class Scorer(Recent):
+    """Finds lexicon terms in texts. As a dict it tells 2 for a lexicon term, 1 for a misspelled one, else 0; a bounded cache."""
 
-    def __init__(self, entries: dict[str, bool], room: int = 400_000):
-        self.trie, self.room, self.seen = Trie(entries), room, {}
+    def __init__(self, entries: dict[str, bool], room: int = 100_000):
+        super().__init__(room)
+        self.trie = Trie(entries)
 
-    def match(self, word: str) -> int:
-        """2 for a lexicon term, 1 for a misspelled one, else 0."""
+    def make(self, word: str) -> int:
         low = word.lower()
         if any(c in "013457" for c in low) and not low.isdigit():
             low = low.translate(FOLD)
         t = self.trie
         if t.exact(low):
             return 2
-        return int(t.may_be_near(low) and t.near(low, 1) is not None)
+        return int(t.may_be_near(low) and t.near(low, 1) is not None or t.swapped(low))
 
     def features(self, text: str, window: int = 8) -> list[float]:
         """Exact and misspelled terms in abuse and in quotation, their share of the words, address nearby, and whether there is abuse.
@@ -119,16 +144,8 @@ class Scorer:
         A term is quoted if an odd number of quotation marks of a kind stands before it in its line,
         or a word of report within the window before it.
         """
-        words, seen = WORDS.findall(text), self.seen
-        hits = set()
-        for w in set(words):
-            kind = seen.get(w)
-            if kind is None:
-                if len(seen) >= self.room:
-                    seen.clear()
-                kind = seen[w] = self.match(w) if len(w) < 64 else 0
-            if kind:
-                hits.add(w)
+        words = WORDS.findall(text)
+        hits = {w: kind for w in set(words) if (kind := self[w])}
         if not hits:
             return [0.0] * FEATURES
         found = [m for m in WORDS.finditer(text)]
@@ -146,7 +163,7 @@ class Scorer:
             at = m.start()
             in_marks = marks['"'] % 2 == 1 or marks["“"] > marks["”"] or marks["«"] > marks["»"]
             in_quotation = in_marks or not REPORTS.isdisjoint(near[: min(i, window)])
-            exact = seen.get(m.group(), 0) == 2 or self.match(m.group()) == 2
+            exact = hits[m.group()] == 2
             if in_quotation:
                 quoted, quoted_misspelt = quoted + exact, quoted_misspelt + (not exact)
             else:
@@ -161,12 +178,14 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1
 
 
-def learn_lexicon(sample: DataFrame, least: int = 5, most: int = 500) -> dict[str, bool]:
+def learn_lexicon(sample: DataFrame, least: int = 5) -> dict[str, bool]:
     """Words and stems (word beginnings of 4 to 8 letters) that mark toxic texts in (text, toxic) rows.
 
     A term is taken if the share of toxic texts among those that hold it is at least 0.9 and is too
     high for chance among all terms seen: n * KL(share, base rate) over log(terms) + 4. A stem must
-    say clearly more than any longer term it covers; terms that begin with a chosen stem are left out. Counting is distributed; at most `most` terms return.
+    say clearly more than any longer term it covers; terms that begin with a chosen stem are left
+    out. Counting is distributed; the terms that return are bounded by the sample, of which each is
+    in at least `least` toxic texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +193,7 @@ def learn_lexicon(sample: DataFrame, least: int = 5, most: int = 500) -> dict[st
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 own = set()
-                for w in {w.lower() for w in WORDS.findall(text) if 2 < len(w) < 40}:
+                for w in {w.lower() for w in WORDS.findall(text)}:
                     own.add(w)
                     own.update(w[:k] + "*" for k in range(4, min(8, len(w)) + 1))
                 for t in own:
@@ -197,15 +216,19 @@ def learn_lexicon(sample: DataFrame, least: int = 5, most: int = 500) -> dict[st
     spread = F.when(F.col("clean") == 0, total * math.log(1 / base)).otherwise(total * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base))))
     terms = terms.where(f"toxic >= {least}").withColumn("gain", F.when(share >= 0.9, spread).otherwise(0.0))
     bound = math.log(max(1, terms.count())) + 4
-    chosen = terms.where(F.col("gain") > bound).orderBy(F.desc("gain"), "term").limit(most).collect()
-    gain = {r["term"]: r["gain"] for r in chosen}
+    gain = {r["term"]: r["gain"] for r in terms.where(F.col("gain") > bound).collect()}
+    narrower: dict[str, float] = {}  # the best gain among the terms that a stem covers, but for its own
+    for term, g in gain.items():
+        word = term.rstrip("*")
+        for k in range(4, min(8, len(word)) + 1):
+            if word[:k] + "*" != term:
+                narrower[word[:k]] = max(g, narrower.get(word[:k], 0.0))
     entries: dict[str, bool] = {}
     for term in sorted(gain, key=lambda t: (-gain[t], -len(t), t)):
         word, stem = term.rstrip("*"), term.endswith("*")
-        if any(s and word.startswith(e) or e == word for e, s in entries.items()):
+        if word in entries or any(entries.get(word[:k]) for k in range(4, min(8, len(word)) + 1)):
             continue
-        narrower = max((g for t, g in gain.items() if stem and t != term and t.startswith(word)), default=0.0)
-        if gain[term] > 1.15 * narrower:  # else the longer term says nearly as much and covers fewer clean words
+        if not stem or gain[term] > 1.15 * narrower.get(word, 0.0):  # else the longer term says nearly as much and covers fewer clean words
             entries[word] = stem
     return entries
 
@@ -247,6 +270,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Model
     return Model(entries, tuple(w.tolist()), tuple(scale.tolist()))
 
 
+def _scoring(model: Model):
+    """A function from texts to their features and scores, with a cache of its own."""
+    scorer, w, scale = Scorer(model.entries), np.array(model.weights), np.array(model.scale)
+
+    def run(texts: list) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array([scorer.features(t or "") for t in texts]).reshape(-1, FEATURES)
+        return x, 1 / (1 + np.exp(-np.clip(x / scale @ w[:-1] + w[-1], -30, 30)))
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted and the terms' counts for each row, from its text alone.
 
@@ -256,11 +290,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, carry: tuple[st
     shared = docs.sparkSession.sparkContext.broadcast((model.entries, model.weights, model.scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
-        scorer, w, scale = Scorer(m.entries), np.array(m.weights), np.array(m.scale)
+        scored = _scoring(Model(*shared.value))
         for batch in batches:
-            x = np.array([scorer.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
-            s = 1 / (1 + np.exp(-np.clip(x / scale @ w[:-1] + w[-1], -30, 30)))
+            x, s = scored(batch.column("text").to_pylist())
             keep = [batch.column(c) for c in batch.schema.names if c != "text"]
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(s), pa.array((s >= threshold).astype("int32")), pa.array(np.expm1(x[:, 0]).round().astype("int64"))], [*names, "score", "predicted", "n_terms"])
@@ -277,12 +309,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast((model.entries, model.weights, model.scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
-        scorer, w, scale = Scorer(m.entries), np.array(m.weights), np.array(m.scale)
+        scored = _scoring(Model(*shared.value))
         for batch in batches:
-            x = np.array([scorer.features(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
-            s = 1 / (1 + np.exp(-np.clip(x / scale @ w[:-1] + w[-1], -30, 30)))
-            yield batch.filter(pa.array(s < threshold))
+            yield batch.filter(pa.array(scored(batch.column("text").to_pylist())[1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -241,7 +241,7 @@ def test_error_bound_holds():
 def test_automaton_against_edit_distance():
     rng = random.Random(8)
     entries = ["idiot", "moron", "scum", "stupid", "pathetic", "naïve"]
-    trie = Trie(dict.fromkeys(entries, False))
+    trie = Trie(dict.fromkeys(entries, False), word=1)
     for _ in range(600):
         w = edited(rng, rng.choice(entries), rng.randint(0, 3)) if rng.random() < 0.8 else "".join(rng.choice("idotmrnscu") for _ in range(rng.randint(1, 8)))
         for most in (0, 1, 2):
@@ -249,12 +249,28 @@ def test_automaton_against_edit_distance():
             assert trie.near(w, most) == (best[1] if best[0] <= most else None), (w, most)
 
 
+def test_automaton_meets_stems():
+    rng = random.Random(11)
+    entries = {"worthle": True, "disgus": True, "idiot": False, "low": True}
+    trie = Trie(entries)
+    for _ in range(600):
+        w = edited(rng, rng.choice(list(entries)) + rng.choice(["", "ss", "ting"]), rng.randint(0, 2))
+        ways = [(edit_distance(w, "idiot"), "idiot"), *[(min(edit_distance(w[:i], e) for i in range(len(w) + 1)), e) for e, stem in entries.items() if stem]]
+        best = min((x for x in ways if not x[0] or len(x[1]) >= (6 if entries[x[1]] else 5)))
+        assert trie.near(w, 1) == (best[1] if best[0] <= 1 else None), w
+        assert trie.near(w, 1) in (None, "low") or trie.may_be_near(w) or trie.exact(w), w
+
+
 def test_stems_and_quotation():
-    s = Scorer({"idiot": False, "lowe": True})
-    assert [s.match(w) for w in ("idiot", "IDIOT", "id1ot", "idiots", "idoit", "lowest", "low", "slowe", "ideal")] == [2, 2, 2, 1, 0, 2, 0, 0, 0]
+    s = Scorer({"idiot": False, "lowe": True, "scum": False, "disgus": True})
+    words = ("idiot", "IDIOT", "id1ot", "idiots", "idoit", "lowest", "low", "slowe", "ideal", "scum", "scmu", "scam", "dsgusting", "disqusted", "x" * 90)
+    assert [s[w] for w in words] == [2, 2, 2, 1, 1, 2, 0, 0, 0, 2, 1, 0, 1, 1, 0]
+    assert s["disgust" + "x" * 900] == 2 and s["disqust" + "x" * 900] == 1  # words of any length
     abuse, quoted, said = (s.features(t) for t in ("you are an idiot here", 'the text has "an idiot" in it', "he called them an idiot there"))
     assert abuse[0] > 0 and abuse[5] > 0 and quoted[0] == said[0] == 0 and quoted[2] > 0 and said[2] > 0
     assert s.features("") == [0.0] * 7 and s.features("clean words only") == [0.0] * 7
+    few = Scorer({"idiot": False}, room=3)
+    assert few.features("a b c d e f g h idiot i j k") == Scorer({"idiot": False}).features("a b c d e f g h idiot i j k") and len(few) + len(few.older) <= 6
 
 
 def test_marks_are_counted_over_the_whole_line():
