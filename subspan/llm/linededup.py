@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subspan.llm.common import durable, table, text_or_empty
@@ -35,79 +34,216 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(line: Column, length: Column, edits: int) -> Column:
-    """The line's index entries (own) and probes as (key, own) structs; probes at no shift and length are the entries."""
-    parts = []
-    for d, k, shift in probes(edits):
-        size = length - d
-        start, end = F.floor(size * k / (edits + 1)), F.floor(size * (k + 1) / (edits + 1))
-        piece = F.substring(line, (start + shift + 1).cast("int"), (end - start).cast("int"))
-        parts.append(F.struct(F.xxhash64(F.lit(k), size, piece).alias("key"), F.lit(d == 0 and shift == 0).alias("own")))
-    return F.array(*parts)
-
-
-def near_links(lines: DataFrame, edits: int = 2, block: int = 48, broadcast_keys: int = 1_000_000) -> DataFrame:
-    """(u, v): pairs of line ids within `edits` edits, enough of them to join whatever is joined.
-
-    lines has (h, line), repeats allowed, each line long enough for non-empty segments. Index entries
-    and probes meet by key in a combined minimum and maximum of line hashes, which moves no text and
-    takes any number of repeats of a line; keys that one line alone holds are dropped. The lines that
-    meet under the keys left are found by a second pass, to which the keys are broadcast if there are
-    at most broadcast_keys of them, else joined. They are compared with a banded edit distance and
-    only links leave. A link is left out if a third line with a smaller id is linked to both its
-    ends, which keeps the same lines connected. Keys with over `block` lines are cut into blocks by
-    hash, each pair of blocks on its own.
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """How many characters two strings begin with in common, found by halving steps (up to 2 ** 18)."""
+    steps = F.array(*[F.lit(1 << n) for n in range(17, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda p, n: p + F.when(F.substring(a, p + 1, n) == F.substring(b, p + 1, n), n).otherwise(0))
+    return F.least(found, F.length(a), F.length(b))
+
+
+def _word(a: Column, b: Column, most: int) -> Column:
+    """Which prefixes of a (an array of characters) are within how many edits of all of b (another), as a word.
+
+    Bit-parallel over the band: the word holds, for each number of edits up to most, a lane of
+    2 * most + 1 bits, one for each diagonal; a bit is set if the diagonal can be reached with so
+    many edits. A character of b moves all lanes at once: along the diagonal where characters agree,
+    and from the lane below by a substitution, an insertion or a deletion. An empty word is the end.
     """
-    def rows(*columns: Column) -> DataFrame:
-        return lines.select(*columns, F.explode(_keys(F.col("line"), F.length("line"), edits)).alias("p")).select("*", "p.key", F.col("p.own").cast("int").alias("own")).drop("p")
+    wide = 2 * most + 1
+    lanes = range(most + 1)
+    every = (1 << wide * (most + 1)) - 1
+    low, top = (sum(1 << wide * e + at for e in lanes) for at in (0, wide - 1))
+    start = sum(1 << wide * e + most + o for e in lanes for o in range(e + 1))
+
+    def step(word: Column, i: Column) -> Column:
+        c = F.get(b, i)
+        hits = sum(F.when(F.get(a, i + o) == c, F.lit(sum(1 << wide * e + most + o for e in lanes)).cast("long")).otherwise(F.lit(0).cast("long")) for o in range(-most, most + 1))
+        below = F.shiftleft(word, wide).bitwiseAND(F.lit(every).cast("long"))
+        moved = word.bitwiseAND(hits).bitwiseOR(below).bitwiseOR(F.shiftright(below.bitwiseAND(F.lit(every - low).cast("long")), 1))
+        for _ in range(most):
+            moved = _let(moved, lambda x: x.bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(every - top).cast("long")), wide + 1).bitwiseAND(F.lit(every).cast("long"))))
+        return F.when(word == 0, word).otherwise(moved)
+
+    moved = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.lit(start).cast("long"), step)
+    return F.when(F.size(b) > 0, moved).otherwise(F.lit(start).cast("long"))
+
+
+def edit_distance(a: Column, b: Column, most: int, first: int = 24) -> Column:
+    """The edit distance of two strings, or most + 1 if it is more than most; in characters, whatever their length.
+
+    What both begin and end with is cut off. Of long rests the first characters are compared alone:
+    if no diagonal survives these, none survives all.
+    """
+    letters = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
+    word = lambda x, y: _let(F.struct(letters(x).alias("a"), letters(y).alias("b")), lambda z: _word(z["a"], z["b"], most))
+
+    def of(x: Column, y: Column) -> Column:
+        end = F.length(x) - F.length(y) + most
+        full = _let(word(x, y), lambda w: F.coalesce(*[F.when(F.getbit(w, ((2 * most + 1) * e + end).cast("int")) == 1, e) for e in range(most + 1)], F.lit(most + 1)))
+        begin = word(F.substring(x, F.lit(1), F.lit(first + 2 * most)), F.substring(y, F.lit(1), F.lit(first)))
+        return F.when(F.length(y) <= first + 2 * most, full).when(begin != 0, full).otherwise(most + 1)
+
+    def trimmed(x: Column, y: Column) -> Column:
+        rest = _let(_shared(x, y), lambda p: F.struct(F.substr(x, p + 1).alias("a"), F.substr(y, p + 1).alias("b")))
+        return _let(rest, lambda r: _let(_shared(F.reverse(r["a"]), F.reverse(r["b"])), lambda p: F.struct(F.substring(r["a"], F.lit(1), F.length(r["a"]) - p).alias("a"), F.substring(r["b"], F.lit(1), F.length(r["b"]) - p).alias("b"))))
+
+    ordered = F.when(F.length(a) <= F.length(b), F.struct(a.alias("a"), b.alias("b"))).otherwise(F.struct(b.alias("a"), a.alias("b")))
+    near = _let(ordered, lambda o: _let(trimmed(o["a"], o["b"]), lambda r: of(r["a"], r["b"])))
+    return F.when(F.abs(F.length(a) - F.length(b)) > most, most + 1).otherwise(near)
+
+
+def allowed(length: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """The edits that lines may differ in, of which the shorter one has this length."""
+    out = F.lit(0)
+    for least, edits in bands:
+        out = F.when(length >= least, edits).otherwise(out)
+    return out
+
+
+def _entries(text: Column, edits: Column | None, path: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """The text's index entries (own) and probes as structs; probes at no shift and length are the entries.
 
-    held = rows(F.xxhash64("line").alias("x")).groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max("own").alias("own"))
+    A struct holds key, own, edits, and where the piece stands: start, wide, and the length of the
+    line that is cut (size). Without edits these follow from the length of the shorter line.
+    """
+    n = F.length(text)
+
+    def parts(most: int, least: int, below: int | None) -> list[Column]:
+        out = []
+        for d, k, shift in probes(most):
+            size = n - d
+            start, end = F.floor(size * k / (most + 1)).cast("int"), F.floor(size * (k + 1) / (most + 1)).cast("int")
+            key = F.xxhash64(path, F.lit(most), F.lit(k), size, F.substring(text, start + shift + 1, end - start))
+            piece = F.struct(key.alias("key"), F.lit(int(d == 0 and shift == 0)).alias("own"), F.lit(most).alias("edits"), (start + shift).alias("start"), (end - start).alias("wide"), size.alias("size"))
+            out.append(piece if below is None else F.when((size >= least) & (size < below), piece))
+        return out
+
+    most = max(e for _, e in bands)
+    if edits is not None:
+        out = F.array()
+        for e in sorted({e for _, e in bands}):
+            out = F.when(edits == e, F.array(*parts(e, 0, None))).otherwise(out) if e > 1 else F.array(*parts(e, 0, None))
+        return out
+    ends = [least for least, _ in bands[1:]] + [1 << 30]
+    mixed = [p for (least, e), below in zip(bands, ends, strict=True) for p in parts(e, least, below)]
+    return F.when(n - most >= bands[-1][0], F.array(*parts(most, 0, None))).otherwise(F.filter(F.array(*mixed), lambda p: p.isNotNull()))
+
+
+#: Lines of 12 to 23 characters are near within 1 edit, longer ones within 2, shorter ones not at all.
+BANDS = ((12, 1), (24, 2))
+
+
+def near_links(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot: int = 64, levels: int = 4, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """(u, v): pairs of line ids within the edits that `bands` allows, enough of them to join whatever is joined.
+
+    bands are (least length, edits) in ascending order, of which the shorter line's length chooses.
+    lines has (h, line), repeats allowed. Index entries and probes meet by key in a combined minimum
+    and maximum of line hashes, which moves no text and takes any number of repeats of a line; keys
+    that one line alone holds are dropped. The lines that meet under the keys left are found by a
+    second pass, to which the keys are broadcast if there are at most broadcast_keys of them, else
+    joined. Lines under a key are compared by `edit_distance` and only links leave. A link is left
+    out if a third line with a smaller id is linked to both its ends, which keeps the same lines
+    connected.
+
+    A key that over `hot` lines hold (a common beginning, say) is searched again without making its
+    pairs: what lines within so many edits have besides the shared piece, and besides what all lines
+    of the key begin and end with, is within so many edits too, so the rests are cut, indexed and
+    probed in turn. Keys hot after `levels` searches, or whose rests are shorter than the edits, are
+    cut into blocks by hash, each pair of blocks on its own; their lines agree in all but a small
+    part.
+    """
+    out = None
+    rows = lines.select("h", "line", F.lit(None).cast("string").alias("rest"), F.lit(None).cast("int").alias("edits"), F.lit(0).cast("long").alias("path"))
+    for level in range(levels + 1):
+        met = _meet(rows, bands, level == 0, broadcast_keys)
+        crowded = durable(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
+        if level == levels or crowded.isEmpty():
+            found = _verified(met, bands, hot)
+            return (found if out is None else out.union(found)).distinct()
+        rest = F.coalesce("rest", "line")
+        rest = F.concat(F.substring(rest, F.lit(1), F.col("start")), F.substr(rest, F.col("start") + F.col("wide") + 1))
+        cut = durable(met.join(crowded, "key", "left_semi").withColumn("rest", rest))
+        back = F.reverse("rest")
+        same = cut.groupBy("key").agg(F.min("rest").alias("a"), F.max("rest").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"), F.min(F.length("rest")).alias("least"))
+        same = same.withColumn("begin", _shared(F.col("a"), F.col("b"))).withColumn("end", F.least(_shared(F.col("c"), F.col("d")), F.col("least") - F.col("begin"))).select("key", "begin", "end")
+        cut = cut.join(same, "key").withColumn("rest", F.substring("rest", F.col("begin") + 1, F.length("rest") - F.col("begin") - F.col("end")))
+        cut = cut.withColumn("left", F.col("size") - F.col("wide") - F.col("begin") - F.col("end"))
+        cut = durable(cut)
+        more = cut.where(F.col("left") > F.col("edits"))
+        done = met.join(crowded, "key", "left_anti").union(cut.where(F.col("left") <= F.col("edits")).select(met.columns))
+        found = _verified(done, bands, hot)
+        out = found if out is None else out.union(found)
+        rows = more.select("h", "line", "rest", "edits", F.col("key").alias("path"))
+    raise AssertionError("the last level returns")
+
+
+def _meet(rows: DataFrame, bands: tuple[tuple[int, int], ...], first: bool, broadcast_keys: int) -> DataFrame:
+    """(key, h, own, edits, line, rest, start, wide, size): where two different lines meet under a key of which one holds the entry."""
+    text = F.col("line") if first else F.col("rest")
+    spread = lambda *c: rows.select(*c, F.explode(_entries(text, None if first else F.col("edits"), F.col("path"), bands)).alias("p"))
+    held = spread(F.xxhash64("line").alias("x")).groupBy(F.col("p.key").alias("key")).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max("p.own").alias("own"))
     keys = durable(held.where("low <> high AND own = 1").select("key"))
     few = keys.count() <= broadcast_keys
-    met = rows(F.col("h"), F.col("line")).join(F.broadcast(keys) if few else keys, "key").groupBy("key", "h").agg(F.max("own").alias("own"), F.min("line").alias("line"))
-    met = met.withColumn("n", F.count("*").over(W.partitionBy("key")))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    met = met.withColumn("at", F.when(F.col("n") > block, F.pmod(F.xxhash64("h"), blocks)).otherwise(F.lit(0)).cast("int"))
-    met = met.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("at")).alias("x"), F.greatest(o, F.col("at")).alias("y")))))
-    met = met.repartition("key", "pair")  # the window has all of a key in one task
-    groups = met.groupBy("key", "pair").agg(F.sort_array(F.collect_list(F.struct("h", "own", "line"))).alias("m")).where("size(m) > 1")
-    linked = f"(m[i].own + m[j].own > 0) and abs(length(m[i].line) - length(m[j].line)) <= {edits} and levenshtein(m[i].line, m[j].line, {edits}) >= 0"
-    groups = groups.withColumn("adj", F.expr(f"transform(m, (x, i) -> case when i = 0 then array() else filter(sequence(0, i - 1), j -> {linked}) end)"))
+    met = spread("h", "line", "rest").select("h", "line", "rest", "p.*").join(F.broadcast(keys) if few else keys, "key")
+    return durable(met.groupBy("key", "h", "start").agg(F.max("own").alias("own"), F.max("edits").alias("edits"), F.min("line").alias("line"), F.min("rest").alias("rest"), F.max("wide").alias("wide"), F.max("size").alias("size")))
+
+
+def _verified(met: DataFrame, bands: tuple[tuple[int, int], ...], block: int) -> DataFrame:
+    """(u, v): the links among lines under one key; keys of over `block` lines are compared by pairs of blocks."""
+    most = max(e for _, e in bands)
+    counts = met.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    met = met.join(counts, "key").withColumn("at", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    met = met.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("at")).alias("x"), F.greatest(o, F.col("at")).alias("y")))))
+    groups = met.groupBy("key", "pair").agg(F.sort_array(F.collect_list(F.struct("h", "own", "line"))).alias("m")).where("size(m) > 1")  # two blocks at most
+
+    def linked(a: Column, b: Column) -> Column:
+        edits = allowed(F.least(F.length(a["line"]), F.length(b["line"])), bands)
+        return F.when((a["h"] == b["h"]) | (a["own"] + b["own"] == 0), False).otherwise(edit_distance(a["line"], b["line"], most) <= edits)
+
+    m = F.col("m")
+    near = F.transform(m, lambda x, i: F.when(i == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), i - 1), lambda j: linked(x, F.get(m, j)))))
     kept = F.expr("flatten(transform(adj, (s, i) -> transform(filter(s, j -> not arrays_overlap(s, adj[j])), j -> struct(m[j].h as u, m[i].h as v))))")
-    return groups.select(F.explode(kept).alias("e")).select("e.u", "e.v").distinct()
+    return groups.withColumn("adj", near).select(F.explode(kept).alias("e")).select("e.u", "e.v")
 
 
-def decisions(docs: DataFrame, edits: int = 2, near_from: int = 24) -> DataFrame:
+def decisions(docs: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, broadcast_lines: int = 1_000_000) -> DataFrame:
     """(doc_id, th, n_lines, n_dropped, n_classes, class_id, dropped): what becomes of each document's lines.
 
     th is the text's hash; documents with equal doc_id and text are one and share a row. Lines are
     split at \\n and trimmed; blank ones are no lines and always stay. Lines with equal text form a
-    class, and so do those of at least near_from characters that `near_links` connects. The first
-    line of a class by doc_id, th and position stays, the others are dropped: their positions are
-    `dropped`. class_id is the least class hash of the document's lines and n_classes their number.
-    A document without lines has no row here.
+    class, and so do those that `near_links` connects. The first line of a class by doc_id, th and
+    position stays, the others are dropped: their positions are `dropped`. class_id is the least
+    class hash of the document's lines and n_classes their number. A document without lines has no
+    row here. What stays is joined by document, never by class, so that a common line is not one key;
+    the classes of near lines are broadcast if there are at most broadcast_lines of them.
     """
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th")]
     split = docs.select(*key, F.posexplode(_lines(text_or_empty())).alias("pos", "raw")).select("doc_id", "th", "pos", _trimmed(F.col("raw")).alias("line")).where("line <> ''")
-    spots = durable(split.select("doc_id", "th", "pos", F.unhex(F.md5("line")).alias("h")).distinct())
-    long = split.where(F.length("line") >= near_from).select(F.unhex(F.md5("line")).alias("h"), "line")
-    joined = connected_components(near_links(long, edits))
-    spots = spots.join(joined.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "th", "pos", F.coalesce("component", "h").alias("class"))
-    first = durable(spots.groupBy("class").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first")))  # stored, so that a class with many lines can be split in the join
-    spots = spots.join(first, "class").withColumn("drop", ~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
-    return spots.groupBy("doc_id", "th").agg(
-        F.count("*").alias("n_lines"), F.count_if("drop").alias("n_dropped"), F.count_distinct("class").alias("n_classes"), F.min("class").alias("class_id"),
-        F.sort_array(F.collect_list(F.when(F.col("drop"), F.col("pos")))).alias("dropped"),
-    )
-
-
-def dedup_lines(docs: DataFrame, edits: int = 2, near_from: int = 24) -> DataFrame:
+    spots = durable(split.select("doc_id", "th", "pos", F.unhex(F.md5("line")).alias("h")))
+    long = split.where(F.length("line") >= bands[0][0]).select(F.unhex(F.md5("line")).alias("h"), "line")
+    joined = connected_components(near_links(long, bands)).withColumnRenamed("node", "h")
+    few = joined.count() <= broadcast_lines
+    spots = spots.join(F.broadcast(joined) if few else joined, "h", "left").select("doc_id", "th", "pos", F.coalesce("component", "h").alias("class"))
+    stay = spots.groupBy("class").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first")).groupBy("first.doc_id", "first.th").agg(F.collect_list("first.pos").alias("stay"))
+    own = spots.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("all"), F.size(F.collect_set("class")).cast("long").alias("n_classes"), F.min("class").alias("class_id"))
+    both = own.alias("o").join(stay.alias("s"), F.col("o.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("o.th") == F.col("s.th")), "left")
+    dropped = F.sort_array(F.array_except("all", F.coalesce("stay", F.array().cast("array<int>"))))
+    both = both.select("o.doc_id", "o.th", F.size("all").cast("long").alias("n_lines"), "n_classes", "class_id", dropped.alias("dropped"))
+    return both.withColumn("n_dropped", F.size("dropped").cast("long"))
+
+
+def dedup_lines(docs: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
     """docs with text cut to the lines that stay, and _n_lines, _n_dropped, _n_classes and _class_id.
 
     Null texts stay null. A document that loses all its lines keeps its blank ones, if any. Rows are
     neither added nor removed; all other columns pass through.
     """
-    found = decisions(docs, edits, near_from).select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), F.col("n_classes").alias("_n_classes"), F.col("class_id").alias("_class_id"), F.col("dropped").alias("_dropped"))
+    found = decisions(docs, bands).select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), F.col("n_classes").alias("_n_classes"), F.col("class_id").alias("_class_id"), F.col("dropped").alias("_dropped"))
     rows = docs.withColumn("_th_own", F.xxhash64(text_or_empty()))
     rows = rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_th_own") == F.col("_th")), "left").drop("_th_own", "_th", "_doc_id")
     kept = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
@@ -127,9 +263,9 @@ WITH RECURSIVE l AS (
         FROM (SELECT DISTINCT doc_id, text FROM documents))),
 d AS MATERIALIZED (SELECT DISTINCT line, length(line) AS n,
        list_transform(['a','b','c','d','e','f','g','h','i','l','m','n','o','r','s','t','u','z',' ','.'], lambda x: length(line) - length(replace(line, x, ''))) AS bag
-     FROM l WHERE length(line) >= 24),
+     FROM l WHERE length(line) >= 12),
 e AS MATERIALIZED (SELECT a.line AS u, b.line AS v FROM d a JOIN d b ON b.n BETWEEN a.n AND a.n + 2 AND a.line <> b.line
-     WHERE list_sum(list_transform(list_zip(a.bag, b.bag), lambda p: abs(p[1] - p[2]))) <= 4 AND levenshtein(a.line, b.line) <= 2),
+     WHERE list_sum(list_transform(list_zip(a.bag, b.bag), lambda p: abs(p[1] - p[2]))) <= 4 AND levenshtein(a.line, b.line) <= CASE WHEN a.n < 24 THEN 1 ELSE 2 END),
 s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 r AS (SELECT u AS a, u AS b FROM s UNION SELECT r.a, s.v FROM r JOIN s ON r.b = s.u),
 c AS (SELECT a, min(b) AS class FROM r GROUP BY a),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from subspan.llm.ann import cosine, encode, estimate, rotation, search, usable
 from subspan.llm.linededup import dedup_lines, near_links, probes
+from subspan.llm.linededup import edit_distance as distance_of
 from subspan.llm.simhash import fingerprint, links, near_duplicates, posting_sets, shingle_hashes, spanning_links
 from subspan.llm.toxicity import Scorer, Trie, keep_clean, score, train
 from tests.llm.fixtures import documents, empty, odd_texts
@@ -108,7 +109,7 @@ def edit_distance(a, b):
 
 def edited(rng, line, n):
     for _ in range(n):
-        i = rng.randrange(len(line))
+        i = rng.randrange(len(line) or 1)
         line = rng.choice([line[:i] + line[i + 1 :], line[:i] + "#" + line[i:], line[:i] + "%" + line[i + 1 :]])
     return line
 
@@ -126,27 +127,71 @@ def test_probes_miss_no_pair(edits):
         assert any(d == len(b) - len(a) and b[max(0, cut(k) + s) : max(0, cut(k + 1) + s)] == a[cut(k) : cut(k + 1)] for d, k, s in probes(edits))
 
 
-@pytest.mark.parametrize("block, few", [(256, 1000), (3, 0)])
-def test_line_links_join_what_all_pairs_join(spark, block, few):
+def test_bit_parallel_distance(spark):
+    rng = random.Random(4)
+    pairs = [("", ""), ("", "ab"), ("abc", ""), ("\U0001f600a", "a\U0001f601"), ("x" * 500, "x" * 499 + "y"), ("ab" * 300, "ba" * 300)]
+    for _ in range(400):
+        a = "".join(rng.choice("abé ") for _ in range(rng.choice([1, 3, 9, 30, 90, 300])))
+        pairs.append((a, edited(rng, a, rng.randint(0, 4)) if rng.random() < 0.8 else "".join(rng.choice("abé ") for _ in range(len(a)))))
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    for most in (1, 2, 3):
+        for r in frame.withColumn("d", distance_of(F.col("a"), F.col("b"), most)).collect():
+            assert r["d"] == min(edit_distance(r["a"], r["b"]), most + 1), (r, most)
+
+
+def allowed_edits(a, b):
+    n = min(len(a), len(b))
+    return 0 if n < 12 else 1 if n < 24 else 2
+
+
+def linked_lines(spark, lines, **more):
+    """What near_links and all pairs join, as closures."""
+    frame = spark.createDataFrame([(x,) for x in lines + lines[:5]], "line string").select(F.unhex(F.md5("line")).alias("h"), "line")
+    name = {bytes(r["h"]): r["line"] for r in frame.collect()}
+    got = [(name[bytes(r["u"])], name[bytes(r["v"])]) for r in near_links(frame, **more).collect()]
+    assert all(a != b and edit_distance(a, b) <= allowed_edits(a, b) for a, b in got)
+    want = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= allowed_edits(a, b)]
+    assert want
+    return closure(lines, got), closure(lines, want)
+
+
+@pytest.mark.parametrize("hot, few, levels", [(256, 1000, 4), (3, 0, 3), (2, 0, 0)])
+def test_line_links_join_what_all_pairs_join(spark, hot, few, levels):
     rng = random.Random(5)
     lines = set()
-    for _ in range(12):
-        a = "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(24, 60))).strip().ljust(24, "z")
+    for i in range(12):
+        a = "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(12, 60) if i else 230)).strip().ljust(12, "z")
         lines |= {edited(rng, a, rng.randint(0, 3)) for _ in range(9)} | {a}
-    lines = sorted(x for x in lines if len(x) >= 24)
-    frame = spark.createDataFrame([(x,) for x in lines + lines[:5]], "line string").select(F.unhex(F.md5("line")).alias("h"), "line")
-    name = {bytes(r["h"]): r["line"] for r in frame.collect()}
-    got = [(name[bytes(r["u"])], name[bytes(r["v"])]) for r in near_links(frame, 2, block, few).collect()]
-    assert all(edit_distance(a, b) <= 2 for a, b in got)
-    want = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if edit_distance(a, b) <= 2]
-    assert want and closure(lines, got) == closure(lines, want)
+    lines = sorted(x for x in lines if len(x) >= 12)
+    got, want = linked_lines(spark, lines, hot=hot, broadcast_keys=few, levels=levels)
+    assert got == want
+
+
+def test_line_links_of_one_template(spark):
+    rng = random.Random(15)
+    lines = {f"GET /a/common/beginning/of/lines?id={rng.randint(0, 10**4):04d}&x={rng.choice('abcdef')} HTTP" for _ in range(120)}
+    lines |= {f"{rng.randint(0, 99):02d} the same text stands in the middle of it {rng.randint(0, 99):02d}" for _ in range(60)}
+    got, want = linked_lines(spark, sorted(lines), hot=8)
+    assert got == want
+
+
+def test_a_common_beginning_is_not_compared_in_pairs(spark):
+    import time
+
+    rng = random.Random(25)
+    lines = ["https://example.com/a/common/beginning/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)) for _ in range(20_000)]
+    near = [edited(rng, x[39:], 1) for x in lines[:50]]
+    frame = spark.createDataFrame([(x,) for x in lines + [x[:39] + y for x, y in zip(lines, near, strict=False)]], "line string").select(F.unhex(F.md5("line")).alias("h"), "line")
+    began = time.time()
+    assert near_links(frame).count() == 50
+    assert time.time() - began < 120
 
 
 def plain_dedup(texts):
     spots = [(i, n, x.strip(" \t\x0b\x0c\r")) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n"))]
     lines = sorted({x for _, _, x in spots if x})
-    long = [x for x in lines if 24 <= len(x) < 200]
-    of = closure(lines, [(a, b) for i, a in enumerate(long) for b in long[:i] if abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2])
+    long = [x for x in lines if len(x) >= 12]
+    of = closure(lines, [(a, b) for i, a in enumerate(long) for b in long[:i] if abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= allowed_edits(a, b)])
     seen, gone = set(), set()
     for i, n, x in spots:
         if x:
