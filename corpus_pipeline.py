@@ -33,13 +33,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component one document: the least by doc_id, nulls last, then by the text's md5, null texts first.
 
-    Rows with equal doc_id and text are one document.
+    Rows with equal doc_id and text are one document. Texts move once, by a key of both.
     """
-    rows = docs.select(*COLUMNS, F.coalesce(F.md5("text"), F.lit("")).alias("_md5"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("_md5").alias("md5")))
-    stay = components(rows, carry=("_md5",)).groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias("_id"), F.col("first.md5").alias("_stay"))
-    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_stay")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_md5"]).select(*COLUMNS)
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit("")))
+    rows = docs.select(*COLUMNS, key.alias("_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("_key").alias("key")))
+    stay = components(rows, carry=("_key",)).groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("_key"))
+    return rows.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
