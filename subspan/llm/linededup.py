@@ -97,6 +97,18 @@ def edit_distance(a: Column, b: Column, most: int, first: int = 24) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > most, most + 1).otherwise(near)
 
 
+def _may_be_near(a: Column, b: Column, most: int) -> Column:
+    """False only for strings of over `most` edits: of 2 * most + 2 pieces of one, edits leave most + 2 whole, each near its place in the other."""
+    n = 2 * most + 2
+    cut = lambda i: F.floor(F.length(a) * i / n).cast("int")
+
+    def there(i: Column) -> Column:
+        first = F.greatest(cut(i) - most, F.lit(0))
+        return F.contains(F.substring(b, first + 1, cut(i + 1) + most - first), F.substring(a, cut(i) + 1, cut(i + 1) - cut(i)))
+
+    return F.size(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), there)) >= most + 2
+
+
 def allowed(length: Column, bands: tuple[tuple[int, int], ...]) -> Column:
     """The edits that lines may differ in, of which the shorter one has this length."""
     out = F.lit(0)
@@ -105,33 +117,29 @@ def allowed(length: Column, bands: tuple[tuple[int, int], ...]) -> Column:
     return out
 
 
-def _entries(text: Column, edits: Column | None, path: Column, bands: tuple[tuple[int, int], ...]) -> Column:
-    """The text's index entries (own) and probes as structs; probes at no shift and length are the entries.
+def _entries(rows: DataFrame, text: Column, bands: tuple[tuple[int, int], ...], keep: tuple[Column, ...], path: Column | None = None, edits: Column | None = None) -> DataFrame:
+    """(kept columns, key, own, edits, start, wide, size): each text's index entries (own) and probes, which at no shift and length are entries.
 
-    A struct holds key, own, edits, and where the piece stands: start, wide, and the length of the
-    line that is cut (size). Without edits these follow from the length of the shorter line.
+    start and wide tell where the piece stands, size how long the line is that is cut. The edits are
+    those given, or follow from that size. Where to look is a constant list, so that one small
+    expression computes every key.
     """
-    n = F.length(text)
-
-    def parts(most: int, least: int, below: int | None) -> list[Column]:
-        out = []
-        for d, k, shift in probes(most):
-            size = n - d
-            start, end = F.floor(size * k / (most + 1)).cast("int"), F.floor(size * (k + 1) / (most + 1)).cast("int")
-            key = F.xxhash64(path, F.lit(most), F.lit(k), size, F.substring(text, start + shift + 1, end - start))
-            piece = F.struct(key.alias("key"), F.lit(int(d == 0 and shift == 0)).alias("own"), F.lit(most).alias("edits"), (start + shift).alias("start"), (end - start).alias("wide"), size.alias("size"))
-            out.append(piece if below is None else F.when((size >= least) & (size < below), piece))
-        return out
-
-    most = max(e for _, e in bands)
-    if edits is not None:
-        out = F.array()
+    ends = [least for least, _ in bands[1:]] + [(1 << 31) - 1]
+    places = lambda of: F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("e", "least", "below", "d", "k", "shift"), (e, *limits, *probe), strict=True)]) for e, *limits in of for probe in probes(e)])
+    if edits is None:
+        most, all_ = bands[-1][1], [(e, least, below) for (least, e), below in zip(bands, ends, strict=True)]
+        where = F.when(F.length(text) - most >= bands[-1][0], places(all_[-1:])).otherwise(places(all_))
+    else:
+        where = F.lit(None)
         for e in sorted({e for _, e in bands}):
-            out = F.when(edits == e, F.array(*parts(e, 0, None))).otherwise(out) if e > 1 else F.array(*parts(e, 0, None))
-        return out
-    ends = [least for least, _ in bands[1:]] + [1 << 30]
-    mixed = [p for (least, e), below in zip(bands, ends, strict=True) for p in parts(e, least, below)]
-    return F.when(n - most >= bands[-1][0], F.array(*parts(most, 0, None))).otherwise(F.filter(F.array(*mixed), lambda p: p.isNotNull()))
+            where = F.when(edits == e, places([(e, 0, ends[-1])])).otherwise(where)
+    own = [text.alias("_text"), F.length(text).alias("_n"), (F.lit(0).cast("long") if path is None else path).alias("_path")]
+    spread = rows.select(*keep, *own, F.explode(where).alias("_p")).withColumn("size", F.col("_n") - F.col("_p.d")).where("size >= _p.least AND size < _p.below")
+    cut = lambda k: F.floor(F.col("size") * k / (F.col("_p.e") + 1)).cast("int")
+    spread = spread.withColumn("start", cut(F.col("_p.k")) + F.col("_p.shift")).withColumn("wide", cut(F.col("_p.k") + 1) - cut(F.col("_p.k")))
+    key = F.xxhash64("_path", F.col("_p.e") * 16 + F.col("_p.k"), "size", F.substring("_text", F.col("start") + 1, F.col("wide")))
+    kept = [c for c in spread.columns if c not in ("_text", "_n", "_path", "_p", "size", "start", "wide")]
+    return spread.select(*kept, key.alias("key"), ((F.col("_p.d") == 0) & (F.col("_p.shift") == 0)).cast("int").alias("own"), F.col("_p.e").alias("edits"), "start", "wide", "size")
 
 
 #: Lines of 12 to 23 characters are near within 1 edit, longer ones within 2, shorter ones not at all.
@@ -184,12 +192,12 @@ def near_links(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot
 
 def _meet(rows: DataFrame, bands: tuple[tuple[int, int], ...], first: bool, broadcast_keys: int) -> DataFrame:
     """(key, h, own, edits, line, rest, start, wide, size): where two different lines meet under a key of which one holds the entry."""
-    text = F.col("line") if first else F.col("rest")
-    spread = lambda *c: rows.select(*c, F.explode(_entries(text, None if first else F.col("edits"), F.col("path"), bands)).alias("p"))
-    held = spread(F.xxhash64("line").alias("x")).groupBy(F.col("p.key").alias("key")).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max("p.own").alias("own"))
+    of = (F.col("line"), bands) if first else (F.col("rest"), bands)
+    more = () if first else (F.col("path"), F.col("edits"))
+    held = _entries(rows, *of, (F.xxhash64("line").alias("x"),), *more).groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max("own").alias("own"))
     keys = durable(held.where("low <> high AND own = 1").select("key"))
     few = keys.count() <= broadcast_keys
-    met = spread("h", "line", "rest").select("h", "line", "rest", "p.*").join(F.broadcast(keys) if few else keys, "key")
+    met = _entries(rows, *of, (F.col("h"), F.col("line"), F.col("rest")), *more).join(F.broadcast(keys) if few else keys, "key")
     return durable(met.groupBy("key", "h", "start").agg(F.max("own").alias("own"), F.max("edits").alias("edits"), F.min("line").alias("line"), F.min("rest").alias("rest"), F.max("wide").alias("wide"), F.max("size").alias("size")))
 
 
@@ -199,11 +207,13 @@ def _verified(met: DataFrame, bands: tuple[tuple[int, int], ...], block: int) ->
     counts = met.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     met = met.join(counts, "key").withColumn("at", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     met = met.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("at")).alias("x"), F.greatest(o, F.col("at")).alias("y")))))
+    met = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "pair")  # comparing takes longer than the bytes tell
     groups = met.groupBy("key", "pair").agg(F.sort_array(F.collect_list(F.struct("h", "own", "line"))).alias("m")).where("size(m) > 1")  # two blocks at most
 
     def linked(a: Column, b: Column) -> Column:
         edits = allowed(F.least(F.length(a["line"]), F.length(b["line"])), bands)
-        return F.when((a["h"] == b["h"]) | (a["own"] + b["own"] == 0), False).otherwise(edit_distance(a["line"], b["line"], most) <= edits)
+        barred = (a["h"] == b["h"]) | (a["own"] + b["own"] == 0) | (F.abs(F.length(a["line"]) - F.length(b["line"])) > edits) | ~_may_be_near(a["line"], b["line"], most)
+        return F.when(barred, False).otherwise(edit_distance(a["line"], b["line"], most) <= edits)
 
     m = F.col("m")
     near = F.transform(m, lambda x, i: F.when(i == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), i - 1), lambda j: linked(x, F.get(m, j)))))
