@@ -1,9 +1,10 @@
 import hashlib
+import math
 import re
 
 from tests.llm.fixtures import documents, empty, odd_texts
 
-from subspan.llm.pii import find_personal_data, fit_votes, joined
+from subspan.llm.pii import CUES, NAMES, find_personal_data, fit_classifier, fit_votes, joined
 from pyspark.sql import functions as F
 
 PATTERNS = {
@@ -66,6 +67,74 @@ def test_secrets_are_added_and_prose_is_not(spark):
     assert not any(got[i] for i in range(40, 80))
 
 
+def plain_candidates(text):
+    """(kind, start, end) of secrets, digit groups and listed names outside the base spans."""
+    base = [(int(a), int(b)) for _, a, b in (x.split(":") for x in brute(text)[1].split(",") if x)]
+    found = [("secret", m) for m in re.finditer(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    found += [("number", m) for m in re.finditer(PATTERNS["card"], text) if 7 <= len(re.sub("[^0-9]", "", m[0])) <= 19 and not valid("card", m[0])]
+    found += [("name", m) for m in re.finditer(rf"(?<!\w)(?:{'|'.join(NAMES)})(?!\w)", text)]
+    return [(k, m.start(), m.end()) for k, m in found if not any(a < m.end() and m.start() < b for a, b in base)]
+
+
+def plain_votes(text, kind, start, end):
+    m, before, after = text[start:end], text[max(0, start - 24) : start], text[end : end + 8]
+    d = re.sub("[^0-9]", "", m)
+    letter = r"[^\W\d_]"
+    shape = check = sides = 0
+    if kind == "secret":
+        shape = 1 if len(m) >= 32 and re.search("^(?:[0-9a-f]+|[0-9A-F]+|[A-Za-z0-9+/]+)$", m) else -1 if re.search("[-_/]", m) else 0
+        check = 1 if len(set(m)) >= 11 else -1
+        sides = 1 if re.search("[\"'`]$", before) and re.search("^[\"'`]", after) else -1 if re.search("[/.:]$", before) else 0
+    elif kind == "number":
+        shape = 1 if re.search("^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}[- ][0-9]{3}[- ][0-9]{4})$", m) else -1 if len(d) < 9 else 0
+        check = -1 if len(d) >= 12 else 0  # those that pass are cards
+        sides = -1 if re.search(r"^\s?(?:%|€|\$|£|km|kg|cm|mm|MB|GB|USD|EUR)", after) else 0
+    elif re.search(rf"^\s{letter}", after) and after[1:3].istitle() and len(after) > 2:
+        sides = 1
+    cue = int(bool(re.search(rf"(?:^|(?!{letter}).)(?:{CUES}){letter}{{0,4}}(?:(?!{letter})[\s\S]){{0,6}}$", before.lower())))
+    frame = 1 if re.search(r"[=:]\s*[\"']?$", before) else -1 if re.search(rf"(?:{letter}|[/.#v])$", before) or re.search(rf"^(?:{letter}|/)", after) else 0
+    return shape, cue, frame, check, sides
+
+
+def side(c):
+    return "edge" if not c else "letter" if c.isalpha() else "digit" if c in "0123456789" else "space" if c in " \t\n\x0b\f\r" else "mark"
+
+
+def plain_features(text, kind, start, end, votes):
+    m, before, after = text[start:end], text[max(0, start - 24) : start], text[end : end + 8]
+    share = 4 * len(re.sub("[^0-9]", "", m)) / len(m)
+    left = re.search(r"([^ \t\n\x0b\f\r]?)[ \t\n\x0b\f\r]?$", before)[1]
+    near = str(bool(re.search(r"[=:]\s*[\"']?$", before))).lower()
+    return tuple(f"{kind}:{x}" for x in (min(6, int(math.log2(len(m)))), int(math.floor(share + 0.5)), side(left), side(after[:1]), near, votes[1], votes[4]))
+
+
+def test_added_spans_against_plain_version(spark):
+    sha = lambda i: hashlib.sha1(bytes([i])).hexdigest()
+    texts = [f'words here token = "{sha(i)}" and more' for i in range(30)] + ["see internationalization-of-things/2 for more"] * 20
+    texts += [f"value {1000000 + i * 7} km, order 4111 1111 1111 11{i:02d} ssn 123-45-67{i:02d} by Mr. Karl Maier; Paris is far" for i in range(30)] + [f"call Anna: path/{sha(i)}.gz" for i in range(9)]
+    rows = [(i, t, c) for i, t in enumerate(texts) for c in plain_candidates(t)]
+    votes = [plain_votes(t, *c) for _, t, c in rows]
+    features = [plain_features(t, *c, v) for (_, t, c), v in zip(rows, votes, strict=True)]
+    counts = {}
+    for v in votes:
+        counts[v] = counts.get(v, 0.0) + 1
+    odds, weights = fit_classifier([(f, v, 1.0) for f, v in zip(features, votes, strict=True)], fit_votes(sorted(counts.items())))
+    want = {i: set(brute(t)[1].split(",")) - {""} for i, t in enumerate(texts)}
+    for (i, _, (kind, a, b)), f in zip(rows, features, strict=True):
+        if odds[kind] + sum(w.get(x, 0.0) for w, x in zip(weights, f, strict=True)) > 0:
+            want[i].add(f"{kind}:{a}:{b}")
+    got = {r["doc_id"]: set(r["s"].split(",")) - {""} for r in outcome(documents(spark, texts, repeat=False))}
+    assert got == want and any("name:" in x for w in want.values() for x in w) and any("secret:" in x for w in want.values() for x in w)
+
+
+def test_spans_do_not_change_with_the_number_of_copies(spark):
+    texts = ["Hello Mr. Maria row i said hi", f'token = "{hashlib.sha1(b"x").hexdigest()}" end', "number 1234567 units"]
+    few, many = (outcome(documents(spark, texts * n, repeat=False)) for n in (3, 30))
+    first = {r["doc_id"]: r["s"] for r in few}
+    assert first[0] == "name:10:15" and first[1] == "secret:9:49" and first[2] == ""
+    assert all(r["s"] == first[r["doc_id"] % 3] for r in [*few, *many])
+
+
 def test_empty_table(spark):
     assert outcome(empty(spark)) == []
 
