@@ -7,7 +7,7 @@ from subspan.llm.bpe import op5_byte_bpe
 from subspan.llm.linededup import OP8_SQL, op8_line_edit_join
 from subspan.llm.mixing import OP2_SQL, op2_mix_sources
 from subspan.llm.pii import op1_pii_weak_labels
-from subspan.llm.sharding import op4_shard_by_splitters
+from subspan.llm.sharding import OP4_SQL, op4_shard_by_splitters
 from subspan.llm.simhash import op10_simhash_positions
 from subspan.llm.toxicity import op9_toxicity
 from subspan.llm.warc import OP6_SQL, op6_warc_segments
@@ -28,6 +28,7 @@ QUERIES = {
 
 SQL = {
     "op2_mix_sources": OP2_SQL,
+    "op4_shard_by_splitters": OP4_SQL,
     "op6_warc_segments": OP6_SQL,
     "op7_one_bit_codes": OP7_SQL,
     "op8_line_edit_join": OP8_SQL,

@@ -127,3 +127,12 @@ def test_shard_edges(spark):
     checked(documents(spark), odd_texts())
     assert shard(documents(spark, ["only"], repeat=False)).select("slot").collect()[0][0] == 0
     assert shard(documents(spark, ["a", "b"], repeat=False)).agg(F.count("*")).first()[0] == 2
+
+
+def test_groups_stay_whole_and_equal_rows_are_divided(spark):
+    texts = [f"group {i % 500} of forty equal texts" for i in range(20_000)]
+    got = shard(documents(spark, texts, repeat=False)).groupBy("group").agg(F.count_distinct("shard").alias("n")).where("n > 1").count()
+    assert got == 0
+    same = spark.createDataFrame([(7, "the same row")] * 4000 + [(i, f"other {i}") for i in range(50)], "doc_id long, text string")
+    sizes = [r["count"] for r in shard(same).groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 60
