@@ -34,11 +34,6 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _shared(a: Column, b: Column) -> Column:
     """How many characters two strings begin with in common, found by halving steps (up to 2 ** 18)."""
     steps = F.array(*[F.lit(1 << n) for n in range(17, -1, -1)])
@@ -46,69 +41,6 @@ def _shared(a: Column, b: Column) -> Column:
     return F.least(found, F.length(a), F.length(b))
 
 
-def _word(a: Column, b: Column, most: int) -> Column:
-    """Which prefixes of a (an array of characters) are within how many edits of all of b (another), as a word.
-
-    Bit-parallel over the band: the word holds, for each number of edits up to most, a lane of
-    2 * most + 1 bits, one for each diagonal; a bit is set if the diagonal can be reached with so
-    many edits. A character of b moves all lanes at once: along the diagonal where characters agree,
-    and from the lane below by a substitution, an insertion or a deletion. An empty word is the end.
-    """
-    wide = 2 * most + 1
-    lanes = range(most + 1)
-    every = (1 << wide * (most + 1)) - 1
-    low, top = (sum(1 << wide * e + at for e in lanes) for at in (0, wide - 1))
-    start = sum(1 << wide * e + most + o for e in lanes for o in range(e + 1))
-
-    def step(word: Column, i: Column) -> Column:
-        c = F.get(b, i)
-        hits = sum(F.when(F.get(a, i + o) == c, F.lit(sum(1 << wide * e + most + o for e in lanes)).cast("long")).otherwise(F.lit(0).cast("long")) for o in range(-most, most + 1))
-        below = F.shiftleft(word, wide).bitwiseAND(F.lit(every).cast("long"))
-        moved = word.bitwiseAND(hits).bitwiseOR(below).bitwiseOR(F.shiftright(below.bitwiseAND(F.lit(every - low).cast("long")), 1))
-        for _ in range(most):
-            moved = _let(moved, lambda x: x.bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(every - top).cast("long")), wide + 1).bitwiseAND(F.lit(every).cast("long"))))
-        return F.when(word == 0, word).otherwise(moved)
-
-    moved = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.lit(start).cast("long"), step)
-    return F.when(F.size(b) > 0, moved).otherwise(F.lit(start).cast("long"))
-
-
-def edit_distance(a: Column, b: Column, most: int, first: int = 24) -> Column:
-    """The edit distance of two strings, or most + 1 if it is more than most; in characters, whatever their length.
-
-    What both begin and end with is cut off. Of long rests the first characters are compared alone:
-    if no diagonal survives these, none survives all.
-    """
-    letters = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
-    word = lambda x, y: _let(F.struct(letters(x).alias("a"), letters(y).alias("b")), lambda z: _word(z["a"], z["b"], most))
-
-    def of(x: Column, y: Column) -> Column:
-        end = F.length(x) - F.length(y) + most
-        full = _let(word(x, y), lambda w: F.coalesce(*[F.when(F.getbit(w, ((2 * most + 1) * e + end).cast("int")) == 1, e) for e in range(most + 1)], F.lit(most + 1)))
-        begin = word(F.substring(x, F.lit(1), F.lit(first + 2 * most)), F.substring(y, F.lit(1), F.lit(first)))
-        return F.when(F.length(y) <= first + 2 * most, full).when(begin != 0, full).otherwise(most + 1)
-
-    def trimmed(x: Column, y: Column) -> Column:
-        rest = _let(_shared(x, y), lambda p: F.struct(F.substr(x, p + 1).alias("a"), F.substr(y, p + 1).alias("b")))
-        return _let(rest, lambda r: _let(_shared(F.reverse(r["a"]), F.reverse(r["b"])), lambda p: F.struct(F.substring(r["a"], F.lit(1), F.length(r["a"]) - p).alias("a"), F.substring(r["b"], F.lit(1), F.length(r["b"]) - p).alias("b"))))
-
-    ordered = F.when(F.length(a) <= F.length(b), F.struct(a.alias("a"), b.alias("b"))).otherwise(F.struct(b.alias("a"), a.alias("b")))
-    near = _let(ordered, lambda o: _let(trimmed(o["a"], o["b"]), lambda r: of(r["a"], r["b"])))
-    return F.when(F.abs(F.length(a) - F.length(b)) > most, most + 1).otherwise(near)
-
-
-def _may_be_near(a: Column, b: Column, most: int) -> Column:
-    """False only for strings of over `most` edits: of 2 * most + 2 pieces of one, edits leave most + 2 whole, each near its place in the other."""
-    n = 2 * most + 2
-    cut = lambda i: F.floor(F.length(a) * i / n).cast("int")
-
-    def there(i: Column) -> Column:
-        first = F.greatest(cut(i) - most, F.lit(0))
-        return F.contains(F.substring(b, first + 1, cut(i + 1) + most - first), F.substring(a, cut(i) + 1, cut(i + 1) - cut(i)))
-
-    return F.size(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), there)) >= most + 2
-
-
 def allowed(length: Column, bands: tuple[tuple[int, int], ...]) -> Column:
     """The edits that lines may differ in, of which the shorter one has this length."""
     out = F.lit(0)
@@ -146,7 +78,7 @@ def _entries(rows: DataFrame, text: Column, bands: tuple[tuple[int, int], ...],
 BANDS = ((12, 1), (24, 2))
 
 
-def near_links(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot: int = 64, levels: int = 4, broadcast_keys: int = 1_000_000) -> DataFrame:
+def near_links(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot: int = 1024, levels: int = 3, broadcast_keys: int = 1_000_000) -> DataFrame:
     """(u, v): pairs of line ids within the edits that `bands` allows, enough of them to join whatever is joined.
 
     bands are (least length, edits) in ascending order, of which the shorter line's length chooses.
@@ -154,19 +86,20 @@ def near_links(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot
     and maximum of line hashes, which moves no text and takes any number of repeats of a line; keys
     that one line alone holds are dropped. The lines that meet under the keys left are found by a
     second pass, to which the keys are broadcast if there are at most broadcast_keys of them, else
-    joined. Lines under a key are compared by `edit_distance` and only links leave. A link is left
-    out if a third line with a smaller id is linked to both its ends, which keeps the same lines
-    connected.
+    joined. Lines under a key are compared with a banded edit distance and only links leave. A link
+    is left out if a third line with a smaller id is linked to both its ends, which keeps the same
+    lines connected.
 
     A key that over `hot` lines hold (a common beginning, say) is searched again without making its
-    pairs: what lines within so many edits have besides the shared piece, and besides what all lines
-    of the key begin and end with, is within so many edits too, so the rests are cut, indexed and
-    probed in turn. Keys hot after `levels` searches, or whose rests are shorter than the edits, are
-    cut into blocks by hash, each pair of blocks on its own; their lines agree in all but a small
-    part.
+    pairs. All its lines are compared with one of them; those linked to it need not be compared with
+    each other. And what lines within so many edits have besides the shared piece, and besides what
+    all lines of the key begin and end with, is within so many edits too: the rests are cut, indexed
+    and probed in turn, and keys whose lines are linked already are dropped. Keys hot after `levels`
+    searches, or whose rests are shorter than the edits, are cut into blocks by hash, each pair of
+    blocks on its own; their lines agree in most of their text.
     """
     out = None
-    rows = lines.select("h", "line", F.lit(None).cast("string").alias("rest"), F.lit(None).cast("int").alias("edits"), F.lit(0).cast("long").alias("path"))
+    rows = lines.select("h", "line", F.xxhash64("line").alias("label"), F.lit(None).cast("string").alias("rest"), F.lit(None).cast("int").alias("edits"), F.lit(0).cast("long").alias("path"))
     for level in range(levels + 1):
         met = _meet(rows, bands, level == 0, broadcast_keys)
         crowded = durable(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
@@ -177,43 +110,49 @@ def near_links(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot
         rest = F.concat(F.substring(rest, F.lit(1), F.col("start")), F.substr(rest, F.col("start") + F.col("wide") + 1))
         cut = durable(met.join(crowded, "key", "left_semi").withColumn("rest", rest))
         back = F.reverse("rest")
-        same = cut.groupBy("key").agg(F.min("rest").alias("a"), F.max("rest").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"), F.min(F.length("rest")).alias("least"))
-        same = same.withColumn("begin", _shared(F.col("a"), F.col("b"))).withColumn("end", F.least(_shared(F.col("c"), F.col("d")), F.col("least") - F.col("begin"))).select("key", "begin", "end")
+        same = cut.groupBy("key").agg(F.min("rest").alias("a"), F.max("rest").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"), F.min(F.length("rest")).alias("least"), F.min(F.struct("h", "line", "label")).alias("one"))
+        same = same.withColumn("begin", _shared(F.col("a"), F.col("b"))).withColumn("end", F.least(_shared(F.col("c"), F.col("d")), F.col("least") - F.col("begin"))).select("key", "begin", "end", "one")
         cut = cut.join(same, "key").withColumn("rest", F.substring("rest", F.col("begin") + 1, F.length("rest") - F.col("begin") - F.col("end")))
-        cut = cut.withColumn("left", F.col("size") - F.col("wide") - F.col("begin") - F.col("end"))
-        cut = durable(cut)
-        more = cut.where(F.col("left") > F.col("edits"))
+        linked = (F.col("h") != F.col("one.h")) & _near(F.col("line"), F.col("one.line"), bands)
+        cut = cut.withColumn("linked", linked).withColumn("left", F.col("size") - F.col("wide") - F.col("begin") - F.col("end"))
+        cut = durable(cut.withColumn("label", F.when(F.col("linked"), F.col("one.label")).otherwise(F.col("label"))))
         done = met.join(crowded, "key", "left_anti").union(cut.where(F.col("left") <= F.col("edits")).select(met.columns))
-        found = _verified(done, bands, hot)
+        found = _verified(done, bands, hot).union(cut.where("linked").select(F.col("one.h").alias("u"), F.col("h").alias("v")))
         out = found if out is None else out.union(found)
-        rows = more.select("h", "line", "rest", "edits", F.col("key").alias("path"))
+        rows = cut.where(F.col("left") > F.col("edits")).select("h", "line", "label", "rest", "edits", F.col("key").alias("path"))
     raise AssertionError("the last level returns")
 
 
+def _near(a: Column, b: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """Whether two strings are within the edits that the shorter one's length allows: a banded edit distance that stops beyond them."""
+    edits, apart = allowed(F.least(F.length(a), F.length(b)), bands), F.abs(F.length(a) - F.length(b))
+    out = F.lit(False)
+    for e in sorted({e for _, e in bands}):
+        out = F.when((edits == e) & (apart <= e), F.levenshtein(a, b, e) >= 0).otherwise(out)
+    return out
+
+
 def _meet(rows: DataFrame, bands: tuple[tuple[int, int], ...], first: bool, broadcast_keys: int) -> DataFrame:
-    """(key, h, own, edits, line, rest, start, wide, size): where two different lines meet under a key of which one holds the entry."""
+    """(key, h, own, edits, line, label, rest, start, wide, size): where lines not yet linked meet under a key of which one holds the entry."""
     of = (F.col("line"), bands) if first else (F.col("rest"), bands)
     more = () if first else (F.col("path"), F.col("edits"))
-    held = _entries(rows, *of, (F.xxhash64("line").alias("x"),), *more).groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max("own").alias("own"))
+    held = _entries(rows, *of, (F.col("label"),), *more).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("own").alias("own"))
     keys = durable(held.where("low <> high AND own = 1").select("key"))
     few = keys.count() <= broadcast_keys
-    met = _entries(rows, *of, (F.col("h"), F.col("line"), F.col("rest")), *more).join(F.broadcast(keys) if few else keys, "key")
-    return durable(met.groupBy("key", "h", "start").agg(F.max("own").alias("own"), F.max("edits").alias("edits"), F.min("line").alias("line"), F.min("rest").alias("rest"), F.max("wide").alias("wide"), F.max("size").alias("size")))
+    met = _entries(rows, *of, (F.col("h"), F.col("line"), F.col("label"), F.col("rest")), *more).join(F.broadcast(keys) if few else keys, "key")
+    return durable(met.groupBy("key", "h", "start").agg(F.max("own").alias("own"), *[F.max(c).alias(c) for c in ("edits", "label", "wide", "size")], F.min("line").alias("line"), F.min("rest").alias("rest")))
 
 
 def _verified(met: DataFrame, bands: tuple[tuple[int, int], ...], block: int) -> DataFrame:
     """(u, v): the links among lines under one key; keys of over `block` lines are compared by pairs of blocks."""
-    most = max(e for _, e in bands)
     counts = met.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     met = met.join(counts, "key").withColumn("at", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     met = met.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("at")).alias("x"), F.greatest(o, F.col("at")).alias("y")))))
     met = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "pair")  # comparing takes longer than the bytes tell
-    groups = met.groupBy("key", "pair").agg(F.sort_array(F.collect_list(F.struct("h", "own", "line"))).alias("m")).where("size(m) > 1")  # two blocks at most
+    groups = met.groupBy("key", "pair").agg(F.sort_array(F.collect_list(F.struct("h", "own", "label", "line"))).alias("m")).where("size(m) > 1")  # two blocks at most
 
     def linked(a: Column, b: Column) -> Column:
-        edits = allowed(F.least(F.length(a["line"]), F.length(b["line"])), bands)
-        barred = (a["h"] == b["h"]) | (a["own"] + b["own"] == 0) | (F.abs(F.length(a["line"]) - F.length(b["line"])) > edits) | ~_may_be_near(a["line"], b["line"], most)
-        return F.when(barred, False).otherwise(edit_distance(a["line"], b["line"], most) <= edits)
+        return F.when((a["label"] == b["label"]) | (a["own"] + b["own"] == 0), False).otherwise(_near(a["line"], b["line"], bands))
 
     m = F.col("m")
     near = F.transform(m, lambda x, i: F.when(i == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), i - 1), lambda j: linked(x, F.get(m, j)))))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from subspan.llm.ann import cosine, encode, estimate, rotation, search, usable
 from subspan.llm.linededup import dedup_lines, near_links, probes
-from subspan.llm.linededup import edit_distance as distance_of
 from subspan.llm.simhash import fingerprint, links, near_duplicates, posting_sets, shingle_hashes, spanning_links
 from subspan.llm.toxicity import Scorer, Trie, keep_clean, score, train
 from tests.llm.fixtures import documents, empty, odd_texts
@@ -127,18 +126,6 @@ def test_probes_miss_no_pair(edits):
         assert any(d == len(b) - len(a) and b[max(0, cut(k) + s) : max(0, cut(k + 1) + s)] == a[cut(k) : cut(k + 1)] for d, k, s in probes(edits))
 
 
-def test_bit_parallel_distance(spark):
-    rng = random.Random(4)
-    pairs = [("", ""), ("", "ab"), ("abc", ""), ("\U0001f600a", "a\U0001f601"), ("x" * 500, "x" * 499 + "y"), ("ab" * 300, "ba" * 300)]
-    for _ in range(400):
-        a = "".join(rng.choice("abé ") for _ in range(rng.choice([1, 3, 9, 30, 90, 300])))
-        pairs.append((a, edited(rng, a, rng.randint(0, 4)) if rng.random() < 0.8 else "".join(rng.choice("abé ") for _ in range(len(a)))))
-    frame = spark.createDataFrame(pairs, "a string, b string")
-    for most in (1, 2, 3):
-        for r in frame.withColumn("d", distance_of(F.col("a"), F.col("b"), most)).collect():
-            assert r["d"] == min(edit_distance(r["a"], r["b"]), most + 1), (r, most)
-
-
 def allowed_edits(a, b):
     n = min(len(a), len(b))
     return 0 if n < 12 else 1 if n < 24 else 2
@@ -175,6 +162,14 @@ def test_line_links_of_one_template(spark):
     assert got == want
 
 
+def test_line_links_of_many_near_lines(spark):
+    rng = random.Random(35)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(48))
+    lines = {edited(rng, base, 1) for _ in range(90)} | {edited(rng, base, 3) for _ in range(30)} | {base[:20] + str(i) * 5 + base[25:] for i in range(10)}
+    got, want = linked_lines(spark, sorted(lines), hot=16)
+    assert got == want
+
+
 def test_a_common_beginning_is_not_compared_in_pairs(spark):
     import time
 
