@@ -17,19 +17,21 @@ def count_blocks(rows: int, row_bytes: int, parallelism: int, block_bytes: int =
     return max(1, for_size, for_cores)
 
 
-def pair_blocks(left: DataFrame, right: DataFrame, key: Column, blocks: int, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, half: bool = False) -> DataFrame:
+def pair_blocks(left: DataFrame, right: DataFrame, key: Column, blocks: int | tuple[int, int], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, half: bool = False) -> DataFrame:
     """run(left block, right block) for every pair of blocks, or for x <= y only if half.
 
-    Rows fall into blocks by key (an integer) modulo blocks; each side is copied once for each block
-    of the other and meets it in one task. Nothing is broadcast.
+    Rows fall into blocks by key (an integer) modulo blocks, of which each side may have its own
+    number; each side is copied once for each block of the other and meets it in one task. Nothing
+    is broadcast.
     """
-    own = F.pmod(key, F.lit(blocks)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    to_right = F.filter(others, lambda o: o >= own) if half else others
-    to_left = F.filter(others, lambda o: o <= own) if half else others
+    n, m = (blocks, blocks) if isinstance(blocks, int) else blocks
+    x, y = F.pmod(key, F.lit(n)).cast("int"), F.pmod(key, F.lit(m)).cast("int")
+    to_right, to_left = F.sequence(F.lit(0), F.lit(m - 1)), F.sequence(F.lit(0), F.lit(n - 1))
+    if half:
+        to_right, to_left = F.filter(to_right, lambda o: o >= x), F.filter(to_left, lambda o: o <= y)
     left, right = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (left, right))  # a table may meet itself
-    a = left.withColumn("_x", own).withColumn("_y", F.explode(to_right))
-    b = right.withColumn("_y", own).withColumn("_x", F.explode(to_left))
+    a = left.withColumn("_x", x).withColumn("_y", F.explode(to_right))
+    b = right.withColumn("_y", y).withColumn("_x", F.explode(to_left))
     return a.groupBy("_x", "_y").cogroup(b.groupBy("_x", "_y")).applyInArrow(run, schema)
 
 
