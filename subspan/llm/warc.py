@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -73,17 +72,45 @@ def records_of(page_id, url, payload: bytes, digest: str, copy: int, refers_to,
     return out
 
 
+def inflate(archive: bytes) -> bytes:
+    """The archive's text: all members if it is gzipped, as far as they can be read."""
+    if archive[:2] != b"\x1f\x8b":
+        return archive
+    out: list[bytes] = []
+    while archive:
+        z = zlib.decompressobj(31)
+        try:
+            out.append(z.decompress(archive))
+        except zlib.error:
+            break
+        archive = z.unused_data
+    return b"".join(out)
+
+
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of a gzipped archive with one member a record; field names in lower case."""
-    data = gzip.GzipFile(fileobj=io.BytesIO(archive)).read()
+    """(fields, block) of each record of an archive, gzipped or plain; field names in lower case.
+
+    A record without a readable length ends where the next one begins. One that is cut off keeps
+    what is there and has the field x-cut.
+    """
+    data = inflate(archive)
+    begin = re.compile(rb"(?:\r\n|\n)*WARC/[0-9.]+\r?\n")
     at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        stop = end + 4 + int(fields["content-length"])
-        yield fields, data[end + 4 : stop]
-        at = stop + 4
+    while found := begin.match(data, at) or begin.search(data, at):
+        head = re.compile(rb"\r?\n\r?\n").search(data, found.end() - 1)
+        end = head.start() if head else len(data)
+        lines = data[found.end() : end].decode("utf-8", "replace").splitlines()
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        start, size = (head.end() if head else end), fields.get("content-length", "")
+        if size.isdigit():
+            stop = start + int(size)
+        else:
+            later = re.compile(rb"\r?\n\r?\nWARC/[0-9.]+\r?\n").search(data, start)
+            stop = later.start() if later else len(data.rstrip(b"\r\n"))
+        if stop > len(data) or not head:
+            fields["x-cut"] = "1"
+        yield fields, data[start:stop]
+        at = max(stop, found.end())
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: int = 4_096, archive_bytes: int = 1 << 20) -> None:
@@ -123,23 +150,26 @@ def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: in
     dealt.mapInArrow(run, "warc binary").write.option("compression", "none").parquet(path)
 
 
-FOUND = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, complete boolean"
+FOUND = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, complete boolean, record_id string, refers_to_id string"
+KINDS = ("response", "revisit", "resource", "continuation")
 
 
 def _page_of(name: str | None) -> int | None:
-    part = (name or "").split(":")[2:3]
-    return int(part[0]) if part and part[0] else None
+    """The page_id in a record ID that `records_of` made; null for any other."""
+    part = re.fullmatch(r"<urn:x-page:(-?[0-9]+):.*>", name or "")
+    return int(part[1]) if part else None
 
 
 def _settle(fields: dict[str, str], block: bytes, whole: bool, keep: bool) -> dict:
     """The outcome for one record whose block is put together: the payload is decoded and held against its digest."""
-    head, _, rest = block.partition(b"\r\n\r\n")
+    kind, stated = fields["warc-type"], fields.get("warc-payload-digest", "")
+    head, _, rest = block.partition(b"\r\n\r\n") if kind != "resource" else (b"", b"", block)
     http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
-    revisit = fields["warc-type"] == "revisit"
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    payload, size = None, None
-    if revisit:
-        size = int(http.get(b"content-length", b"0"))
+    digest = stated.removeprefix("sha1:") if re.fullmatch("sha1:[A-Z2-7]{32}", stated) else ""
+    payload, size, whole = None, None, whole and "x-cut" not in fields
+    if kind == "revisit":
+        length = http.get(b"content-length", b"")
+        size = int(length) if length.isdigit() else None
     elif whole:
         try:
             payload = unchunk(rest) if http.get(b"transfer-encoding", b"").lower() == b"chunked" else rest
@@ -147,63 +177,78 @@ def _settle(fields: dict[str, str], block: bytes, whole: bool, keep: bool) -> di
             whole, digest = found == digest or not digest, found
         except ValueError:
             whole = False
-    out = {"page_id": _page_of(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "refers_to": _page_of(fields.get("warc-refers-to")) if revisit else None, "payload_digest": digest, "payload_bytes": size, "complete": whole}
+    name, other = fields.get("warc-record-id"), fields.get("warc-refers-to") if kind == "revisit" else None
+    out = {"page_id": _page_of(name), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": _page_of(other), "payload_digest": digest or stated, "payload_bytes": size, "complete": whole, "record_id": name, "refers_to_id": other}
     return out | ({"payload": payload} if keep else {})
 
 
+def _rejoined(origin: str, pieces: list[dict], keep: bool) -> list[dict]:
+    """The outcomes for the segments under one origin: one, or several if all segments were written several times over."""
+    by: dict[int, list[dict]] = {}
+    for x in sorted(pieces, key=lambda x: x["number"]):
+        by.setdefault(x["number"], []).append(x)
+    times = {len(own) for own in by.values()}
+    same = len(times) == 1 and all(x["block"] == own[0]["block"] for own in by.values() for x in own)
+    chosen = [own[0] for own in by.values()] if same else sorted(pieces, key=lambda x: x["number"])
+    first = dict(chosen[0]["fields"]) if chosen[0]["number"] == 1 else {"warc-type": "response", "warc-record-id": origin}
+    block = b"".join(x["block"] for x in chosen)
+    whole = [x["number"] for x in chosen] == list(range(1, len(chosen) + 1)) and chosen[-1]["total"] == len(block)
+    whole = whole and not any("x-cut" in dict(x["fields"]) for x in chosen)
+    return [_settle(first, block, whole, keep)] * (times.pop() if same else 1)
+
+
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """One row a page from archives (warc binary): page_id, url, record_type, refers_to, payload_digest, payload_bytes, complete.
-
-    Records in one piece are settled where they are read. Pieces of segmented ones meet by the
-    record ID of their first segment, which the continuations name as origin; they are ordered by
-    segment number, and must number 1 to n without gaps and have the total length that the last one
-    states. A record that fails this, its framing or its digest has complete false and, unless only
-    the digest fails, null payload_bytes. payloads adds the decoded payload. Pieces without a first
-    segment are reported under their origin as incomplete responses. An empty table gives an empty result.
+    """One row a page from archives (warc binary), of any writer: page_id, url, record_type, refers_to, payload_digest, payload_bytes, complete, record_id, refers_to_id.
+
+    Archives are gzipped or plain, of version 1.0 or 1.1. page_id and refers_to are read from record
+    IDs that `write_archives` gave and are null for others. Records of other types than response,
+    revisit, resource and continuation hold no page. Records in one piece are settled where they are
+    read, and each is a row, whatever its ID. Pieces of segmented ones meet by the record ID of their
+    first segment, which the continuations name as origin; they are ordered by segment number, and
+    must number 1 to n without gaps and have the total length that the last one states; several equal
+    sets of pieces are several records. A record that fails this, its framing or its digest, or that
+    is cut off, has complete false and, unless only the digest fails, null payload_bytes. Only SHA-1
+    digests in base 32 are verified. payloads adds the decoded payload. Pieces without a first
+    segment are reported under their origin as incomplete responses. An empty table gives an empty
+    result, and null archives none.
     """
-    shape = ",".join(x.strip().replace(" ", ":", 1) for x in (FOUND + ", payload binary" * payloads).split(","))
+    columns = FOUND + ", payload binary" * payloads
+    shape = ",".join(x.strip().replace(" ", ":", 1) for x in columns.split(","))
     schema = f"origin string, done struct<{shape}>, number int, total long, fields map<string,string>, block binary"
     kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
-    found = pa.struct([(x.split()[0], kinds[x.split()[1]]) for x in (FOUND + ", payload binary" * payloads).split(", ")])
+    found = pa.struct([(x.split()[0], kinds[x.split()[1]]) for x in columns.split(", ")])
     types = [pa.string(), found, pa.int32(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
     names = ["origin", "done", "number", "total", "fields", "block"]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    whole = lambda text: int(text) if (text or "").isdigit() else None
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column("warc"):
                 rows = []
                 for f, block in parse(archive.as_py()):
-                    if f["warc-type"] not in ("response", "revisit", "continuation"):
+                    f["warc-type"] = f.get("warc-type", "").lower()
+                    if f["warc-type"] not in KINDS:
                         continue
-                    if "warc-segment-number" not in f:
-                        rows.append((f["warc-record-id"], _settle(f, block, True, payloads), None, None, None, None))
+                    number = whole(f.get("warc-segment-number"))
+                    if number is None:
+                        rows.append((f.get("warc-record-id"), _settle(f, block, True, payloads), None, None, None, None))
                     else:
-                        total = f.get("warc-segment-total-length")
-                        rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), None, int(f["warc-segment-number"]), total and int(total), list(f.items()), block))
+                        origin = f.get("warc-segment-origin-id", f.get("warc-record-id", ""))
+                        rows.append((origin, None, number, whole(f.get("warc-segment-total-length")), list(f.items()), block))
                 if rows:
-                    yield batch_of(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                if not r["pieces"]:
-                    out.append(r["done"])
-                    continue
-                pieces = sorted(r["pieces"], key=lambda x: x["number"])
-                first = dict(pieces[0]["fields"]) if pieces[0]["number"] == 1 else {"warc-type": "response", "warc-record-id": r["origin"]}
-                block = b"".join(x["block"] for x in pieces)
-                whole = [x["number"] for x in pieces] == list(range(1, len(pieces) + 1)) and pieces[-1]["total"] == len(block)
-                out.append(_settle(first, block, whole, payloads))
-            cols = [pa.array([x[f.name] for x in out], f.type) for f in found]
-            yield pa.RecordBatch.from_arrays(cols, [f.name for f in found])
-
-    rows = archives.select("warc").mapInArrow(split, schema)
-    grouped = rows.groupBy("origin").agg(F.first("done", ignorenulls=True).alias("done"), F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "total", "fields", "block"))).alias("pieces"))
-    return grouped.mapInArrow(join, FOUND + ", payload binary" * payloads)
+                out += _rejoined(r["origin"], r["pieces"], payloads) if r["pieces"] else [r["done"]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[f.name] for x in out], f.type) for f in found], [f.name for f in found])
+
+    rows = archives.select("warc").where("warc IS NOT NULL").mapInArrow(split, schema)
+    alone = F.when(F.col("number").isNull(), F.monotonically_increasing_id())  # a record in one piece is never grouped with another
+    grouped = rows.withColumn("alone", alone).groupBy("origin", "alone").agg(F.first("done", ignorenulls=True).alias("done"), F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "total", "fields", "block"))).alias("pieces"))
+    return grouped.mapInArrow(join, columns)
 
 
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,40 @@ def test_framing():
     with pytest.raises(ValueError):
         unchunk(b"3\r\nabcd\r\n0\r\n\r\n")
     assert [(f["warc-type"], b) for f, b in parse(gzip.compress(record({"WARC-Type": "a"}, b"\r\n\r\nq")))] == [("a", b"\r\n\r\nq")]
+
+
+def foreign(kind, block, *more, version="1.0", length=True, id_="<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>"):
+    head = [f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: {id_}", "WARC-Target-URI: http://a/", *more] + [f"Content-Length: {len(block)}"] * length
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark):
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    own = digest("hello")
+    records = [
+        foreign("warcinfo", b"software: x"), foreign("response", http + b"hello", f"WARC-Payload-Digest: sha1:{own}"), foreign("response", http + b"hello again"),
+        foreign("response", http + b"no length", length=False), foreign("resource", b"plain", version="1.1"), foreign("response", http + b"hello", "WARC-Payload-Digest: sha256:abc"),
+        foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To: <urn:uuid:x>"), foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n"),
+        foreign("response", b"no header at all"), foreign("response", http + b"ab", "WARC-Segment-Number: 1", id_="<urn:uuid:s>"),
+        foreign("continuation", b"cd", "WARC-Segment-Number: 2", "WARC-Segment-Origin-ID: <urn:uuid:s>", f"WARC-Segment-Total-Length: {len(http) + 4}", id_="<urn:uuid:t>"),
+    ]
+    for archive in (b"".join(map(gzip.compress, records)), b"".join(records)):
+        frame = spark.createDataFrame([(bytearray(archive),), (None,), (bytearray(b""),), (bytearray(b"no archive"),)], "warc binary")
+        got = read_archives(frame, payloads=True).collect()
+        seen = sorted((r["record_type"], bytes(r["payload"]) if r["payload"] is not None else None, r["complete"]) for r in got if r["record_type"] != "revisit" and r["payload"] is not None)
+        assert seen == sorted([("response", b"hello", True), ("response", b"hello again", True), ("response", b"no length", True), ("resource", b"plain", True), ("response", b"hello", True), ("response", b"", True), ("response", b"abcd", True)])
+        assert len(got) == 9 and all(r["page_id"] is None and r["record_id"].startswith("<urn:uuid:") for r in got)
+        assert [r["refers_to_id"] for r in got if r["record_type"] == "revisit"] == ["<urn:uuid:x>"]
+        assert sum(not r["complete"] for r in got) == 1
+    cut = read_archives(spark.createDataFrame([(bytearray(b"".join(records)[:-30]),)], "warc binary")).collect()
+    assert len(cut) == 9 and sum(not r["complete"] for r in cut) == 2
+    twice = read_archives(spark.createDataFrame([(bytearray(b"".join(records[-2:] * 2)),)], "warc binary")).collect()
+    assert [r["complete"] for r in twice] == [True, True]
+
+
+def test_very_long_html(spark, tmp_path):
+    rows = [(1, "http://a", "é" * 3_000_000), (2, "http://b", "é" * 3_000_000), (3, "http://c", None)]
+    got = {r["page_id"]: r for r in outcome(spark, rows, str(tmp_path / "long"))}
+    assert got[2]["payload_bytes"] == 6_000_000 and got[1]["refers_to"] == 2 and got[3]["payload_bytes"] == 0 and all(r["complete"] for r in got.values())
