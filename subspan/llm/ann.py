@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from subspan.llm.common import durable, table
+from subspan.llm.common import table
+from subspan.operators.blocks import count_blocks, pair_blocks, vectors_of
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -21,7 +22,10 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, vec) as long and doubles, without null vectors and such as are zero, empty or hold a null or non-finite component."""
+    """(id, vec) as long and doubles, without null vectors and such as are zero, empty or hold a null or non-finite component.
+
+    Rows without an id go too: they can neither ask nor be named in an answer.
+    """
     v = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(id_).cast("long").alias("id"), v.alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     finite = F.forall("vec", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
@@ -129,60 +133,55 @@ def build_index(vectors: DataFrame, dim: int, seed: int = 7) -> DataFrame:
     return vectors.where(F.size("vec") == dim).mapInArrow(run, "id long, vec array<double>, code binary, align double")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bound: float = 2.5, block: int = 2048, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bound: float = 2.5, block: int = 16_384, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of vectors by cosine for each row of queries, its own id left out.
 
     Both hold (id, vec) as `usable` returns them. Each vector becomes sign bits of its rotation and
     one scalar. A query's cosine with a row is estimated from the bits; the best by estimate are
     scored in full, then the rows whose upper bound reaches the k-th best score so far. `bound` is
     how many standard deviations of the estimate's error are allowed; 2.5 leaves one true neighbour
-    in some 160 to chance. Each task keeps k
-    rows a query, so k rows a query and task are shuffled. Queries go out in blocks of about `block`
-    rows, chosen by hash of id, so that what is broadcast does not grow with the data; a second
-    block makes the index be stored first.
+    in some 160 to chance. Blocks of at most about `block` queries meet blocks of the index, each
+    pair in one task that returns k rows a query; neither queries nor results go through the driver.
 
     Each length of vector has an index of its own, and a query meets the vectors of its length. A
     query id that repeats counts once for each length, with its least vector; repeated candidate rows
     each count. Fewer candidates than k are all returned; without queries the result is empty.
     """
     dims = sorted(r["dim"] for r in queries.select(F.size("vec").alias("dim")).distinct().collect())  # lengths only
-    parts = [p for p in (_search_length(vectors, queries, dim, k, bound, block, seed) for dim in dims) if p is not None]
-    if not parts:
+    if not dims:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = [_search_length(vectors, queries, dim, k, bound, block, seed) for dim in dims]
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return reduce(DataFrame.union, parts).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_length(vectors: DataFrame, queries: DataFrame, dim: int, k: int, bound: float, block: int, seed: int) -> DataFrame | None:
-    """(query_id, vec_id, score): what each task finds for the queries of dim components; None without any."""
-    spark, schema = vectors.sparkSession, "query_id long, vec_id long, score double"
+def _search_length(vectors: DataFrame, queries: DataFrame, dim: int, k: int, bound: float, block: int, seed: int) -> DataFrame:
+    """(query_id, vec_id, score): what each pair of blocks finds for the queries of dim components."""
     asked = queries.where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec"))
-    blocks = max(1, -(-asked.count() // block))
     index = build_index(vectors, dim, seed)
-    index = durable(index) if blocks > 1 else index
-    asked = durable(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))) if blocks > 1 else asked.withColumn("block", F.lit(0))
-    found = None
-    for b in range(blocks):
-        rows = asked.where(F.col("block") == b).select("id", "vec").collect()  # one block
-        if not rows:
-            continue
-        rows.sort()
-        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), np.array([r["vec"] for r in rows], dtype=np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best = Nearest(*shared.value, rotation(dim, seed), k, bound)
-            for batch in batches:
-                for a in range(0, batch.num_rows, 4096):
-                    part = batch.slice(a, 4096)
-                    vecs = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                    codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(vecs), -1)
-                    best.add(part.column("id").to_numpy(), vecs, codes, part.column("align").to_numpy())
-            q, place = np.nonzero(best.best > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(best.found[q, place]), pa.array(best.best[q, place])], ["query_id", "vec_id", "score"])
-
-        part = index.mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
-    return found
+    n_index = vectors.where(F.size("vec") == dim).count()
+    query_blocks = max(1, -(-asked.count() // block))
+    index_blocks = count_blocks(n_index, 9 * dim, (queries.sparkSession.sparkContext.defaultParallelism ** 2 + 1) // 2, least=1024)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            turn = rotation(dim, seed)
+            ids, rows = left.column("id").to_numpy(), vectors_of(left, "vec", dim)
+            other, vecs = right.column("id").to_numpy(), vectors_of(right, "vec", dim)
+            codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(vecs), -1)
+            align = right.column("align").to_numpy()
+            for a in range(0, len(ids), 2048):
+                best = Nearest(ids[a : a + 2048], rows[a : a + 2048], turn, k, bound)
+                for b in range(0, len(other), 4096):
+                    best.add(other[b : b + 4096], vecs[b : b + 4096], codes[b : b + 4096], align[b : b + 4096])
+                q, place = np.nonzero(best.best > -np.inf)
+                for own, found in zip(out, (best.ids[q], best.found[q, place], best.best[q, place]), strict=True):
+                    own.append(found)
+        cols = [np.concatenate(c) if c else np.empty(0) for c in out]
+        return pa.table({"query_id": pa.array(cols[0].astype("int64")), "vec_id": pa.array(cols[1].astype("int64")), "score": pa.array(cols[2].astype("float64"))})
+
+    return pair_blocks(asked, index, F.xxhash64("id"), (query_blocks, index_blocks), run, "query_id long, vec_id long, score double")
 
 
 def op7_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,7 +243,7 @@ def test_search_against_brute_force(spark, block):
 
 def test_search_edges(spark):
     bad = [None, [], [0.0] * 4, [1.0, None, 0.0, 0.0], [float("nan")] * 4, [float("inf"), 1, 1, 1], [1.0, 2.0], [1, 0, 0, 0], [0, 1, 0, 0], [1e200, 1e200, 0, 0]]
-    v = usable(vectors(spark, bad))
+    v = usable(vectors(spark, bad).union(spark.createDataFrame([(None, [1.0, 0.0, 0.0, 0.0], 1, "c")], vectors(spark, bad).schema)))
     assert sorted(r["id"] for r in v.collect()) == [6, 7, 8, 9]
     got = search(v, v).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(7, 9), (7, 8), (8, 9), (8, 7), (9, 7), (9, 8)]
@@ -251,6 +251,13 @@ def test_search_edges(spark):
     assert search(v.where("false"), v.where("false")).collect() == [] and search(v, v.where("false")).collect() == []
 
 
+def test_search_counts_repeated_rows(spark):
+    x = np.eye(6)
+    v = usable(vectors(spark, list(x))).union(usable(vectors(spark, list(x))).where("id = 3"))
+    got = search(v, v.where("id = 0"), k=7).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 5)]
+
+
 def test_search_meets_each_length(spark):
     rng = np.random.default_rng(12)
     x = [rng.standard_normal(8 if i % 3 else 5) for i in range(60)]
