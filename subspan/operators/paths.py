@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from subspan.operators.entity import with_diagonal
+from subspan.operators.entity import adjacency, with_diagonal
 from subspan.plans.lineage import durable
 
 HOPS = ("start", "hop", "node", "hop_distance", "total")
@@ -15,13 +16,16 @@ def greedy_paths(dist: DataFrame, entities: DataFrame, depth: int = 4, lower_is_
     """(start, hop, node, hop_distance, total) of the greedy walk from every entity, hop 0 being the start.
 
     A hop goes to the closest entity of all that the walk has not visited, ties to the smaller
-    index; the walk ends at depth or when none is left. All walks advance in one plan.
+    index; the walk ends at depth or when none is left. All walks advance in one plan. Before its
+    h-th hop a walk has visited h - 1 others, so each node's `depth` closest hold every next node,
+    and walks that gather at a hub meet that many rows, not all distances.
     """
+    near = durable(adjacency(dist, depth, lower_is_closer).select("src", "dst", "d")) if depth else None
     sign = 1.0 if lower_is_closer else -1.0
     step = entities.select(F.col("entity_idx").alias("start"), F.lit(0).alias("hop"), F.col("entity_idx").alias("node"), F.lit(None).cast("double").alias("hop_distance"), F.lit(0.0).alias("total"), F.array("entity_idx").alias("visited"))
     out = step
     for hop in range(1, depth + 1):
-        reach = step.join(dist, F.col("node") == F.col("src")).where(~F.array_contains("visited", F.col("dst")))
+        reach = step.join(near, F.col("node") == F.col("src")).where(~F.array_contains("visited", F.col("dst")))
         best = reach.groupBy("start", "total", "visited").agg(F.min(F.struct((F.col("d") * sign).alias("key"), F.col("dst"))).alias("m"))
         d = F.col("m.key") * sign
         step = best.select("start", F.lit(hop).alias("hop"), F.col("m.dst").alias("node"), d.alias("hop_distance"), (F.col("total") + d).alias("total"), F.array_append("visited", F.col("m.dst")).alias("visited"))
@@ -34,9 +38,11 @@ def greedy_paths_to(dist: DataFrame, entities: DataFrame, pairs: DataFrame, dept
 
     A hop goes to the unvisited entity closest to the target, the target itself at distance 0
     included, ties to the smaller index. Walks that do not arrive within depth have no rows; a walk
-    from the target to itself is the single node.
+    from the target to itself is the single node. Before its h-th hop a walk has visited h nodes, so
+    the depth + 1 closest to a target hold every next node.
     """
-    full = with_diagonal(dist, entities)
+    order = F.row_number().over(W.partitionBy("dst").orderBy("d", "src"))
+    full = durable(with_diagonal(dist, entities).withColumn("rank", order).where(F.col("rank") <= depth + 1).drop("rank"))
     step = pairs.select("start", "target", F.lit(0).alias("hop"), F.col("start").alias("node"), F.lit(None).cast("double").alias("hop_distance"), F.lit(0.0).alias("total"), F.array("start").alias("visited"))
     out = step
     for hop in range(1, depth + 1):

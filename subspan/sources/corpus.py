@@ -27,7 +27,3 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 def write_embeddings(entries: DataFrame, path: str) -> None:
     """One JSON line an entry."""
     entries.write.mode("overwrite").json(path)
-
-
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
