@@ -4,7 +4,7 @@ from __future__ import annotations
 
 REQUEST = (
     "job_id string, mode string, "
-    "build struct<entities:array<struct<id:string,embeddings:array<array<double>>>>,config:struct<k:int,p:int,k_graph:int,max_chunks:int,distance:string>>, "
+    "build struct<entities:array<struct<id:string,embeddings:array<array<double>>>>,table:string,entity:string,config:struct<k:int,p:int,k_graph:int,max_chunks:int,distance:string>>, "
     "query struct<graph:string,query:struct<type:string,from:string,to:string,depth:int>>"
 )
 PATH = "struct<nodes:array<string>,distances:array<double>,total_distance:double>"

@@ -70,6 +70,26 @@ _GEO = """sqrt(pow(acos(least(1, sqrt(greatest(0, tr / 2 + sqrt(greatest(0, tr *
  + pow(acos(least(1, sqrt(greatest(0, tr / 2 - sqrt(greatest(0, tr * tr / 4 - det * det)))))), 2))"""
 
 
+def plane_distances(left: str, right: str, on: str) -> str:
+    """A subquery (a, b, distance) of chunks x of left and y of right: geodesic distances of their planes. Needs bases of both."""
+    a, b, c, d = (f"list_dot_product(a{i}.u, b{j}.u)" for i in range(2) for j in range(2))
+    joins = " ".join(f"JOIN u{i} a{i} ON a{i}.i = x.chunk_id JOIN u{i} b{i} ON b{i}.i = y.chunk_id" for i in range(2))
+    return f"""(SELECT a, b, {_GEO} AS distance FROM (SELECT a, b, p * p + q * q + r * r + s * s AS tr, p * s - q * r AS det FROM (
+  SELECT x.chunk_id AS a, y.chunk_id AS b, {a} AS p, {b} AS q, {c} AS r, {d} AS s FROM {left} x JOIN {right} y ON {on} {joins})))"""
+
+
+def _cubic() -> str:
+    """Sum of squared angles of two 3-d subspaces with inner products m00 .. m22: eigenvalues of the squared matrix in trigonometric form."""
+    g = {(i, j): " + ".join(f"m{k}{i} * m{k}{j}" for k in range(3)) for i in range(3) for j in range(i, 3)}
+    squares = ", ".join(f"{v} AS g{i}{j}" for (i, j), v in g.items())
+    angle = "pow(acos(least(1, sqrt(greatest(0, {})))), 2)"
+    return f"""(SELECT *, sqrt({angle.format('e1')} + {angle.format('3 * q - e1 - e3')} + {angle.format('e3')}) AS distance FROM (
+  SELECT *, q + 2 * h * cos(phi) AS e1, q + 2 * h * cos(phi + 2 * pi() / 3) AS e3 FROM (
+  SELECT *, CASE WHEN h > 0 THEN acos(greatest(-1, least(1, ((g00 - q) * ((g11 - q) * (g22 - q) - g12 * g12) - g01 * (g01 * (g22 - q) - g12 * g02) + g02 * (g01 * g12 - (g11 - q) * g02)) / (2 * h * h * h)))) / 3 ELSE 0 END AS phi FROM (
+  SELECT *, sqrt((pow(g00 - q, 2) + pow(g11 - q, 2) + pow(g22 - q, 2) + 2 * (g01 * g01 + g02 * g02 + g12 * g12)) / 6) AS h FROM (
+  SELECT *, (g00 + g11 + g22) / 3 AS q FROM (SELECT src, dst, {squares} FROM mm))))))"""
+
+
 def entity_pairs(p: int = 2, metric: str = "geodesic", with_self: bool = False) -> str:
     """CTE half (src, dst, d), src < dst (<= with_self): means over pairs of representatives."""
     joins = " ".join(f"JOIN u{i} a{i} ON a{i}.i = x.chunk_id JOIN u{i} b{i} ON b{i}.i = y.chunk_id" for i in range(p))
@@ -79,6 +99,9 @@ def entity_pairs(p: int = 2, metric: str = "geodesic", with_self: bool = False)
         return f"""half AS MATERIALIZED (SELECT src, dst, avg({_GEO}) AS d FROM (
   SELECT src, dst, a * a + b * b + c * c + d * d AS tr, a * d - b * c AS det FROM (
     SELECT x.entity_idx AS src, y.entity_idx AS dst, {a} AS a, {b} AS b, {c} AS c, {d} AS d {pairs})) GROUP BY src, dst)"""
+    if metric == "geodesic" and p == 3:
+        dots = ", ".join(f"list_dot_product(a{i}.u, b{j}.u) AS m{i}{j}" for i in range(3) for j in range(3))
+        return f"mm AS MATERIALIZED (SELECT x.entity_idx AS src, y.entity_idx AS dst, {dots} {pairs}), half AS MATERIALIZED (SELECT src, dst, avg(distance) AS d FROM {_cubic()} GROUP BY src, dst)"
     return f"half AS MATERIALIZED (SELECT x.entity_idx AS src, y.entity_idx AS dst, avg({_distance(p, metric)}) AS d {pairs} GROUP BY 1, 2)"
 
 

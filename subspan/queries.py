@@ -24,7 +24,7 @@ from subspan.operators.knn import nearest
 from subspan.operators.tangent import tangents_of_chunks
 from subspan.plans import duck
 from subspan.plans.lineage import durable, scratch
-from subspan.sources import jobs
+from subspan.sources import corpus, jobs
 from subspan.streaming import jobs as worker
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,7 +167,19 @@ def b2_merge_short(spark, sf_dir):
     return rows.select("doc_id", (F.col("p") + 1).alias("pos"), F.md5("part").alias("part"))
 
 
-@query()
+_CHUNKS = f"""{_MERGED.replace("SELECT doc_id, done AS merged FROM f WHERE k = n", "")},
+m AS (SELECT doc_id, unnest(done) AS part, generate_subscripts(done, 1) AS pos FROM f WHERE k = n),
+l AS (SELECT doc_id, pos, string_split_regex(part, '\n\n+') AS ps FROM m WHERE length(part) > {md.MAX_CHARS}),
+h AS (SELECT doc_id, pos, ps, 1 AS i, [ps[1]] AS acc FROM l UNION ALL
+  SELECT doc_id, pos, ps, i + 1, CASE WHEN length(acc[-1]) + length(ps[i + 1]) > {md.MAX_CHARS} AND trim(acc[-1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
+    THEN list_append(acc, ps[i + 1]) ELSE list_append(acc[:-2], acc[-1] || chr(10) || chr(10) || ps[i + 1]) END FROM h WHERE i < len(ps)),
+w AS (SELECT doc_id, pos, 1 AS sub, part FROM m WHERE length(part) <= {md.MAX_CHARS} UNION ALL
+  SELECT doc_id, pos, sub, part FROM (SELECT doc_id, pos, generate_subscripts(acc, 1) AS sub, trim(unnest(acc), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS part FROM h WHERE i = len(ps)) WHERE part <> ''),
+c AS (SELECT CAST(doc_id AS VARCHAR) AS doc, row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub) AS chunk_idx, part FROM w)
+SELECT doc, chunk_idx, doc || '_' || CASE WHEN chunk_idx < 10 THEN '0' ELSE '' END || CAST(chunk_idx AS VARCHAR) AS chunk_id, length(part) AS chars, md5(part) AS text FROM c"""
+
+
+@query(_CHUNKS)
 def b3_chunk_markdown(spark, sf_dir):
     return md.chunk_markdown(markdown(spark, sf_dir), "doc_id", "md").select("doc", "chunk_idx", "chunk_id", F.length("text").alias("chars"), F.md5("text").alias("text"))
 
@@ -193,14 +205,19 @@ def d2_knn_by_index(spark, sf_dir):
 
 
 _TANGENTS = ",\n".join([duck.chunks(), duck.representatives(), duck.neighbours(), duck.bases()])
+_ALL_TANGENTS = ",\n".join([duck.chunks(), duck.neighbours(points="chunks"), duck.bases()])
 
 
-@query(f"WITH {_TANGENTS} SELECT chunk_id, round(list_aggregate(m, 'sum'), 6) AS center_sum, round(pow(u0.u[1], 2) + pow(u1.u[1], 2), 6) AS p11, round(u0.u[1] * u0.u[2] + u1.u[1] * u1.u[2], 6) AS p12 FROM reps JOIN mean ON mean.i = chunk_id JOIN u0 ON u0.i = chunk_id JOIN u1 ON u1.i = chunk_id")
+@query(f"""WITH {_ALL_TANGENTS}, w AS (SELECT i, unnest(u0.u) AS x, unnest(u1.u) AS y, unnest(m) AS c, list_sum(list_transform(u0.u, lambda x, k: x * k)) AS s0, list_sum(list_transform(u1.u, lambda x, k: x * k)) AS s1, generate_subscripts(u0.u, 1) AS pos
+  FROM u0 JOIN u1 USING (i) JOIN mean USING (i)) SELECT i AS chunk_id, CAST(pos AS INTEGER) AS pos, round(c, 6) AS center, round(x * s0 + y * s1, 3) + 0.0 AS projected FROM w""")
 def d4_tangent_projectors(spark, sf_dir):
+    """Of every chunk the centre, and the whole projector applied to (1, 2, ...), by component; to 3 digits where singular values lie close."""
     chunks = durable(label_chunks(spark, sf_dir))
-    t = tangents_of_chunks(chunks, 20, 2, only=ch.representatives(chunks))
-    b = lambda i, j: F.col("basis")[i][j]
-    return t.select("chunk_id", r6(F.aggregate("center", F.lit(0.0), lambda a, x: a + x)).alias("center_sum"), r6(b(0, 0) * b(0, 0) + b(1, 0) * b(1, 0)).alias("p11"), r6(b(0, 0) * b(0, 1) + b(1, 0) * b(1, 1)).alias("p12"))
+    t = tangents_of_chunks(chunks, 20, 2)
+    along = lambda i: F.aggregate(F.transform(F.col("basis")[i], lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    t = t.select("chunk_id", "basis", F.posexplode("center").alias("p", "c"), along(0).alias("s0"), along(1).alias("s1"))
+    value = F.col("basis")[0][F.col("p")] * F.col("s0") + F.col("basis")[1][F.col("p")] * F.col("s1")
+    return t.select("chunk_id", (F.col("p") + 1).alias("pos"), r6("c").alias("center"), (F.round(value, 3) + 0.0).alias("projected"))
 
 
 _ANGLES = f"""WITH {_TANGENTS}, pr AS (SELECT x.chunk_id AS a, y.chunk_id AS b, list_dot_product(a0.u, b0.u) AS p, list_dot_product(a0.u, b1.u) AS q, list_dot_product(a1.u, b0.u) AS r, list_dot_product(a1.u, b1.u) AS s
@@ -251,9 +268,10 @@ def d8_chordal_3d(spark, sf_dir):
     return _distances(spark, sf_dir, 3, "chordal")
 
 
-@query()
+@query(_half(p=3).replace("round(d, 6)", "round(d, 3)"))
 def d10_geodesic_3d(spark, sf_dir):
-    return _distances(spark, sf_dir, 3, "geodesic")
+    """To 3 digits: where singular values lie close, the SQL's power iteration finds the third direction less exactly."""
+    return _distances(spark, sf_dir, 3, "geodesic").withColumn("d", F.round("d", 3))
 
 
 @query(f"WITH {duck.chunks()}, {duck.representatives()} SELECT entity_id, chunk_pos, chunk_id FROM reps")
@@ -280,8 +298,8 @@ def d14_rank_candidates(spark, sf_dir):
     chunks = durable(label_chunks(spark, sf_dir))
     reps = durable(ch.representatives(chunks))
     t = durable(tangents_of_chunks(chunks, 20, 2, only=reps).withColumnRenamed("chunk_id", "id"))
-    ranked = ranking.rank_tangents(t.where("chunk_pos = 1"), t, 2).where("query_id <> id").drop("rank")
-    w = ranking.W.partitionBy("query_id").orderBy("distance", "id")
+    ranked = ranking.rank_tangents(t.where("chunk_pos = 1"), t, 2, top=20, others=True).drop("rank")
+    w = ranking.W.partitionBy("query_id").orderBy("distance", "id")  # by 6 digits, as the SQL has them
     return ranked.withColumn("distance", r6("distance")).withColumn("rank", F.row_number().over(w)).where("rank <= 10")
 
 
@@ -322,6 +340,45 @@ def a9_saved_graph(spark, sf_dir):
     return gr.load_graph(spark, path).knn.select("src", "dst", "rank", r6("d").alias("distance"))
 
 
+@query("SELECT len(embedding) AS width, count(*) AS chunks FROM embeddings GROUP BY ALL")
+def e2_shape(spark, sf_dir):
+    """The common length that building a graph asks of all vectors."""
+    chunks = label_chunks(spark, sf_dir)
+    return chunks.agg(F.lit(ch.check(chunks)).cast("long").alias("width"), F.count("*").alias("chunks"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS VARCHAR) AS entity, 64 AS dimension, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
+def a13_read_embeddings(spark, sf_dir):
+    """embeddings written as JSON corpora of at most 100 entries a file, and read again."""
+    v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") / 100).cast("long").alias("file"), F.struct(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("doc"), F.col("embedding").cast("array<double>").alias("embedding")).alias("e"), F.size("embedding").alias("n"))
+    files = v.groupBy("file").agg(F.max("n").alias("dimension"), F.collect_list("e").alias("entries"))
+    path = scratch(spark, "corpora")
+    files.select("file", F.to_json(F.struct(F.lit("own").alias("model"), "dimension", "entries")).alias("value")).write.partitionBy("file").text(path)
+    got = corpus.read_embeddings(spark, f"{path}/*")
+    return got.select("id", "entity", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("SELECT vec_id, CAST(label AS VARCHAR) AS entity, len(embedding) AS n FROM embeddings")
+def a16_write_embeddings(spark, sf_dir):
+    path = scratch(spark, "embeddings")
+    corpus.write_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("entity"), "embedding"), path)
+    return spark.read.schema("vec_id long, entity string, embedding array<double>").json(path).select("vec_id", "entity", F.size("embedding").cast("long").alias("n"))
+
+
+@query(f"WITH {duck.chunks('e50')} SELECT entity_id AS asked, entity_idx FROM entities WHERE entity_idx IN (1, 7) UNION ALL SELECT 'nobody', NULL")
+def f5_entity_index(spark, sf_dir):
+    """Known entities have an index; asking for another raises."""
+    entities = durable(ch.entities_of(e50_chunks(spark, sf_dir)))
+    g = gr.Graph(entities, None, None, SPACE, GRAPH)
+    rows = []
+    for name in [r[0] for r in entities.where("entity_idx IN (1, 7)").select("entity_id").collect()] + ["nobody"]:
+        try:
+            rows.append((name, g.index_of(name)))
+        except ValueError:
+            rows.append((name, None))
+    return spark.createDataFrame(rows, "asked string, entity_idx long")
+
+
 # ---------------------------------------------------------------- paths
 
 _HOPS = "start, CAST(hop AS INTEGER) AS hop, node, round(hop_distance, 6) AS hop_distance, round(total, 6) AS total"
@@ -442,28 +499,58 @@ def i1_cosine_ranking(spark, sf_dir):
     return base.cosine_ranking(c, c, 10).select("id", "other", "rank", r6("score").alias("score"))
 
 
-def _precision(k: str) -> str:
-    return f"SELECT id, entity_idx, CAST({k} AS BIGINT) AS k, round(avg(CASE WHEN other_entity = entity_idx THEN 1.0 ELSE 0.0 END), 6) AS precision FROM cr WHERE n_chunks > 1 AND rank <= {k} GROUP BY id, entity_idx, n_chunks"
+def _precision(k: str, ranks: str = "cr") -> str:
+    return f"SELECT id, entity_idx, CAST({k} AS BIGINT) AS k, round(avg(CASE WHEN other_entity = entity_idx THEN 1.0 ELSE 0.0 END), 6) AS precision FROM {ranks} WHERE n_chunks > 1 AND rank <= {k} GROUP BY id, entity_idx, n_chunks"
 
 
-@query(f"WITH {_COSRANK} {_precision('least(n_chunks - 1, 10)')}")
-def i2_precision_at_10(spark, sf_dir):
+_SUBRANK = f"""{duck.neighbours(points="chunks")}, {duck.bases()},
+sr AS MATERIALIZED (SELECT a AS id, x.entity_idx, x.n_chunks, b AS other, y.entity_idx AS other_entity, distance, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank
+  FROM {duck.plane_distances("chunks", "chunks", "x.chunk_id <> y.chunk_id")} JOIN chunks x ON x.chunk_id = a JOIN chunks y ON y.chunk_id = b)"""
+
+
+def _both_rankings(spark, sf_dir, top: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rankings by cosine and by subspace distance, and the entities; top None: as many as the largest entity holds."""
     c = durable(label_chunks(spark, sf_dir))
-    return base.precision_at(base.cosine_ranking(c, c, 10), ch.entities_of(c), 10).withColumn("precision", r6("precision"))
+    sizes = durable(ch.entities_of(c))
+    top = top or max(1, (sizes.agg(F.max("n_chunks")).first()[0] or 1) - 1)
+    return base.cosine_ranking(c, c, top), base.subspace_ranking(durable(tangents_of_chunks(c, SPACE.k, SPACE.p)), SPACE.p, top=top), sizes
+
+
+def _both_precisions(spark, sf_dir, most: int | None) -> tuple[DataFrame, DataFrame]:
+    cosine, subspace, sizes = _both_rankings(spark, sf_dir, most)
+    return base.precision_at(cosine, sizes, most), base.precision_at(subspace, sizes, most)
+
 
+def _by_method(cosine: DataFrame, subspace: DataFrame) -> DataFrame:
+    return cosine.withColumn("method", F.lit("cosine")).unionByName(subspace.withColumn("method", F.lit("subspace")))
 
-@query(f"WITH {_COSRANK} {_precision('n_chunks - 1')}")
+
+def _methods(one: str, other: str) -> str:
+    return f"SELECT 'cosine' AS method, * FROM ({one}) UNION ALL SELECT 'subspace' AS method, * FROM ({other})"
+
+
+@query(f"WITH {_COSRANK}, {_SUBRANK} " + _methods(_precision("least(n_chunks - 1, 10)"), _precision("least(n_chunks - 1, 10)", "sr")))
+def i2_precision_at_10(spark, sf_dir):
+    return _by_method(*_both_precisions(spark, sf_dir, 10)).withColumn("precision", r6("precision"))
+
+
+@query(f"WITH {_COSRANK}, {_SUBRANK} " + _methods(_precision("n_chunks - 1"), _precision("n_chunks - 1", "sr")))
 def i3_precision_at_size(spark, sf_dir):
-    c = durable(label_chunks(spark, sf_dir))
-    return base.precision_at(base.cosine_ranking(c, c), ch.entities_of(c)).withColumn("precision", r6("precision"))
+    return _by_method(*_both_precisions(spark, sf_dir, None)).withColumn("precision", r6("precision"))
 
 
-@query(f"WITH {_COSRANK}, a AS ({_precision('least(n_chunks - 1, 10)')}), b AS ({_precision('n_chunks - 1')}), g AS (SELECT entity_idx, round(avg(a.precision), 5) AS a, round(avg(b.precision), 5) AS b FROM a JOIN b USING (id, entity_idx) GROUP BY entity_idx) SELECT *, CASE WHEN a > b THEN 'a' WHEN a < b THEN 'b' ELSE 'tie' END AS winner FROM g")
+@query(f"WITH {_COSRANK}, {_SUBRANK}, a AS ({_precision('least(n_chunks - 1, 10)', 'sr')}), b AS ({_precision('least(n_chunks - 1, 10)')}), g AS (SELECT entity_idx, round(avg(a.precision), 5) AS subspace, round(avg(b.precision), 5) AS cosine FROM a JOIN b USING (id, entity_idx) GROUP BY entity_idx) SELECT *, CASE WHEN subspace > cosine THEN 'subspace' WHEN subspace < cosine THEN 'cosine' ELSE 'tie' END AS winner FROM g")
 def i4_compare_precision(spark, sf_dir):
-    c = durable(label_chunks(spark, sf_dir))
-    ranking_, sizes = durable(base.cosine_ranking(c, c)), ch.entities_of(c)
-    found = base.compare_precision(base.precision_at(ranking_, sizes, 10), base.precision_at(ranking_, sizes))
-    return found.withColumns({"a": F.round("a", 5), "b": F.round("b", 5)})
+    cosine, subspace = _both_precisions(spark, sf_dir, 10)
+    return base.compare_precision(subspace, cosine, "subspace", "cosine", 5)
+
+
+@query(f"WITH {_COSRANK}, {_SUBRANK}, a AS ({_precision('least(n_chunks - 1, 10)')}), b AS ({_precision('n_chunks - 1', 'sr')}) SELECT 'cosine' AS method, round(avg(p), 5) AS precision FROM (SELECT avg(precision) AS p FROM a GROUP BY entity_idx) UNION ALL SELECT 'subspace', round(avg(precision), 5) FROM b")
+def i4_overall_precision(spark, sf_dir):
+    """Of cosine at 10 the mean over entities, of subspaces at the entity's size the mean over queries."""
+    cosine, _ = _both_precisions(spark, sf_dir, 10)
+    _, subspace = _both_precisions(spark, sf_dir, None)
+    return _by_method(base.overall_precision(cosine, True), base.overall_precision(subspace, False)).withColumn("precision", F.round("precision", 5))
 
 
 @query(f"WITH {_COS} SELECT src, dst, round(d, 6) AS d FROM cd")
@@ -528,10 +615,18 @@ def i13_nearest_agreement(spark, sf_dir):
     return base.nearest_agreement(s.dist, c.dist)
 
 
-@query(f"WITH {_COS}, {duck.nearest('cd', 'DESC')} SELECT node, next FROM nn")
+@query(f"""WITH {_COS}, {duck.nearest('cd', 'DESC')}, {duck.neighbours(points="chunks")}, {duck.bases()},
+first AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS n FROM {duck.plane_distances("chunks", "chunks", "x.chunk_pos = 1 AND x.entity_idx <> y.entity_idx")})
+SELECT node, next AS cosine, y.entity_idx AS subspace FROM nn JOIN chunks x ON x.entity_idx = node AND x.chunk_pos = 1 JOIN first ON a = x.chunk_id AND n = 1 JOIN chunks y ON y.chunk_id = b""")
 def i14_nearest_document(spark, sf_dir):
-    g = cosine_graph(durable(e50_chunks(spark, sf_dir)))
-    return topology.nearest_of(g.dist, lower_is_closer=False)
+    """By mean cosine over all pairs of chunks, and by the closest chunk to the first one's tangent space."""
+    c = durable(e50_chunks(spark, sf_dir))
+    t = durable(tangents_of_chunks(c, SPACE.k, SPACE.p).withColumnRenamed("chunk_id", "id"))
+    best = ranking.rank_tangents(t.where("chunk_pos = 1"), t, SPACE.p, top=1, apart="entity_idx")
+    own = t.select("id", "entity_idx")
+    best = best.join(own.select("id", F.col("entity_idx").alias("subspace")), "id").join(own.select(F.col("id").alias("query_id"), F.col("entity_idx").alias("node")), "query_id")
+    cosine = topology.nearest_of(cosine_graph(c).dist, lower_is_closer=False).select("node", F.col("next").alias("cosine"))
+    return cosine.join(best, "node").select("node", "cosine", "subspace")
 
 
 @query(f"SELECT query_id, id FROM (SELECT a AS query_id, b AS id, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS n FROM ({_RANKED}) WHERE b % 2 = 1) WHERE n = 1")
@@ -539,25 +634,48 @@ def i15_nearest_of_some(spark, sf_dir):
     chunks = durable(label_chunks(spark, sf_dir))
     reps = durable(ch.representatives(chunks))
     t = durable(tangents_of_chunks(chunks, 20, 2, only=reps).withColumnRenamed("chunk_id", "id"))
-    ranked = ranking.rank_tangents(t.where("chunk_pos = 1"), t.where("id % 2 = 1"), 2).where("query_id <> id")
+    ranked = ranking.rank_tangents(t.where("chunk_pos = 1"), t.where("id % 2 = 1"), 2, top=10, others=True)
     best = ranked.withColumn("n", F.row_number().over(ranking.W.partitionBy("query_id").orderBy(r6("distance"), "id"))).where("n = 1")
     return best.select("query_id", "id")
 
 
-@query(f"WITH {_COSRANK} SELECT CAST(entity_idx AS VARCHAR) AS entity, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, round(min(score), 6) AS low, round(max(score), 6) AS high FROM cr WHERE entity_idx = other_entity GROUP BY entity_idx")
+def _spread(value: str, ranks: str) -> str:
+    return f"SELECT entity_idx, round(avg({value}), 5) AS mean, round(stddev_samp({value}), 5) AS std, round(min({value}), 5) AS low, round(max({value}), 5) AS high FROM {ranks} WHERE entity_idx = other_entity GROUP BY entity_idx"
+
+
+@query(f"WITH {_COSRANK}, {_SUBRANK} " + _methods(_spread("score", "cr"), _spread("distance", "sr")))
 def i16_spread_by_cluster(spark, sf_dir):
     c = durable(label_chunks(spark, sf_dir))
-    rows = base.cosine_ranking(c, c).where("entity_idx = other_entity").withColumn("entity", F.col("entity_idx").cast("string"))
-    return base.spread_by_group(rows, "entity", "score").select("entity", *[r6(x).alias(x) for x in ("mean", "std", "low", "high")])
+    t = durable(tangents_of_chunks(c, SPACE.k, SPACE.p))
+    cosine = base.spread_within(c.select(F.col("chunk_id").alias("id"), "entity_idx", "vec"), "vec", base.cosines)
+    subspace = base.spread_within(t.select(F.col("chunk_id").alias("id"), "entity_idx", F.flatten("basis").alias("flat")), "flat", ranking.subspace_scores(SPACE.p))
+    return _by_method(cosine, subspace).withColumns({x: F.round(x, 5) for x in ("mean", "std", "low", "high")})
 
 
-@query()
+def _prefix_cosines(dims: str) -> str:
+    return f"list_cosine_similarity(a.vec[:{dims}], b.vec[:{dims}])"
+
+
+@query(f"""WITH {_ALL_TANGENTS}, {duck.representatives()},
+near AS MATERIALIZED (SELECT * FROM (SELECT a.chunk_id AS a, b.chunk_id AS b, row_number() OVER (PARTITION BY a.chunk_id ORDER BY {_prefix_cosines('16')} DESC, b.chunk_id) AS n FROM reps a, chunks b) WHERE n <= 20),
+d AS (SELECT p.a, p.b, distance, row_number() OVER (PARTITION BY p.a ORDER BY distance, p.b) AS rank FROM {duck.plane_distances("reps", "chunks", "true")} p JOIN near USING (a, b))
+SELECT a AS query_id, b AS id, round(distance, 3) AS distance, CAST(rank AS INTEGER) AS rank FROM d""")
 def j_prefiltered_ranking(spark, sf_dir):
+    """To 3 digits, as d12: each query is among its own candidates."""
     chunks = durable(label_chunks(spark, sf_dir))
     reps = points(durable(ch.representatives(chunks)))
     every = points(chunks)
     found = ranking.prefiltered(reps, every, every, 16, 20)
-    return found.withColumn("distance", r6("distance"))
+    return found.withColumn("distance", F.round("distance", 3))
+
+
+@query(f"""WITH {duck.chunks()}, s AS (SELECT dims, a.chunk_id AS id, b.chunk_id AS other, row_number() OVER (PARTITION BY dims, a.chunk_id ORDER BY {_prefix_cosines('dims')} DESC, b.chunk_id) AS n
+  FROM chunks a JOIN chunks b ON a.chunk_id <> b.chunk_id CROSS JOIN (SELECT unnest([4, 8, 16, 32, 64]) AS dims)),
+t AS (SELECT * FROM s WHERE n <= 10)
+SELECT c.dims, round(count(f.id) / CAST(count(*) AS DOUBLE), 5) AS kept FROM t c LEFT JOIN (SELECT id, other FROM t WHERE dims = 64) f ON f.id = c.id AND f.other = c.other WHERE c.dims < 64 GROUP BY c.dims""")
+def j_dimension_sweep(spark, sf_dir):
+    """What share of the 10 nearest by cosine the first components alone find."""
+    return ranking.dimension_sweep(points(durable(label_chunks(spark, sf_dir))), (4, 8, 16, 32), 10).withColumn("kept", F.round("kept", 5))
 
 
 # ---------------------------------------------------------------- jobs
@@ -565,28 +683,24 @@ def j_prefiltered_ranking(spark, sf_dir):
 
 @query()
 def h1_worker(spark, sf_dir):
-    """A build request over one chunk set, then every kind of query, through the stream."""
+    """A build request over the whole table, then every kind of query, through the stream."""
     import json
 
-    rows = e50_chunks(spark, sf_dir).where("entity_idx <= 6 AND chunk_pos <= 4").orderBy("entity_idx", "chunk_pos").collect()  # one request's vectors
-    grouped: dict = {}
-    for r in rows:
-        grouped.setdefault(r["entity_id"], []).append(r["vec"])
-    config = {"k": 8, "p": 2, "k_graph": 3, "max_chunks": 3, "distance": "geodesic"}
-    build = {"job_id": "build", "mode": "build", "build": {"entities": [{"id": i, "embeddings": v} for i, v in grouped.items()], "config": config}}
+    config = {"k": 20, "p": 2, "k_graph": 3, "max_chunks": 5, "distance": "geodesic"}
+    build = {"job_id": "build", "mode": "build", "build": {"table": f"{sf_dir}/embeddings.parquet", "entity": "label", "config": config}}
     inbox, out = scratch(spark, "inbox"), scratch(spark, "outbox")
 
     def send(*requests) -> None:
-        spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),) for r in requests], "value string").repartition(len(requests)).write.mode("append").text(inbox)
+        spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),) for r in requests], "value string").coalesce(1).repartition(len(requests)).write.mode("append").text(inbox)
         worker.run_worker(worker.request_stream(spark, inbox), out).awaitTermination()
 
     send(build)
-    handle = jobs.read_results(spark.read.text(f"{out}/results")).where("job_id = 'build'").first()["result"]["graph"]
-    ids = list(grouped)
+    results = lambda: jobs.read_results(spark.read.option("recursiveFileLookup", True).text(f"{out}/results"))
+    handle = results().where("job_id = 'build'").first()["result"]["graph"]
+    ids = ["1", "2"]
     ask = lambda kind, **more: {"job_id": kind, "mode": "query", "query": {"graph": handle, "query": {"type": kind} | more}}
     send(ask("greedy_path", **{"from": ids[0]}), ask("shortest_path", **{"from": ids[0], "to": ids[-1]}), ask("reachable", **{"from": ids[0]}), ask("communities"), ask("basins"), ask("topology"), ask("nonsense"), "not json", {"job_id": "m", "mode": "explode"})
-    found = jobs.read_results(spark.read.text(f"{out}/results"))
-    return found.select("job_id", "success", F.col("error").isNotNull().alias("failed"), F.size("result.path.nodes").alias("path"), F.size("result.reachable").alias("reached"), F.size("result.topology.communities").alias("communities"))
+    return results().select("job_id", "success", F.col("error").isNotNull().alias("failed"), F.size("result.path.nodes").alias("path"), F.size("result.reachable").alias("reached"), F.size("result.topology.communities").alias("communities"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

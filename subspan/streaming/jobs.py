@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from subspan.config import GraphConfig, SpaceConfig, wire_metric
 from subspan.model import EMPTY_TOPOLOGY, LOG, RESULT, STATUS
-from subspan.operators.chunks import from_entities
+from subspan.operators.chunks import from_entities, from_vectors
 from subspan.operators.graph import Graph, build_graph, load_graph, save_graph
 from subspan.operators.paths import greedy_paths, greedy_paths_to, path_hops, reachable, shortest_paths
 from subspan.operators.topology import basins, bridges, communities, hub_centrality, hub_concentration, mutual_edges
@@ -100,18 +100,33 @@ def answer(graph: Graph, query: dict) -> dict:
     raise ValueError(f"unknown query type: {kind}")
 
 
-def build(spark: SparkSession, request: dict) -> dict:
-    entities, c = request["entities"] or [], request["config"]
-    ids = [e["id"] for e in entities]
-    if len(set(ids)) != len(ids):
-        raise ValueError("an entity id repeats")
-    for e in entities:
-        if not e["embeddings"]:
-            raise ValueError(f"no chunks for entity: {e['id']!r}")
-    rows = spark.createDataFrame([(i + 1, e["id"], e["embeddings"]) for i, e in enumerate(entities)], "entity_idx long, id string, embeddings array<array<double>>")
-    graph = build_graph(from_entities(rows), SpaceConfig(c["k"], c["p"], wire_metric(c["distance"])), GraphConfig(c["k_graph"], c["max_chunks"]))
+def build(spark: SparkSession, request: dict, log=lambda level, message: None) -> dict:
+    """Build and store a graph of the vectors in the request, or of a stored table that it names.
+
+    A table is Parquet with vec_id and embedding; entity names the column that tells whose a vector
+    is. Its vectors never pass the driver.
+    """
+    c = request["config"]
+    space, graph_ = SpaceConfig(c["k"], c["p"], wire_metric(c["distance"])), GraphConfig(c["k_graph"], c["max_chunks"])
+    log("info", "Building graph")
+    if request.get("table"):
+        chunks = from_vectors(spark.read.parquet(request["table"]), F.col(request.get("entity") or "label"))
+        graph = build_graph(chunks, space, graph_)
+        entities, n = graph.entities.agg(F.count("*"), F.sum("n_chunks")).first()
+    else:
+        given = request["entities"] or []
+        ids = [e["id"] for e in given]
+        if len(set(ids)) != len(ids):
+            raise ValueError("an entity id repeats")
+        for e in given:
+            if not e["embeddings"]:
+                raise ValueError(f"no chunks for entity: {e['id']!r}")
+        rows = spark.createDataFrame([(i + 1, e["id"], e["embeddings"]) for i, e in enumerate(given)], "entity_idx long, id string, embeddings array<array<double>>")
+        graph = build_graph(from_entities(rows), space, graph_)
+        entities, n = len(given), sum(len(e["embeddings"]) for e in given)
     handle = save_graph(graph, scratch(spark, "graph"))
-    return {"graph": handle, "entities": len(entities), "chunks": sum(len(e["embeddings"]) for e in entities)}
+    log("info", f"Graph built: entities={entities} chunks={n}")
+    return {"graph": handle, "entities": entities, "chunks": n}
 
 
 def process(spark: SparkSession, request: dict | None, worker_id: str, error: str | None = None, log=lambda level, message: None) -> dict:
@@ -128,8 +143,9 @@ def process(spark: SparkSession, request: dict | None, worker_id: str, error: st
         if request.get(mode) is None:
             return done | {"error": f"{mode} mode requires {mode} params"}
         if mode == "build":
-            result = build(spark, request["build"])
+            result = build(spark, request["build"], log)
         else:
+            log("info", f"Query: type={request['query']['query']['type']}")
             result = answer(load_graph(spark, request["query"]["graph"]), request["query"]["query"])
         return done | {"success": True, "result": result}
     except Exception as e:  # noqa: BLE001  whatever fails becomes the job's error
@@ -142,21 +158,24 @@ def run_worker(requests: DataFrame, out: str, worker_id: str = "worker", checkpo
     """A streaming query over requests (value: JSON): results, status and log are appended as JSON lines under out.
 
     All requests that are there are worked off, then the stream ends (availableNow). A batch holds
-    requests, which are few and small next to the data they start work on.
+    requests, which are few and small next to the data they start work on. Status "processing" is
+    written before the work. What is written lies under the batch's number and the request's hash,
+    so that a batch that is run again replaces its results. Read them with recursiveFileLookup.
     """
     spark = requests.sparkSession
 
     def batch(rows: DataFrame, number: int) -> None:
-        for r in parse_requests(rows).select("request", "error").collect():
+        for r in parse_requests(rows.withColumn("key", F.md5(F.col("value").cast("string")))).select("key", "request", "error").distinct().collect():
             request = r["request"].asDict(True) if r["request"] is not None else None
             logs: list[tuple] = []
-            job = (request or {}).get("job_id") or "unknown"
-            status = [(job, "processing", worker_id, now())]
+            job, at = (request or {}).get("job_id") or "unknown", f"{number:06d}-{r['key']}"
+            begun = [(job, "processing", worker_id, now())]
+            spark.createDataFrame(begun, STATUS).write.mode("overwrite").json(f"{out}/status/{at}-0")
             result = process(spark, request, worker_id, r["error"], lambda level, message, job=job, logs=logs: logs.append((job, level, message, now())))
-            status.append((result["job_id"], "completed" if result["success"] else "error", worker_id, now()))
-            serialize_results(spark.createDataFrame([result], RESULT)).write.mode("append").text(f"{out}/results")
-            spark.createDataFrame(status, STATUS).write.mode("append").json(f"{out}/status")
-            spark.createDataFrame(logs, LOG).write.mode("append").json(f"{out}/log")
+            serialize_results(spark.createDataFrame([result], RESULT)).write.mode("overwrite").text(f"{out}/results/{at}")
+            ended = [(result["job_id"], "completed" if result["success"] else "error", worker_id, now())]
+            spark.createDataFrame(ended, STATUS).write.mode("overwrite").json(f"{out}/status/{at}-1")
+            spark.createDataFrame(logs, LOG).write.mode("overwrite").json(f"{out}/log/{at}")
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or f"{out}/checkpoint").trigger(availableNow=True).start()
 

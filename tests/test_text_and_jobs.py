@@ -98,7 +98,7 @@ def test_worker(spark, tmp_path):
             n[0] += 1
             (inbox / f"{n[0]:03d}.json").write_text(r if isinstance(r, str) else json.dumps(r, indent=1))
         worker.run_worker(worker.request_stream(spark, str(inbox)), out, "w1").awaitTermination()
-        return {r["job_id"]: r for r in jobs.read_results(spark.read.text(f"{out}/results")).collect()}
+        return {r["job_id"]: r for r in jobs.read_results(spark.read.option("recursiveFileLookup", True).text(f"{out}/results")).collect()}
 
     bad = [dict(entities[0], embeddings=[]), entities[1]]
     got = send({"job_id": "b", "mode": "build", "build": {"entities": entities, "config": config}}, {"job_id": "e", "mode": "build", "build": {"entities": bad, "config": config}}, {"job_id": "n", "mode": "build"}, {"job_id": "x", "mode": "explode"}, "not json")
@@ -120,5 +120,41 @@ def test_worker(spark, tmp_path):
     assert sum(x["in_degree"] for x in t["hub_centrality"]) == 8 and {m for c in t["communities"] for m in c["members"]} == {f"E{i}" for i in range(4)}
     assert got["communities"]["result"]["topology"]["basins"] == [] and got["basins"]["result"]["topology"]["communities"] == []
     assert "unknown entity" in got["z"]["error"] and "unknown query type: nonsense" in got["nonsense"]["error"]
-    status = [r["status"] for r in spark.read.json(f"{out}/status").where("job_id = 'b'").orderBy(F.desc("status")).collect()]
-    assert status == ["processing", "completed"] and spark.read.json(f"{out}/log").count() > 0
+    status = [r["status"] for r in spark.read.option("recursiveFileLookup", True).json(f"{out}/status").where("job_id = 'b'").orderBy(F.desc("status")).collect()]
+    assert status == ["processing", "completed"] and spark.read.option("recursiveFileLookup", True).json(f"{out}/log").where("message = 'Building graph'").count() == 2
+
+
+def test_program_builds_from_a_table(spark, tmp_path):
+    from subspan.streaming.main import main
+
+    rng = np.random.default_rng(43)
+    spark.createDataFrame([(i, rng.standard_normal(8).tolist(), f"g{i % 4}") for i in range(40)], "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/vectors")
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    config = {"k": 6, "p": 2, "k_graph": 2, "max_chunks": 3, "distance": "geodesic"}
+    (inbox / "a.json").write_text(json.dumps({"job_id": "t", "mode": "build", "build": {"table": f"{tmp_path}/vectors", "entity": "label", "config": config}}))
+    assert main([str(inbox)], {}, spark) == 2 and main([str(inbox), out], {}, spark) == 1
+    assert main([str(inbox), out], {"JOB_ID": "7"}, spark) == 0
+    read = lambda: jobs.read_results(spark.read.option("recursiveFileLookup", True).text(f"{out}/results")).collect()
+    (got,) = read()
+    assert got["success"] and (got["result"]["entities"], got["result"]["chunks"], got["worker_id"]) == (4, 40, "worker-7")
+    import shutil
+
+    shutil.rmtree(f"{out}/checkpoint")  # the batch is run again: its results are replaced, not repeated
+    assert main([str(inbox), out], {"JOB_ID": "7"}, spark) == 0 and len(read()) == 1
+
+
+def test_dimension_sweep(spark):
+    from subspan.operators.ranking import dimension_sweep
+
+    rng = np.random.default_rng(44)
+    x = rng.standard_normal((60, 12))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+
+    def near(n):
+        u = x[:, :n] / np.linalg.norm(x[:, :n], axis=1, keepdims=True)
+        s = u @ u.T - 3 * np.eye(60)
+        return [set(np.argsort(-row, kind="stable")[:5]) for row in s]
+
+    want = {n: sum(len(a & b) for a, b in zip(near(n), near(12), strict=True)) / 300 for n in (3, 6, 12)}
+    assert {r["dims"]: r["kept"] for r in dimension_sweep(frame, (3, 6, 12), 5).collect()} == pytest.approx(want)
