@@ -691,7 +691,8 @@ def h1_worker(spark, sf_dir):
     inbox, out = scratch(spark, "inbox"), scratch(spark, "outbox")
 
     def send(*requests) -> None:
-        spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),) for r in requests], "value string").coalesce(1).repartition(len(requests)).write.mode("append").text(inbox)
+        for r in requests:  # a file each
+            spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),)], "value string").coalesce(1).write.mode("append").text(inbox)
         worker.run_worker(worker.request_stream(spark, inbox), out).awaitTermination()
 
     send(build)
