@@ -36,9 +36,9 @@ class Trie:
         self.root: dict = {}
         self.halves: set[tuple[int, str, str]] = set()
         self.sizes: dict[int, set[tuple[int, int]]] = {}
-        self.beginnings: dict[tuple[int, int], set[str]] = {}  # halves of stems by place and size
-        self.whole = {e for e, is_stem in entries.items() if not is_stem and len(e) > 3}
-        self.letters = {"".join(sorted(e)) for e in self.whole}
+        beginnings: dict[int, set[str]] = {}  # halves of stems by place
+        whole = [e for e, is_stem in entries.items() if not is_stem and len(e) > 3]
+        self.swaps = {e[:i] + e[i + 1] + e[i] + e[i + 2 :] for e in whole for i in range(len(e) - 1)}  # two neighbouring letters exchanged
         for entry, is_stem in entries.items():
             node = self.root
             for c in entry:
@@ -46,13 +46,14 @@ class Trie:
             node[""] = (entry, is_stem)
             cut = len(entry) // 2
             if is_stem and len(entry) >= stem:
-                self.beginnings.setdefault((0, cut), set()).add(entry[:cut])
-                for shift in (-1, 0, 1):
-                    self.beginnings.setdefault((cut + shift, len(entry) - cut), set()).add(entry[cut:])
+                for at, half in ((0, entry[:cut]), (cut - 1, entry[cut:]), (cut, entry[cut:]), (cut + 1, entry[cut:])):
+                    beginnings.setdefault(at, set()).add(half)
             elif not is_stem and len(entry) >= word:
                 for n in (len(entry) - 1, len(entry), len(entry) + 1):
                     self.sizes.setdefault(n, set()).add((cut, len(entry) - cut))
                     self.halves |= {(n, entry[:cut], ""), (n, "", entry[cut:])}
+        places = "|".join(f".{{{at}}}(?:{'|'.join(map(re.escape, sorted(own)))})" for at, own in sorted(beginnings.items()))
+        self.beginning = re.compile(places, re.DOTALL).match if places else None
         self.word, self.stem = word, stem
 
     def may_be_near(self, word: str) -> bool:
@@ -60,13 +61,7 @@ class Trie:
         n = len(word)
         if any((n, word[:a], "") in self.halves or (n, "", word[-b:]) in self.halves for a, b in self.sizes.get(n, ())):
             return True
-        return any(word[at : at + size] in own for (at, size), own in self.beginnings.items())
-
-    def swapped(self, word: str) -> bool:
-        """Whether the word is a whole-word entry of over 3 letters with two neighbouring letters exchanged."""
-        if "".join(sorted(word)) not in self.letters:
-            return False
-        return any(word[:i] + word[i + 1] + word[i] + word[i + 2 :] in self.whole for i in range(len(word) - 1))
+        return self.beginning is not None and self.beginning(word) is not None
 
     def exact(self, word: str) -> str | None:
         """The longest entry that is the word, or a stem that it begins with."""
@@ -131,12 +126,12 @@ class Scorer(Recent):
 
     def make(self, word: str) -> int:
         low = word.lower()
-        if any(c in "013457" for c in low) and not low.isdigit():
+        if not low.isalpha() and not low.isdigit():
             low = low.translate(FOLD)
         t = self.trie
         if t.exact(low):
             return 2
-        return int(t.may_be_near(low) and t.near(low, 1) is not None or t.swapped(low))
+        return int(low in t.swaps or t.may_be_near(low) and t.near(low, 1) is not None)
 
     def features(self, text: str, window: int = 8) -> list[float]:
         """Exact and misspelled terms in abuse and in quotation, their share of the words, address nearby, and whether there is abuse.
