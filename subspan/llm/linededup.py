@@ -78,7 +78,7 @@ def _entries(rows: DataFrame, text: Column, bands: tuple[tuple[int, int], ...],
 BANDS = ((12, 1), (24, 2))
 
 
-def near_links(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot: int = 1024, levels: int = 3, broadcast_keys: int = 1_000_000) -> DataFrame:
+def near_links(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot: int = 256, levels: int = 3, broadcast_keys: int = 1_000_000) -> DataFrame:
     """(u, v): pairs of line ids within the edits that `bands` allows, enough of them to join whatever is joined.
 
     bands are (least length, edits) in ascending order, of which the shorter line's length chooses.
