@@ -110,6 +110,14 @@ def merge_bytes(piece: bytes, rank_of: Callable[[bytes], int]) -> list[bytes]:
     return out
 
 
+class Ranks(Recent):
+    """Ranks of parts, -1 where there is none, as the perfect hash gives them; a bounded cache, as merging asks for few parts again and again."""
+
+    def __init__(self, lookup: PerfectHash, room: int = 30_000):
+        super().__init__(room, longest=16)
+        self.make = lookup.get
+
+
 class Codec(Recent):
     """Maps a pre-token to its ids as little-endian 32-bit bytes; a bounded cache over both tiers.
 
@@ -117,9 +125,9 @@ class Codec(Recent):
     if it is no vocabulary entry. The perfect hash is the only copy of the vocabulary.
     """
 
-    def __init__(self, lookup: PerfectHash, pattern: str, room: int = 50_000):
+    def __init__(self, lookup: PerfectHash, pattern: str, room: int = 100_000):
         super().__init__(room)
-        self.lookup = lookup
+        self.lookup, self.ranks = lookup, Ranks(lookup)
         self.split = regex.compile(pattern).findall
         self.bytes_of = [b""] * (max(lookup.values, default=-1) + 1)
         for key, value in zip(lookup.keys, lookup.values, strict=True):
@@ -128,7 +136,7 @@ class Codec(Recent):
     def make(self, piece: str) -> bytes:
         raw = piece.encode()
         rank = self.lookup.get(raw)
-        return rank.to_bytes(4, "little") if rank >= 0 else b"".join(self.lookup.get(p).to_bytes(4, "little") for p in merge_bytes(raw, self.lookup.get))
+        return rank.to_bytes(4, "little") if rank >= 0 else b"".join(self.lookup.get(p).to_bytes(4, "little") for p in merge_bytes(raw, self.ranks.__getitem__))
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.split(text)))
@@ -142,7 +150,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
 
     The driver reads the ranks (a fixed vocabulary of some megabytes) and broadcasts the perfect
     hash. Each match of pattern is encoded on its own; no special token is known. A task holds the
-    vocabulary once and a cache of at most 100,000 short pre-tokens; nothing outlives it. ids_sha256 is over
+    vocabulary once and a cache of at most 200,000 short pre-tokens; nothing outlives it. ids_sha256 is over
     little-endian unsigned 32-bit ids, decoded_sha256 over the bytes that decoding gives back.
     Null and empty texts have no tokens; rows are independent, so repeated rows give repeated
     results; other columns are ignored.
