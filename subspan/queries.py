@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from subspan.config import GraphConfig, SpaceConfig
 from subspan.functions import text as md
 from subspan.functions import vectors as vec
-from subspan.functions.subspace import distance_2x2, singular_values_2x2
 from subspan.operators import baseline as base
 from subspan.operators import chunks as ch
 from subspan.operators import entity as ent
@@ -230,12 +229,9 @@ SELECT a, b, round(acos(least(1, (sqrt(tr + 2 * det) + sqrt(greatest(0, tr - 2 *
 @query(_ANGLES)
 def d6_principal_angles(spark, sf_dir):
     chunks = durable(label_chunks(spark, sf_dir))
-    t = durable(tangents_of_chunks(chunks, 20, 2, only=ch.representatives(chunks)).select("chunk_id", "basis"))
-    pairs = t.select(F.col("chunk_id").alias("a"), F.col("basis").alias("x")).join(t.select(F.col("chunk_id").alias("b"), F.col("basis").alias("y")), F.col("a") < F.col("b"))
-    products = pairs.select("a", "b", *[vec.dot(F.col("x")[i], F.col("y")[j]).alias(f"m{i}{j}") for i in range(2) for j in range(2)])
-    m = [F.col(c) for c in ("m00", "m01", "m10", "m11")]
-    one, two = singular_values_2x2(*m)
-    return products.select("a", "b", r6(F.acos(one)).alias("first"), r6(F.acos(two)).alias("second"), r6(distance_2x2(*m, "geodesic")).alias("distance"))
+    t = durable(tangents_of_chunks(chunks, 20, 2, only=ch.representatives(chunks)).select(F.col("chunk_id").alias("id"), "basis"))
+    first, second = F.col("angles")[0], F.col("angles")[1]
+    return ranking.angle_pairs(t, 2).select("a", "b", r6(first).alias("first"), r6(second).alias("second"), r6(F.sqrt(first * first + second * second)).alias("distance"))
 
 
 def _distances(spark, sf_dir, p, metric, with_self=False, exclusion="duplicate"):
@@ -315,7 +311,10 @@ def e1_entities(spark, sf_dir):
 
 @query("SELECT label, min(pos) AS first, max(pos) AS last, count(*) AS n FROM (SELECT label, row_number() OVER (ORDER BY label, vec_id) AS pos FROM embeddings) GROUP BY label")
 def e1_contiguous_runs(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("label", F.row_number().over(ranking.W.orderBy("label", "vec_id")).cast("long").alias("pos"))
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id")
+    ahead = F.coalesce(F.sum("n").over(ranking.W.orderBy("label").rowsBetween(ranking.W.unboundedPreceding, -1)), F.lit(0))
+    offsets = rows.groupBy("label").agg(F.count("*").alias("n")).select("label", ahead.alias("ahead"))  # one row a label
+    rows = rows.join(offsets, "label").select("label", (F.col("ahead") + F.row_number().over(ranking.W.partitionBy("label").orderBy("vec_id"))).cast("long").alias("pos"))
     return ch.contiguous(rows, "label", "pos").withColumnRenamed("entity", "label")
 
 
