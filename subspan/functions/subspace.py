@@ -3,43 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from subspan.config import METRICS
-from subspan.functions.vectors import dot
-
-
-def singular_values_2x2(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:
-    """Singular values, the larger first, of [[a, b], [c, d]] clamped to [0, 1], in closed form."""
-    half = (a * a + b * b + c * c + d * d) / 2
-    det = F.abs(a * d - b * c)
-    large = half + F.sqrt(F.greatest(F.lit(0.0), half * half - det * det))
-    small = F.when(large > 0, det * det / large).otherwise(F.lit(0.0))
-    clamp = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.sqrt(x)))
-    return clamp(large), clamp(small)
-
-
-def distance_2x2(a: Column, b: Column, c: Column, d: Column, metric: str) -> Column:
-    """Distance of two planes from their bases' four inner products."""
-    _check(metric)
-    one, two = singular_values_2x2(a, b, c, d)
-    if metric == "chordal":
-        return F.sqrt(F.greatest(F.lit(0.0), 2 - one * one - two * two))
-    return F.sqrt(F.pow(F.acos(one), 2) + F.pow(F.acos(two), 2))
-
-
-def distance_lines(product: Column, metric: str) -> Column:
-    """Distance of two lines from the inner product of their directions."""
-    _check(metric)
-    c = F.least(F.lit(1.0), F.abs(product))
-    return F.acos(c) if metric == "geodesic" else F.sqrt(F.greatest(F.lit(0.0), 1 - c * c))
-
-
-def chordal_distance(a: Column | str, b: Column | str, p: int) -> Column:
-    """Chordal distance of bases (arrays of p vectors), for any p: sqrt(p - |A'B|^2)."""
-    squares = [F.pow(dot(F.col(a)[i] if isinstance(a, str) else a[i], F.col(b)[j] if isinstance(b, str) else b[j]), 2) for i in range(p) for j in range(p)]
-    return F.sqrt(F.greatest(F.lit(0.0), F.lit(float(p)) - sum(squares)))
 
 
 def _check(metric: str) -> None:

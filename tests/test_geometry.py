@@ -100,6 +100,15 @@ def test_stacked_distances_against_svd(p, metric):
     assert np.allclose(got, [sp.distance(a, b, metric) for a, b in pairs], atol=1e-9)
 
 
+def test_angle_pairs(spark):
+    rng = np.random.default_rng(21)
+    bases = [basis(rng, 7, 3) for _ in range(40)]
+    t = spark.createDataFrame([(i, b.T.tolist()) for i, b in enumerate(bases)], "id long, basis array<array<double>>")
+    got = {(r["a"], r["b"]): r["angles"] for r in ranking.angle_pairs(t, 3).collect()}
+    assert len(got) == 40 * 39 // 2 and all(a < b for a, b in got)
+    assert all(np.allclose(angles, sp.principal_angles(bases[a], bases[b]), atol=1e-7) for (a, b), angles in got.items())
+
+
 @pytest.mark.parametrize("p", [1, 2, 3])
 @pytest.mark.parametrize("metric", ["geodesic", "chordal"])
 def test_ranking(spark, p, metric):
