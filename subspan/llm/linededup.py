@@ -53,11 +53,20 @@ def _entries(rows: DataFrame, text: Column, bands: tuple[tuple[int, int], ...],
     """(kept columns, key, own, edits, start, wide, size): each text's index entries (own) and probes, which at no shift and length are entries.
 
     start and wide tell where the piece stands, size how long the line is that is cut. The edits are
-    those given, or follow from that size. Where to look is a constant list, so that one small
-    expression computes every key.
+    those given, or follow from that size. Where to look is a constant list by segment, so that one
+    small expression computes every key; a segment's surroundings are cut out first, as finding a
+    place in a text takes time in proportion to the text.
     """
     ends = [least for least, _ in bands[1:]] + [(1 << 31) - 1]
-    places = lambda of: F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("e", "least", "below", "d", "k", "shift"), (e, *limits, *probe), strict=True)]) for e, *limits in of for probe in probes(e)])
+
+    def places(of: list[tuple[int, int, int]]) -> Column:
+        out = []
+        for e, least, below in of:
+            for k in range(e + 1):
+                own = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(shift).alias("shift")) for d, at, shift in probes(e) if at == k])
+                out.append(F.struct(F.lit(e).alias("e"), F.lit(least).alias("least"), F.lit(below).alias("below"), F.lit(k).alias("k"), own.alias("own")))
+        return F.array(*out)
+
     if edits is None:
         most, all_ = bands[-1][1], [(e, least, below) for (least, e), below in zip(bands, ends, strict=True)]
         where = F.when(F.length(text) - most >= bands[-1][0], places(all_[-1:])).otherwise(places(all_))
@@ -65,13 +74,16 @@ def _entries(rows: DataFrame, text: Column, bands: tuple[tuple[int, int], ...],
         where = F.lit(None)
         for e in sorted({e for _, e in bands}):
             where = F.when(edits == e, places([(e, 0, ends[-1])])).otherwise(where)
-    own = [text.alias("_text"), F.length(text).alias("_n"), (F.lit(0).cast("long") if path is None else path).alias("_path")]
-    spread = rows.select(*keep, *own, F.explode(where).alias("_p")).withColumn("size", F.col("_n") - F.col("_p.d")).where("size >= _p.least AND size < _p.below")
-    cut = lambda k: F.floor(F.col("size") * k / (F.col("_p.e") + 1)).cast("int")
-    spread = spread.withColumn("start", cut(F.col("_p.k")) + F.col("_p.shift")).withColumn("wide", cut(F.col("_p.k") + 1) - cut(F.col("_p.k")))
-    key = F.xxhash64("_path", F.col("_p.e") * 16 + F.col("_p.k"), "size", F.substring("_text", F.col("start") + 1, F.col("wide")))
-    kept = [c for c in spread.columns if c not in ("_text", "_n", "_path", "_p", "size", "start", "wide")]
-    return spread.select(*kept, key.alias("key"), ((F.col("_p.d") == 0) & (F.col("_p.shift") == 0)).cast("int").alias("own"), F.col("_p.e").alias("edits"), "start", "wide", "size")
+    e, k = F.col("_s.e"), F.col("_s.k")
+    cut = lambda size, k: F.floor(size * k / (e + 1)).cast("int")
+    spread = rows.select(*keep, text.alias("_text"), F.length(text).alias("_n"), (F.lit(0).cast("long") if path is None else path).alias("_path"), F.explode(where).alias("_s"))
+    kept = [c for c in spread.columns if c not in ("_text", "_n", "_path", "_s")]
+    low = F.greatest(cut(F.col("_n") - e, k) - e, F.lit(0))
+    spread = spread.withColumn("_low", low).withColumn("_part", F.substring("_text", F.col("_low") + 1, cut(F.col("_n"), k + 1) + e - F.col("_low")))
+    spread = spread.select(*kept, "_n", "_path", "_s", "_low", "_part", F.explode("_s.own").alias("_p")).withColumn("size", F.col("_n") - F.col("_p.d")).where("size >= _s.least AND size < _s.below")
+    spread = spread.withColumn("start", cut(F.col("size"), k) + F.col("_p.shift")).withColumn("wide", cut(F.col("size"), k + 1) - cut(F.col("size"), k))
+    key = F.xxhash64("_path", e * 16 + k, "size", F.substring("_part", F.col("start") - F.col("_low") + 1, F.col("wide")))
+    return spread.select(*kept, key.alias("key"), ((F.col("_p.d") == 0) & (F.col("_p.shift") == 0)).cast("int").alias("own"), e.alias("edits"), "start", "wide", "size")
 
 
 #: Lines of 12 to 23 characters are near within 1 edit, longer ones within 2, shorter ones not at all.
