@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subspan.llm.common import Recent, table, text_or_empty
+from subspan.llm.common import Recent, kept_while_busy, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -74,18 +75,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_bytes(piece: bytes, rank_of: Callable[[bytes], int]) -> list[bytes]:
-    """Parts of one pre-token: the lowest-ranked adjacent pair, leftmost first, is merged until none has a rank (-1).
+def merge_bytes(piece: bytes, rank_of: Callable[[bytes], int]) -> list[int]:
+    """The ranks of one pre-token's parts: the lowest-ranked adjacent pair, leftmost first, is merged until none has a rank (-1).
 
     Parts are a doubly linked list over byte positions; a heap holds rank, position and end of each
     pair, packed in one number. An entry whose pair has changed since is skipped, so a piece of n
-    bytes takes O(n log n).
+    bytes takes O(n log n). Every single byte has a rank.
     """
     n = len(piece)
     wide = n.bit_length()
-    low = (1 << wide) - 1
+    low, far_left = (1 << wide) - 1, 2 * wide
     end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is merged away
     prev = list(range(-1, n - 1))
+    own = [-1] * n  # the rank of the part that starts here, once it is more than a byte
     heap = [(r << wide | i) << wide | i + 2 for i in prev[1:] if (r := rank_of(piece[i : i + 2])) >= 0]
     heapify(heap)
     while heap:
@@ -94,7 +96,7 @@ def merge_bytes(piece: bytes, rank_of: Callable[[bytes], int]) -> list[bytes]:
         j = end[i]
         if not j or j >= n or end[j] != stop:
             continue
-        end[i], end[j] = stop, 0
+        end[i], end[j], own[i] = stop, 0, entry >> far_left
         if stop < n:
             prev[stop] = i
             far = end[stop]
@@ -103,11 +105,7 @@ def merge_bytes(piece: bytes, rank_of: Callable[[bytes], int]) -> list[bytes]:
         h = prev[i]
         if h >= 0 and (r := rank_of(piece[h:stop])) >= 0:
             heappush(heap, (r << wide | h) << wide | stop)
-    out, i = [], 0
-    while i < n:
-        out.append(piece[i : end[i]])
-        i = end[i]
-    return out
+    return [own[i] if own[i] >= 0 else rank_of(piece[i : i + 1]) for i in range(n) if end[i]]
 
 
 class Ranks(Recent):
@@ -119,13 +117,13 @@ class Ranks(Recent):
 
 
 class Codec(Recent):
-    """Maps a pre-token to its ids as little-endian 32-bit bytes; a bounded cache over both tiers.
+    """Maps a pre-token to its ids as 32-bit bytes in the machine's order, little-endian; a bounded cache over both tiers.
 
     A pre-token that the cache lacks is looked up whole in the perfect hash, and merged from bytes
     if it is no vocabulary entry. The perfect hash is the only copy of the vocabulary.
     """
 
-    def __init__(self, lookup: PerfectHash, pattern: str, room: int = 100_000):
+    def __init__(self, lookup: PerfectHash, pattern: str, room: int = 200_000):
         super().__init__(room)
         self.lookup, self.ranks = lookup, Ranks(lookup)
         self.split = regex.compile(pattern).findall
@@ -136,7 +134,7 @@ class Codec(Recent):
     def make(self, piece: str) -> bytes:
         raw = piece.encode()
         rank = self.lookup.get(raw)
-        return rank.to_bytes(4, "little") if rank >= 0 else b"".join(self.lookup.get(p).to_bytes(4, "little") for p in merge_bytes(raw, self.ranks.__getitem__))
+        return rank.to_bytes(4, "little") if rank >= 0 else array("I", merge_bytes(raw, self.ranks.__getitem__)).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.split(text)))
@@ -149,8 +147,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row, and the token ids where ids is set.
 
     The driver reads the ranks (a fixed vocabulary of some megabytes) and broadcasts the perfect
-    hash. Each match of pattern is encoded on its own; no special token is known. A task holds the
-    vocabulary once and a cache of at most 200,000 short pre-tokens; nothing outlives it. ids_sha256 is over
+    hash. Each match of pattern is encoded on its own; no special token is known. A Python worker
+    holds the vocabulary once and at most 400,000 short pre-tokens, and drops both when no task has
+    come for ten seconds. ids_sha256 is over
     little-endian unsigned 32-bit ids, decoded_sha256 over the bytes that decoding gives back.
     Null and empty texts have no tokens; rows are independent, so repeated rows give repeated
     results; other columns are ignored.
@@ -158,17 +157,18 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
     spark = docs.sparkSession
     table_ = PerfectHash.build(read_ranks(ranks_path))
     shared = spark.sparkContext.broadcast((table_.seeds, table_.keys, table_.values))
+    version = (hashlib.sha256(repr(table_.keys).encode()).hexdigest(), pattern)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(PerfectHash(*shared.value), pattern)  # goes with the task
-        for batch in batches:
-            rows = [codec.encode(t) for t in batch.column("text").to_pylist()]
-            out = [batch.column("doc_id"), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in rows]), pa.array([hashlib.sha256(codec.decode(r)).hexdigest() for r in rows])]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                out.append(pa.array([np.frombuffer(r, dtype="<u4").astype("int64") for r in rows], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(out, names + ["ids"] * ids)
+        with kept_while_busy("codec", version, lambda: Codec(PerfectHash(*shared.value), pattern)) as codec:
+            for batch in batches:
+                rows = [codec.encode(t) for t in batch.column("text").to_pylist()]
+                out = [batch.column("doc_id"), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in rows]), pa.array([hashlib.sha256(codec.decode(r)).hexdigest() for r in rows])]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if ids:
+                    out.append(pa.array([np.frombuffer(r, dtype="<u4").astype("int64") for r in rows], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(out, names + ["ids"] * ids)
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, schema)
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+import threading
+import types
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subspan.plans.lineage import durable, scratch
 
-__all__ = ["WORD", "Recent", "durable", "scratch", "table", "text_or_empty"]
+__all__ = ["WORD", "Recent", "durable", "kept_while_busy", "scratch", "table", "text_or_empty"]
 
 #: White space as the contracts count it; words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,3 +51,28 @@ class Recent(dict):
                 self.clear()
             self[key] = found
         return found
+
+
+@contextmanager
+def kept_while_busy(name: str, version, make: Callable, idle: float = 10.0) -> Iterator:
+    """What make() gives, or what an earlier task of this Python process left under name for the same version.
+
+    A task takes it and leaves it again for the next one. If no task has come for `idle` seconds it
+    is dropped, so that a reused worker does not hold it through other stages.
+    """
+    store = vars(sys.modules.setdefault("subspan_process_cache", types.ModuleType("subspan_process_cache")))
+    found = store.pop(name, None)
+    value = found[1] if found and found[0] == version else make()
+    try:
+        yield value
+    finally:
+        entry = store[name] = (version, value)
+        del value, found
+
+        def drop() -> None:
+            if store.get(name) is entry:
+                store.pop(name, None)
+
+        timer = threading.Timer(idle, drop)
+        timer.daemon = True
+        timer.start()

@@ -27,8 +27,8 @@ def test_perfect_hash_is_minimal():
 def test_merging_by_rank():
     ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"aa": 259, b"aaaa": 260}
     rank = lambda part: ranks.get(part, -1)
-    assert merge_bytes(b"abc", rank) == [b"abc"] and merge_bytes(b"bcab", rank) == [b"bc", b"ab"]
-    assert merge_bytes(b"aaaaa", rank) == [b"aaaa", b"a"] and merge_bytes(b"a", rank) == [b"a"]
+    assert merge_bytes(b"abc", rank) == [258] and merge_bytes(b"bcab", rank) == [257, 256]
+    assert merge_bytes(b"aaaaa", rank) == [260, 97] and merge_bytes(b"a", rank) == [97]
 
 
 def test_encoding_as_the_library(spark, known):
@@ -169,3 +169,21 @@ def test_very_long_html(spark, tmp_path):
     rows = [(1, "http://a", "é" * 3_000_000), (2, "http://b", "é" * 3_000_000), (3, "http://c", None)]
     got = {r["page_id"]: r for r in outcome(spark, rows, str(tmp_path / "long"))}
     assert got[2]["payload_bytes"] == 6_000_000 and got[1]["refers_to"] == 2 and got[3]["payload_bytes"] == 0 and all(r["complete"] for r in got.values())
+
+
+def test_what_is_kept_is_dropped_when_idle():
+    import sys
+    import time
+
+    from subspan.llm.common import kept_while_busy
+
+    made = []
+    make = lambda: made.append(1) or [len(made)]
+    for version in ("a", "a", "b"):
+        with kept_while_busy("test", version, make, idle=0.3) as held:
+            last = held[0]
+    assert len(made) == 2 and last == 2 and "test" in vars(sys.modules["subspan_process_cache"])
+    time.sleep(0.8)
+    assert "test" not in vars(sys.modules["subspan_process_cache"])
+    with pytest.raises(KeyError), kept_while_busy("test", "b", make, idle=0.1):
+        raise KeyError
