@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subspan.llm.common import Recent, kept_while_busy, table, text_or_empty
+from subspan.llm.common import Recent, kept_while_busy, slices, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -162,7 +162,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with kept_while_busy("codec", version, lambda: Codec(PerfectHash(*shared.value), pattern)) as codec:
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [codec.encode(t) for t in batch.column("text").to_pylist()]
                 out = [batch.column("doc_id"), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in rows]), pa.array([hashlib.sha256(codec.decode(r)).hexdigest() for r in rows])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

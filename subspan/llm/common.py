@@ -8,12 +8,13 @@ import types
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subspan.plans.lineage import durable, scratch
 
-__all__ = ["WORD", "Recent", "durable", "kept_while_busy", "scratch", "table", "text_or_empty"]
+__all__ = ["WORD", "Recent", "durable", "kept_while_busy", "scratch", "slices", "table", "text_or_empty"]
 
 #: White space as the contracts count it; words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +28,13 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that Python objects are made of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Recent(dict):
     """A cache of what make(key) gives, for keys of at most `longest` characters; it never holds over 2 * room of them.
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subspan.llm.common import durable, table, text_or_empty
+from subspan.llm.common import durable, slices, table, text_or_empty
 from subspan.plans.components import connected_components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, words: int = 4, carry: tuple[str, ...] = ()) -
     """(doc_id, carried string columns, fp) with fp the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *carry)], pa.array(fp.view(np.int64))], ["doc_id", *carry, "fp"])
 

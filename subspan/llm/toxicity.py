@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subspan.llm.common import Recent, durable, table, text_or_empty
+from subspan.llm.common import Recent, durable, slices, table, text_or_empty
 
 #: Insults known without labels, words that report speech, words of address.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "imbecile", "bastard")
@@ -286,7 +286,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, carry: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _scoring(Model(*shared.value))
-        for batch in batches:
+        for batch in slices(batches):
             x, s = scored(batch.column("text").to_pylist())
             keep = [batch.column(c) for c in batch.schema.names if c != "text"]
             names = [c for c in batch.schema.names if c != "text"]
@@ -305,7 +305,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _scoring(Model(*shared.value))
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(scored(batch.column("text").to_pylist())[1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
