@@ -224,5 +224,6 @@ def joined(spans: str) -> Column:
 
 def op1_pii_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
-    added = [F.size(F.filter("spans", lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("secret", "number", "name")]
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")  # noqa: E731  (a second parameter of the inner one would be the position)
+    added = [count(kind).alias(f"n_{kind}") for kind in ("secret", "number", "name")]
     return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), *added, F.size("spans").cast("long").alias("n_spans"))

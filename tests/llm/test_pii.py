@@ -4,7 +4,7 @@ import re
 
 from tests.llm.fixtures import documents, empty, odd_texts
 
-from subspan.llm.pii import CUES, NAMES, find_personal_data, fit_classifier, fit_votes, joined
+from subspan.llm.pii import CUES, NAMES, find_personal_data, fit_classifier, fit_votes, joined, op1_pii_weak_labels
 from pyspark.sql import functions as F
 
 PATTERNS = {
@@ -135,6 +135,19 @@ def test_spans_do_not_change_with_the_number_of_copies(spark):
     assert all(r["s"] == first[r["doc_id"] % 3] for r in [*few, *many])
 
 
+def test_query_counts_the_spans_it_lists(spark, tmp_path):
+    sha = hashlib.sha1(b"x").hexdigest()
+    texts = ["Hello Mr. Maria row i said hi", f'token = "{sha}" end token = "{sha[::-1]}"', "ssn 123-45-6789 by Mr. Karl Maier, at a.b@c.de", "", None] * 6
+    documents(spark, texts, repeat=False).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op1_pii_weak_labels(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(30))
+    for r in rows:
+        kinds = [s.split(":")[0] for s in r["spans"].split(",") if s]
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone", "secret", "number", "name")] == [kinds.count(k) for k in ("email", "ip", "card", "phone", "secret", "number", "name")]
+        assert r["n_spans"] == len(kinds) and r["base_sha256"] == hashlib.sha256(brute(texts[r["doc_id"]])[1].encode()).hexdigest()
+    assert sum(r["n_secret"] for r in rows) == 12 and sum(r["n_name"] for r in rows) >= 6
+
+
 def test_empty_table(spark):
     assert outcome(empty(spark)) == []
 
