@@ -98,7 +98,7 @@ def near_links(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot
     and maximum of line hashes, which moves no text and takes any number of repeats of a line; keys
     that one line alone holds are dropped. The lines that meet under the keys left are found by a
     second pass, to which the keys are broadcast if there are at most broadcast_keys of them, else
-    joined. Lines under a key are compared with a banded edit distance and only links leave. A link
+    joined after a sieve of bounded size, so that texts of other lines do not move. Lines under a key are compared with a banded edit distance and only links leave. A link
     is left out if a third line with a smaller id is linked to both its ends, which keeps the same
     lines connected.
 
@@ -150,11 +150,30 @@ def _meet(rows: DataFrame, bands: tuple[tuple[int, int], ...], first: bool, broa
     more = () if first else (F.col("path"), F.col("edits"))
     held = _entries(rows, *of, (F.col("label"),), *more).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("own").alias("own"))
     keys = durable(held.where("low <> high AND own = 1").select("key"))
-    few = keys.count() <= broadcast_keys
-    met = _entries(rows, *of, (F.col("h"), F.col("line"), F.col("label"), F.col("rest")), *more).join(F.broadcast(keys) if few else keys, "key")
+    n = keys.count()
+    met = _entries(rows, *of, (F.col("h"), F.col("line"), F.col("label"), F.col("rest")), *more)
+    met = met.join(F.broadcast(keys), "key") if n <= broadcast_keys else _sieved(met, keys, n).join(keys, "key")
     return durable(met.groupBy("key", "h", "start").agg(F.max("own").alias("own"), *[F.max(c).alias(c) for c in ("edits", "label", "wide", "size")], F.min("line").alias("line"), F.min("rest").alias("rest")))
 
 
+def _sieved(rows: DataFrame, keys: DataFrame, n: int, most: int = 1 << 20) -> DataFrame:
+    """rows without nearly all whose key is not among the n keys, so that few texts move to meet them.
+
+    Keys are hashes: their low bits choose one of at most `most` buckets, and of six bits each after
+    those a bucket notes four times which values its keys have. A dozen keys a bucket let one row in
+    a thousand pass by chance. The buckets are broadcast, whatever the number of keys.
+    """
+    buckets = min(most, 1 << max(0, (n // 12).bit_length()))
+    notes = ("_n0", "_n1", "_n2", "_n3")
+    bucket = F.col("key").bitwiseAND(buckets - 1)
+    bit = lambda i: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {20 + 6 * i}) & 63 as int))")
+    sieve = keys.groupBy(bucket.alias("_bucket")).agg(*[F.bit_or(bit(i)).alias(c) for i, c in enumerate(notes)])
+    rows = rows.withColumn("_bucket", bucket).join(F.broadcast(sieve), "_bucket")
+    for i, c in enumerate(notes):
+        rows = rows.where(F.col(c).bitwiseAND(bit(i)) != 0)
+    return rows.drop("_bucket", *notes)
+
+
 def _verified(met: DataFrame, bands: tuple[tuple[int, int], ...], block: int) -> DataFrame:
     """(u, v): the links among lines under one key; keys of over `block` lines are compared by pairs of blocks."""
     counts = met.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))

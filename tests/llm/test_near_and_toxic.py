@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from subspan.llm.ann import cosine, encode, estimate, rotation, search, usable
-from subspan.llm.linededup import dedup_lines, near_links, probes
+from subspan.llm.linededup import _sieved, dedup_lines, near_links, probes
 from subspan.llm.simhash import fingerprint, links, near_duplicates, posting_sets, shingle_hashes, spanning_links
 from subspan.llm.toxicity import Scorer, Trie, keep_clean, score, train
 from tests.llm.fixtures import documents, empty, odd_texts
@@ -154,6 +154,16 @@ def test_line_links_join_what_all_pairs_join(spark, hot, few, levels):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [1 << 20, 64])
+def test_few_rows_pass_the_sieve_besides_those_of_its_keys(spark, most):
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("key"), F.col("id").alias("text"))
+    keys = rows.where("text < 1000").select("key")
+    left = _sieved(rows, keys, 1000, most)
+    assert left.columns == rows.columns and left.where("text < 1000").count() == 1000
+    assert left.count() < 1000 + 199_000 * 0.005
+    assert _sieved(rows, keys.limit(0), 0).count() == 0
+
+
 def test_line_links_of_one_template(spark):
     rng = random.Random(15)
     lines = {f"GET /a/common/beginning/of/lines?id={rng.randint(0, 10**4):04d}&x={rng.choice('abcdef')} HTTP" for _ in range(120)}
