@@ -507,16 +507,19 @@ sr AS MATERIALIZED (SELECT a AS id, x.entity_idx, x.n_chunks, b AS other, y.enti
   FROM {duck.plane_distances("chunks", "chunks", "x.chunk_id <> y.chunk_id")} JOIN chunks x ON x.chunk_id = a JOIN chunks y ON y.chunk_id = b)"""
 
 
-def _both_rankings(spark, sf_dir, top: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rankings by cosine and by subspace distance, and the entities; top None: as many as the largest entity holds."""
+def _rankings(spark, sf_dir, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rankings by cosine and by subspace distance, and the entities."""
     c = durable(label_chunks(spark, sf_dir))
-    sizes = durable(ch.entities_of(c))
-    top = top or max(1, (sizes.agg(F.max("n_chunks")).first()[0] or 1) - 1)
-    return base.cosine_ranking(c, c, top), base.subspace_ranking(durable(tangents_of_chunks(c, SPACE.k, SPACE.p)), SPACE.p, top=top), sizes
+    return base.cosine_ranking(c, c, top), base.subspace_ranking(durable(tangents_of_chunks(c, SPACE.k, SPACE.p)), SPACE.p, top=top), durable(ch.entities_of(c))
 
 
 def _both_precisions(spark, sf_dir, most: int | None) -> tuple[DataFrame, DataFrame]:
-    cosine, subspace, sizes = _both_rankings(spark, sf_dir, most)
+    """Precision by cosine and by subspace distance; most None: at the entity's size."""
+    if most is None:
+        c = durable(label_chunks(spark, sf_dir))
+        sizes = durable(ch.entities_of(c))
+        return base.cosine_precision_at_size(c, sizes), base.subspace_precision_at_size(durable(tangents_of_chunks(c, SPACE.k, SPACE.p)), sizes, SPACE.p)
+    cosine, subspace, sizes = _rankings(spark, sf_dir, most)
     return base.precision_at(cosine, sizes, most), base.precision_at(subspace, sizes, most)
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from subspan import queries
 from subspan.config import GraphConfig, SpaceConfig
 from subspan.operators import baseline, topology
 from subspan.operators import chunks as ch
@@ -214,3 +215,26 @@ def test_cosine_baseline(spark):
     edges = topology.mutual_edges(g.knn, g.entities)
     assert {r["side"] for r in baseline.edge_overlap(edges, edges).collect()} == {"both"}
     assert baseline.edge_overlap(edges, edges.where("false")).where("side = 'a only'").count() == edges.count()
+
+
+def test_precision_at_size_makes_no_ranking(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-1, 2, (60, 3)).astype(float)  # many ties, copies and zero vectors
+    rows = [(i, v.tolist(), int(rng.integers(0, 4)) if i else 9) for i, v in enumerate(x)]
+    c = ch.by_label(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    sizes = ch.entities_of(c)
+    listed = lambda t: sorted((r["id"], r["entity_idx"], r["k"], round(r["precision"], 9)) for r in t.collect())
+    want = listed(baseline.precision_at(baseline.cosine_ranking(c, c), sizes))
+    assert listed(baseline.cosine_precision_at_size(c, sizes)) == want and 0 < len(want) < 60
+    bases = np.linalg.qr(rng.integers(-1, 2, (60, 4, 2)) + 0.5 * np.eye(4, 2))[0].transpose(0, 2, 1)
+    t = c.select("entity_idx", "chunk_id").join(spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(bases)], "chunk_id long, basis array<array<double>>"), "chunk_id")
+    assert listed(baseline.subspace_precision_at_size(t, sizes, 2)) == listed(baseline.precision_at(baseline.subspace_ranking(t, 2), sizes))
+    assert baseline.cosine_precision_at_size(c.where("false"), sizes).count() == 0
+
+    def forbidden(*_, **__):
+        raise AssertionError("a row for each pair")
+
+    spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(rng.standard_normal((90, 8)))], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(baseline, "rank_tangents", forbidden)
+    monkeypatch.setattr(baseline, "ranked_pairs", forbidden)
+    assert queries.QUERIES["i3_precision_at_size"](spark, str(tmp_path)).count() == 180
