@@ -550,8 +550,10 @@ def i4_compare_precision(spark, sf_dir):
 @query(f"WITH {_COSRANK}, {_SUBRANK}, a AS ({_precision('least(n_chunks - 1, 10)')}), b AS ({_precision('n_chunks - 1', 'sr')}) SELECT 'cosine' AS method, round(avg(p), 5) AS precision FROM (SELECT avg(precision) AS p FROM a GROUP BY entity_idx) UNION ALL SELECT 'subspace', round(avg(precision), 5) FROM b")
 def i4_overall_precision(spark, sf_dir):
     """Of cosine at 10 the mean over entities, of subspaces at the entity's size the mean over queries."""
-    cosine, _ = _both_precisions(spark, sf_dir, 10)
-    _, subspace = _both_precisions(spark, sf_dir, None)
+    c = durable(label_chunks(spark, sf_dir))
+    sizes = durable(ch.entities_of(c))
+    cosine = base.precision_at(base.cosine_ranking(c, c, 10), sizes, 10)
+    subspace = base.subspace_precision_at_size(durable(tangents_of_chunks(c, SPACE.k, SPACE.p)), sizes, SPACE.p)
     return _by_method(base.overall_precision(cosine, True), base.overall_precision(subspace, False)).withColumn("precision", F.round("precision", 5))
 
 

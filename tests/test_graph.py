@@ -236,5 +236,6 @@ def test_precision_at_size_makes_no_ranking(spark, tmp_path, monkeypatch):
 
     spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(rng.standard_normal((90, 8)))], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     monkeypatch.setattr(baseline, "rank_tangents", forbidden)
+    assert queries.QUERIES["i4_overall_precision"](spark, str(tmp_path)).count() == 2
     monkeypatch.setattr(baseline, "ranked_pairs", forbidden)
     assert queries.QUERIES["i3_precision_at_size"](spark, str(tmp_path)).count() == 180
