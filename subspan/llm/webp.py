@@ -32,6 +32,7 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+BLACK = np.array([255, 0, 0, 0])  # opaque: alpha, red, green, blue
 ROW, MAX_SIDE, MAX_RUN, MAX_BITS = 16, 16384, 4096, 15
 
 _REVERSED = np.zeros(1 << MAX_BITS, np.uint16)
@@ -308,9 +309,8 @@ def predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, cor
         a = mean(left, top)
         half = a - corner
         return np.clip(a + (np.abs(half) >> 1) * np.sign(half), 0, 255)
-    black = np.broadcast_to(np.array([255, 0, 0, 0]), top.shape)
-    simple = {1: left, 2: top, 3: right, 4: corner, 5: mean(mean(left, right), top), 6: mean(left, corner), 7: mean(left, top), 8: mean(corner, top), 9: mean(top, right), 10: mean(mean(left, corner), mean(top, right))}
-    return simple.get(mode, black)
+    simple = {1: lambda: left, 2: lambda: top, 3: lambda: right, 4: lambda: corner, 5: lambda: mean(mean(left, right), top), 6: lambda: mean(left, corner), 7: lambda: mean(left, top), 8: lambda: mean(corner, top), 9: lambda: mean(top, right), 10: lambda: mean(mean(left, corner), mean(top, right))}
+    return simple[mode]() if mode in simple else np.broadcast_to(BLACK, top.shape)
 
 
 def _blocks(width: int, height: int, bits: int) -> tuple[int, int]:
@@ -327,8 +327,9 @@ def forward_predictor(pixels: np.ndarray, width: int, height: int, modes: np.nda
     at = np.arange(len(c)) + width + 1
     left, top, right, corner = flat[at - 1], flat[at - width], flat[at - width + 1], flat[at - width - 1]
     own, out = _mode_map(modes, width, height, bits).ravel(), np.zeros_like(c)
-    for m in range(14):
-        out[own == m] = predict(m, left, top, right, corner)[own == m]
+    for m in np.unique(own).tolist():
+        use = own == m
+        out[use] = predict(m, left[use], top[use], right[use], corner[use])
     out[:width], out[::width] = left[:width], top[::width]
     out[0] = (255, 0, 0, 0)
     return _joined(c - out)
@@ -354,7 +355,7 @@ def inverse_predictor(pixels: np.ndarray, width: int, height: int, modes: np.nda
             for k in m:
                 use = own[y] == k
                 use[0] = False
-                row[use] = (row[use] + predict(k, row, above, right, corner)[use]) & 255
+                row[use] = (row[use] + predict(k, row[use], above[use], right[use], corner[use])) & 255
         else:
             for x in range(1, width):
                 right = above[x + 1] if x + 1 < width else row[0]
@@ -785,8 +786,8 @@ def shape_of(size: int) -> tuple[int, int]:
 def chosen(payload: bytes, width: int, height: int) -> tuple:
     """The transforms that a payload is stored under: by its checksum, as none is always smaller for text.
 
-    One payload in 512 each gets the predictor, cross-colour and subtract-green, and one all three,
-    with modes and factors that differ from block to block; the others get none. Images of over 1,024
+    One payload in four each gets the predictor, cross-colour, subtract-green, and all three, with
+    modes and factors that differ from block to block; those of few colours get a palette instead. Images of over 1,024
     pixels are predicted by the modes that need no pixel of the same row.
     """
     sum_ = zlib.crc32(payload)
@@ -796,7 +797,7 @@ def chosen(payload: bytes, width: int, height: int) -> tuple:
     modes = np.arange(14) if width * height <= 1024 else np.array([0, 2, 3, 4, 8, 9])
     predictor = ("predictor", modes[place % len(modes)], bits)
     cross = ("cross", np.stack([place * 7 % 256, place * 11 % 256, place * 13 % 256], axis=-1), bits)
-    return {0: (predictor,), 1: (cross,), 2: (("green",),), 3: (("green",), predictor, cross)}.get(sum_ % 512, ())
+    return ((predictor,), (cross,), (("green",),), (("green",), predictor, cross))[sum_ % 4]
 
 
 def store(payloads: list[bytes]) -> list[bytes]:

@@ -121,6 +121,14 @@ def test_all_transforms_are_stored():
     assert load(store(raw), [len(r) for r in raw]) == raw
 
 
+def test_no_payload_goes_without_a_transform():
+    raw = [np.random.default_rng(i).bytes(64 * (5 + i % 40)) for i in range(80)]  # fewer pixels would get a palette
+    kinds = [frozenset(k for k, *_ in open_stream(f)[1]) for f in store(raw)]
+    assert set(kinds) == {frozenset({PREDICTOR}), frozenset({CROSS_COLOUR}), frozenset({SUBTRACT_GREEN}), frozenset({PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN})}
+    assert min(map(kinds.count, kinds)) >= 8
+    assert load(store(raw), [len(r) for r in raw]) == raw
+
+
 def test_payloads_mixed():
     raw = [b"\0" * 64, b"a" * 64, bytes(range(256)) * 8, b"x" * (16384 * 64 + 64), np.random.default_rng(5).bytes(64 * 999)]
     files = store(raw)
