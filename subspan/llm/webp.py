@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -32,7 +32,20 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
-BLACK = np.array([255, 0, 0, 0])  # opaque: alpha, red, green, blue
+BLACK = np.uint32(0xFF000000)  # opaque
+LOW, HIGH = np.uint32(0x7F7F7F7F), np.uint32(0x80808080)
+
+#: Kinds of the predictor modes: means of two neighbours (or of one with itself), of two means, and three others; modes 14 and 15 are black.
+#: The neighbours that means are of: left, top, top right, top left, black. Which modes look at the row above only.
+KIND = np.array([0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 2, 3, 4, 0, 0], np.uint8)
+LEFT_AT, TOP_AT, RIGHT_AT, CORNER_AT, BLACK_AT = range(5)
+NEIGHBOURS = np.full((16, 4), BLACK_AT)
+for _m, _n in {
+    1: (LEFT_AT, LEFT_AT), 2: (TOP_AT, TOP_AT), 3: (RIGHT_AT, RIGHT_AT), 4: (CORNER_AT, CORNER_AT), 5: (LEFT_AT, RIGHT_AT, TOP_AT, TOP_AT), 6: (LEFT_AT, CORNER_AT),
+    7: (LEFT_AT, TOP_AT), 8: (CORNER_AT, TOP_AT), 9: (TOP_AT, RIGHT_AT), 10: (LEFT_AT, CORNER_AT, TOP_AT, RIGHT_AT),
+}.items():
+    NEIGHBOURS[_m, : len(_n)] = _n
+ROW_FREE = np.isin(np.arange(16), (0, 2, 3, 4, 8, 9, 14, 15))
 ROW, MAX_SIDE, MAX_RUN, MAX_BITS = 16, 16384, 4096, 15
 
 _REVERSED = np.zeros(1 << MAX_BITS, np.uint16)
@@ -53,16 +66,18 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     c = counts[row, symbol].astype(np.int64)
     c = np.maximum(c, np.maximum(1, -(-counts.sum(axis=1) >> 13))[row])
     total = np.bincount(row, weights=c, minlength=len(counts)).astype(np.int64)[row]
-    length = np.maximum(1, sum(((c << n) < total).astype(np.int64) for n in range(MAX_BITS)))
+    length = np.clip(np.frexp((-(-total // c) - 1).astype(float))[1].astype(np.int64), 1, MAX_BITS)
     lens = np.zeros(counts.shape, np.int64)
     lens[row, symbol] = length
     unit, used = 1 << MAX_BITS, np.bincount(row, minlength=len(counts))
     room = np.where(used > 1, unit - np.bincount(row, weights=unit >> length, minlength=len(counts)).astype(np.int64), 0)
-    by_count = np.lexsort((symbol, -c, row))
+    by_count = np.argsort(row * (int(c.max(initial=0)) + 1) - c, kind="stable")
     first = np.cumsum(used) - used
     while len(live := np.nonzero(room > 0)[0]):
         for k in range(int(used[live].max())):
-            r = live[(used[live] > k) & (room[live] > 0)]
+            live = r = live[(used[live] > k) & (room[live] > 0)]
+            if not len(r):
+                break
             s = symbol[by_count[first[r] + k]]
             own = lens[r, s]
             cost = np.where(own > 1, unit >> own, unit + 1)
@@ -77,7 +92,7 @@ def canonical(lens: np.ndarray) -> np.ndarray:
     out = np.zeros(lens.shape, np.int64)
     row, symbol = np.nonzero(lens)
     length = lens[row, symbol]
-    order = np.lexsort((symbol, length, row))
+    order = np.argsort((row << 4 | length).astype(np.uint16 if len(lens) <= 4096 else np.int64), kind="stable")
     row, symbol, length = row[order], symbol[order], length[order]
     share = (1 << MAX_BITS) >> length
     before = np.cumsum(share) - share
@@ -208,15 +223,21 @@ def write_entropy(images: list[Image], cache_bits: int = 0, references: bool = T
         single.append((alone, value))
         lens.append(np.where(alone[:, None], 0, lengths))
 
-    # Fields before the tokens, the same number for each image: (value, width) columns.
-    heads = max(len(i.head) for i in images)
-    values = [np.array([i.head[k][0] if k < len(i.head) else 0 for i in images]) for k in range(heads)]
-    widths = [np.array([i.head[k][1] if k < len(i.head) else 0 for i in images]) for k in range(heads)]
+    # Fields before the tokens: images, places in their streams, values, widths. Bits that are 0 are not put.
+    fields, before, every = [], np.zeros(n, np.int64), np.arange(n)
 
     def add(value, bits):
-        values.append(np.broadcast_to(np.asarray(value), (n,)))
-        widths.append(np.broadcast_to(np.asarray(bits), (n,)))
-
+        bits = np.broadcast_to(np.asarray(bits), (n,))
+        fields.append((every, before.copy(), np.broadcast_to(np.asarray(value), (n,)), bits))
+        before[:] += bits
+
+    held = np.array([len(i.head) for i in images])
+    if held.any():
+        value, width_ = np.array([f for i in images for f in i.head], np.int64).T
+        whose, stops = np.repeat(every, held), np.cumsum(width_)
+        begins = np.concatenate(([0], stops))[np.cumsum(held) - held]
+        fields.append((whose, stops - width_ - begins[whose], value, width_))
+        before += np.concatenate(([0], stops))[np.cumsum(held)] - begins
     add(1 if cache_bits else 0, 1)
     if cache_bits:
         add(cache_bits, 4)
@@ -227,10 +248,12 @@ def write_entropy(images: list[Image], cache_bits: int = 0, references: bool = T
         for k in range(0, CODE_LENGTH_HEAD_BITS, 24):
             add(CODE_LENGTH_HEAD >> k & 0xFFFFFF, np.where(alone, 0, min(24, CODE_LENGTH_HEAD_BITS - k)))
         add(0, np.where(alone, 0, 1))
-        values.extend(CODE_LENGTH_CODES[lengths].T)
-        widths.extend(np.where(alone[:, None], 0, CODE_LENGTH_BITS[lengths]).T)
-    values, widths = np.array(values).T, np.array(widths).T
-    before = widths.sum(axis=1)
+        bits = np.where(alone[:, None], 0, CODE_LENGTH_BITS[lengths]).astype(np.uint8)
+        stops = np.cumsum(bits, axis=1, dtype=np.int32)
+        row, symbol = np.nonzero(lengths)
+        sent = bits[row, symbol]
+        fields.append((row, before[row] + stops[row, symbol] - sent, CODE_LENGTH_CODES[lengths[row, symbol]], sent))
+        before += stops[:, -1]
 
     def bits_of(k: int, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = (codes[k] << 4 | lens[k]).ravel()[own * sizes[k] + np.where(u, symbols[k], 0)]
@@ -246,7 +269,8 @@ def write_entropy(images: list[Image], cache_bits: int = 0, references: bool = T
     room = (total + 31) // 32 * 32
     base = np.concatenate(([0], np.cumsum(room)))
     out = Bits(int(base[-1]))
-    out.put((base[:-1, None] + np.cumsum(widths, axis=1) - widths).ravel(), values.ravel(), widths.ravel())
+    for whose, place, value, bits in fields:
+        out.put(base[whose] + place, value, bits)
     both = first_w + second_w
     place = np.cumsum(both) - both
     place += (base[:-1] + before - (np.cumsum(token_bits) - token_bits))[own]
@@ -296,94 +320,144 @@ def _joined(c: np.ndarray) -> np.ndarray:
     return c[..., 0] << np.uint32(24) | c[..., 1] << np.uint32(16) | c[..., 2] << np.uint32(8) | c[..., 3]
 
 
-def predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
-    """The predictor `mode` of pixels (channels last) from their left, top, top-right and top-left neighbours."""
-    mean = lambda a, b: (a + b) >> 1
-    if mode == 11:
-        p = left + top - corner
-        nearer = np.abs(p - left).sum(-1) < np.abs(p - top).sum(-1)
-        return np.where(nearer[..., None], left, top)
-    if mode == 12:
-        return np.clip(left + top - corner, 0, 255)
-    if mode == 13:
-        a = mean(left, top)
-        half = a - corner
-        return np.clip(a + (np.abs(half) >> 1) * np.sign(half), 0, 255)
-    simple = {1: lambda: left, 2: lambda: top, 3: lambda: right, 4: lambda: corner, 5: lambda: mean(mean(left, right), top), 6: lambda: mean(left, corner), 7: lambda: mean(left, top), 8: lambda: mean(corner, top), 9: lambda: mean(top, right), 10: lambda: mean(mean(left, corner), mean(top, right))}
-    return simple[mode]() if mode in simple else np.broadcast_to(BLACK, top.shape)
+# The four channels of pixels at once, without carries between them.
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a & LOW) + (b & LOW)) ^ ((a ^ b) & HIGH)
+
+
+def _difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a | HIGH) - (b & LOW)) ^ (~(a ^ b) & HIGH)
+
+
+def _mean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a & b) + ((a ^ b) >> np.uint32(1) & LOW)
 
 
 def _blocks(width: int, height: int, bits: int) -> tuple[int, int]:
     return (width + (1 << bits) - 1) >> bits, (height + (1 << bits) - 1) >> bits
 
 
-def _mode_map(modes: np.ndarray, width: int, height: int, bits: int) -> np.ndarray:
-    return np.repeat(np.repeat(modes, 1 << bits, axis=0)[:height], 1 << bits, axis=1)[:, :width]
+def _rows(heights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of images stacked: which image each is of, and its place there."""
+    own = np.repeat(np.arange(len(heights)), heights)
+    return own, np.arange(len(own)) - (np.cumsum(heights) - heights)[own]
+
+
+def _spread(blocks: list[np.ndarray], bits: list[int], width: int, heights: np.ndarray) -> np.ndarray:
+    """The values of each image's blocks at its pixels, images of one width stacked."""
+    own, y = _rows(heights)
+    shift, across = np.array(bits)[own], np.array([b.shape[1] for b in blocks])
+    first = np.cumsum([0, *(b.size for b in blocks[:-1])])
+    row = first[own] + (y >> shift) * across[own]
+    return np.concatenate([b.ravel() for b in blocks])[row[:, None] + (np.arange(width) >> shift[:, None])]
+
+
+def _bordered(modes: np.ndarray, heights: np.ndarray) -> np.ndarray:
+    """Modes with those of borders: the first pixel of an image is predicted black, its first row from the left, its first column from above."""
+    first = np.cumsum(heights) - heights
+    modes = modes.astype(np.uint8)
+    modes[:, 0] = 2
+    modes[first] = 1
+    modes[first, 0] = 0
+    return modes
+
+
+def _sources(kind: int, modes: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """The places of the neighbours that modes of one kind look at from each place."""
+    if kind > 1:
+        return [at - 1, at - width, at - width - 1]
+    back = np.array([1, width, width - 1, width + 1, 0])
+    return [np.where(which == BLACK_AT, 0, at - back[which]) for which in (NEIGHBOURS[modes, k] for k in range(2 + 2 * kind))]
+
+
+def predict(kind: int, seen: list[np.ndarray]) -> np.ndarray:
+    """What modes of a kind (KIND) predict from the neighbours that `_sources` names: means of two, means of two means, and modes 11, 12, 13."""
+    if kind == 0:
+        return _mean(*seen)
+    if kind == 1:
+        return _mean(_mean(seen[0], seen[1]), _mean(seen[2], seen[3]))
+    left, top, corner = (np.ascontiguousarray(s).view(np.uint8).reshape(-1, 4).astype(np.int16) for s in seen)
+    if kind == 2:
+        return np.where(np.abs(top - corner).sum(-1) < np.abs(left - corner).sum(-1), seen[0], seen[1])
+    if kind == 3:
+        p = left + top - corner
+    else:
+        a = (left + top) >> 1
+        half = a - corner
+        p = a + (np.abs(half) >> 1) * np.sign(half)
+    return np.clip(p, 0, 255).astype(np.uint8).view(np.uint32).ravel()
+
+
+def _framed(pixels: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels behind a black one and room for what lies before the first; and their places."""
+    return np.concatenate((np.full(1, BLACK), np.zeros(width + 1, np.uint32), pixels.ravel())), np.arange(pixels.size) + width + 2
+
+
+def forward_predictors(pixels: np.ndarray, heights: np.ndarray, modes: np.ndarray) -> np.ndarray:
+    """What predictors leave of stacked images (rows by columns), each pixel by its mode."""
+    width = pixels.shape[1]
+    flat, at = _framed(pixels, width)
+    modes = _bordered(modes, heights).ravel()
+    guess, kinds = np.empty(pixels.size, np.uint32), KIND[modes]
+    for kind in np.unique(kinds).tolist():
+        use = np.nonzero(kinds == kind)[0]
+        guess[use] = predict(kind, [flat[s] for s in _sources(kind, modes[use], at[use], width)])
+    return _difference(pixels, guess.reshape(pixels.shape))
+
 
+def inverse_predictors(pixels: np.ndarray, heights: np.ndarray, modes: np.ndarray) -> np.ndarray:
+    """Stacked images (rows by columns) from what predictors left of them, each pixel by its mode.
 
-def forward_predictor(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, bits: int) -> np.ndarray:
-    c = _channels(pixels)
-    flat = np.concatenate([np.zeros((width + 1, 4), np.int64), c])
-    at = np.arange(len(c)) + width + 1
-    left, top, right, corner = flat[at - 1], flat[at - width], flat[at - width + 1], flat[at - width - 1]
-    own, out = _mode_map(modes, width, height, bits).ravel(), np.zeros_like(c)
-    for m in np.unique(own).tolist():
-        use = own == m
-        out[use] = predict(m, left[use], top[use], right[use], corner[use])
-    out[:width], out[::width] = left[:width], top[::width]
-    out[0] = (255, 0, 0, 0)
-    return _joined(c - out)
+    Pixels are taken in steps, of all images at once: those whose neighbours are done. That is a row,
+    after its first pixel, where an image's modes look at the row above only, and else a slanting line.
+    """
+    width = pixels.shape[1]
+    flat, at = _framed(pixels, width)
+    own, y = _rows(heights)
+    free = (ROW_FREE[modes[:, 1:]].all(axis=1)) | (y == 0)
+    free = np.bincount(own[~free], minlength=len(heights))[own] == 0
+    x, y = np.arange(width), y[:, None]
+    step = np.where(free[:, None] & (y > 0), width + 2 * (y - 1) + (x > 0), np.where(free[:, None], x, x + 2 * y)).ravel().astype(np.uint16)
+    modes = _bordered(modes, heights).ravel()
+    kinds, plans, most = KIND[modes], [], int(step.max()) + 1
+    for kind in np.unique(kinds).tolist():
+        use = np.nonzero(kinds == kind)[0]
+        use = use[np.argsort(step[use], kind="stable")]
+        stops = np.cumsum(np.bincount(step[use], minlength=most))
+        plans.append((kind, at[use], _sources(kind, modes[use], at[use], width), [0, *stops.tolist()]))
+    for k in range(most):
+        for kind, places, sources, stops in plans:
+            a, b = stops[k], stops[k + 1]
+            if a < b:
+                to = places[a:b]
+                flat[to] = _sum(flat[to], predict(kind, [flat[s[a:b]] for s in sources]))
+    return flat[width + 2 :].reshape(pixels.shape)
 
 
 def inverse_predictor(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, bits: int) -> np.ndarray:
-    """Rows whose modes look at the row above only are done at once, rows of left prediction as running sums, others by pixel."""
-    c = _channels(pixels).reshape(height, width, 4)
-    own = _mode_map(modes, width, height, bits)
-    c[0, 0, 0] += 255
-    c[0] = np.cumsum(c[0], axis=0) & 255
-    for y in range(1, height):
-        row, above = c[y], c[y - 1]
-        row[0] = (row[0] + above[0]) & 255
-        m = set(own[y, 1:].tolist())
-        if not m:
-            continue
-        if m == {1}:
-            row[:] = np.cumsum(row, axis=0) & 255
-        elif m <= {0, 2, 3, 4, 8, 9}:
-            right = np.concatenate([above[1:], row[:1]])
-            corner = np.concatenate([above[:1], above[:-1]])
-            for k in m:
-                use = own[y] == k
-                use[0] = False
-                row[use] = (row[use] + predict(k, row[use], above[use], right[use], corner[use])) & 255
-        else:
-            for x in range(1, width):
-                right = above[x + 1] if x + 1 < width else row[0]
-                row[x] = (row[x] + predict(int(own[y, x]), row[x - 1], above[x], right, above[x - 1])) & 255
-    return _joined(c.reshape(-1, 4))
+    heights = np.array([height])
+    return inverse_predictors(pixels.reshape(height, width), heights, _spread([modes], [bits], width, heights)).ravel()
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return ((x & 255) ^ 128) - 128
+def _signed(x: np.ndarray, shift: int) -> np.ndarray:
+    return (x >> np.uint32(shift)).astype(np.int8).astype(np.int16)
 
 
-def cross_colour(pixels: np.ndarray, width: int, height: int, parts: np.ndarray, bits: int, sign: int) -> np.ndarray:
-    """Add (sign 1) or take off (-1) what red and blue owe to green, and blue to red. parts: blocks of (red to blue, green to blue, green to red)."""
-    c = _channels(pixels)
-    own = _mode_map(parts, width, height, bits).reshape(-1, 3)
-    owed = lambda t, x: (_signed(t) * _signed(x)) >> 5
-    red = c[:, 1]
-    new = (red + sign * owed(own[:, 2], c[:, 2])) & 255
-    whole = new if sign > 0 else red
-    c[:, 3] = (c[:, 3] + sign * (owed(own[:, 1], c[:, 2]) + owed(own[:, 0], whole))) & 255
-    c[:, 1] = new
-    return _joined(c)
+def cross_colour(pixels: np.ndarray, parts: np.ndarray, sign: int) -> np.ndarray:
+    """Add (sign 1) or take off (-1) what red and blue owe to green, and blue to red, by parts: pixels of (red to blue, green to blue, green to red)."""
+    green, red = _signed(pixels, 8), _signed(pixels, 16)
+    new = red + sign * (_signed(parts, 0) * green >> 5)
+    whole = new.astype(np.int8).astype(np.int16) if sign > 0 else red
+    blue = _signed(pixels, 0) + sign * ((_signed(parts, 8) * green >> 5) + (_signed(parts, 16) * whole >> 5))
+    return pixels & np.uint32(0xFF00FF00) | new.astype(np.uint8).astype(np.uint32) << np.uint32(16) | blue.astype(np.uint8)
 
 
 def subtract_green(pixels: np.ndarray, sign: int) -> np.ndarray:
-    c = _channels(pixels)
-    c[:, (1, 3)] += sign * c[:, 2:3]
-    return _joined(c)
+    green = pixels >> np.uint32(8) & np.uint32(255)
+    green |= green << np.uint32(16)
+    return _sum(pixels, green) if sign > 0 else _difference(pixels, green)
 
 
 def palette_bits(colours: int) -> int:
@@ -411,33 +485,85 @@ def unpack_palette(pixels: np.ndarray, narrow: int, width: int, height: int, col
     return table_[index]
 
 
-def _fields(image: Image) -> list[tuple[int, int]]:
-    """An image inside the head: the fields of its bit stream."""
-    data, n = write_entropy([image], main=False)[0]
-    return [(int.from_bytes(data[i : i + 3], "little") & ((1 << min(24, n - 8 * i)) - 1), min(24, n - 8 * i)) for i in range(0, -(-n // 8), 3)]
+def _fields(data: bytes, n: int) -> list[tuple[int, int]]:
+    """The fields of a bit stream, to stand inside a head."""
+    return [(int.from_bytes(data[i : i + 4], "little") & ((1 << min(32, n - 8 * i)) - 1), min(32, n - 8 * i)) for i in range(0, -(-n // 8), 4)]
+
+
+def _by_width(images: list[Image]) -> list[list[Image]]:
+    groups: dict[int, list[Image]] = {}
+    for i in images:
+        groups.setdefault(i.width, []).append(i)
+    return list(groups.values())
+
+
+def _stacked(images: list[Image]) -> tuple[np.ndarray, np.ndarray]:
+    """Images of one width as rows, and their heights."""
+    return np.concatenate([i.pixels for i in images]).reshape(-1, images[0].width), np.array([i.height for i in images])
+
+
+def _unstacked(rows: np.ndarray, images: list[Image]) -> None:
+    at, flat = 0, rows.ravel()
+    for i in images:
+        i.pixels = flat[at : at + i.width * i.height]
+        at += i.width * i.height
+
+
+def transform(images: list[Image], steps: list[tuple]) -> None:
+    """Apply its transforms to each image, in order: ("predictor", modes, bits), ("cross", parts, bits), ("green",) or ("palette",).
+
+    Images of one width go through a transform together, and the images inside their heads are written together.
+    """
+    inner: list[Image] = []
+    heads: list[list] = [[] for _ in images]  # fields, or the number of an image inside
+    for k in range(max(map(len, steps), default=0)):
+        kinds: dict[str, list[tuple[Image, tuple]]] = {}
+        for image, own, head in zip(images, steps, heads, strict=True):
+            if k >= len(own):
+                continue
+            step = own[k]
+            kinds.setdefault(step[0], []).append((image, step))
+            head.append((1, 1))
+            if step[0] == "predictor":
+                head += [(PREDICTOR, 2), (step[2] - 2, 3), len(inner)]
+                inner.append(Image(step[1].astype(np.uint32).ravel() << np.uint32(8), step[1].shape[1], step[1].shape[0]))
+            elif step[0] == "cross":
+                head += [(CROSS_COLOUR, 2), (step[2] - 2, 3), len(inner)]
+                inner.append(Image(_factors(step[1]).ravel(), step[1].shape[1], step[1].shape[0]))
+            elif step[0] == "green":
+                head.append((SUBTRACT_GREEN, 2))
+            else:
+                colours = np.unique(image.pixels)
+                head += [(PALETTE, 2), (len(colours) - 1, 8), len(inner)]
+                inner.append(Image(_joined(np.diff(_channels(colours), axis=0, prepend=0)), len(colours), 1))
+                image.pixels, image.width = pack_palette(image.pixels, image.width, image.height, colours)
+        for kind, both in kinds.items():
+            step_of = {id(i): step for i, step in both}
+            for same in _by_width([i for i, _ in both]) if kind != "palette" else ():
+                rows, heights = _stacked(same)
+                own = [step_of[id(i)] for i in same]
+                if kind == "green":
+                    rows = subtract_green(rows, -1)
+                else:
+                    values = _spread([s[1] if kind == "predictor" else _factors(s[1]) for s in own], [s[2] for s in own], same[0].width, heights)
+                    rows = forward_predictors(rows, heights, values) if kind == "predictor" else cross_colour(rows, values, -1)
+                _unstacked(rows, same)
+    streams = [_fields(*s) for s in write_entropy(inner, main=False)] if inner else []
+    for image, head in zip(images, heads, strict=True):
+        for h in head:
+            image.head += streams[h] if isinstance(h, int) else [h]
+
+
+def _factors(parts: np.ndarray) -> np.ndarray:
+    """Blocks' factors (last axis) as pixels."""
+    return _joined(np.concatenate([np.full((*parts.shape[:2], 1), 255), parts], axis=-1))
 
 
 def prepared(pixels: np.ndarray, width: int, height: int, steps: tuple = ()) -> Image:
-    """An image with transforms applied in order: ("predictor", modes, bits), ("cross", parts, bits), ("green",) or ("palette",)."""
-    head: list[tuple[int, int]] = []
-    for step in steps:
-        head.append((1, 1))
-        if step[0] == "predictor":
-            head += [(PREDICTOR, 2), (step[2] - 2, 3)] + _fields(Image(step[1].astype(np.uint32).ravel() << np.uint32(8), step[1].shape[1], step[1].shape[0]))
-            pixels = forward_predictor(pixels, width, height, step[1], step[2])
-        elif step[0] == "cross":
-            parts = _joined(np.concatenate([np.full((*step[1].shape[:2], 1), 255), step[1]], axis=-1))
-            head += [(CROSS_COLOUR, 2), (step[2] - 2, 3)] + _fields(Image(parts.ravel(), step[1].shape[1], step[1].shape[0]))
-            pixels = cross_colour(pixels, width, height, step[1], step[2], -1)
-        elif step[0] == "green":
-            head.append((SUBTRACT_GREEN, 2))
-            pixels = subtract_green(pixels, -1)
-        else:
-            colours = np.unique(pixels)
-            c = _channels(colours)
-            head += [(PALETTE, 2), (len(colours) - 1, 8)] + _fields(Image(_joined(np.diff(c, axis=0, prepend=0)), len(colours), 1))
-            pixels, width = pack_palette(pixels, width, height, colours)
-    return Image(pixels, width, height, head)
+    """An image under transforms (see `transform`)."""
+    image = Image(pixels, width, height)
+    transform([image], [steps])
+    return image
 
 
 # ---------------------------------------------------------------- reading
@@ -473,23 +599,43 @@ def _direct(lens: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 @lru_cache(256)
-def _length_code(count: int, sent: int) -> tuple[list[int], int]:
+def _length_code(count: int, sent: int) -> tuple[np.ndarray, int]:
     """The lookup table of a code length code, from its count of lengths and these as sent."""
     meta = np.zeros(19, np.int64)
     for k in range(count):
         meta[CODE_ORDER[k]] = sent >> 3 * k & 7
-    table_, bits = _direct(meta)
-    return table_.tolist(), bits
+    return _direct(meta)
+
+
+@dataclass
+class Lengths:
+    """Code lengths still to be read: where they begin, the code they are sent in, the size of the alphabet, how many are sent at most."""
+
+    data: bytes
+    at: int
+    steps: np.ndarray
+    bits: int
+    size: int
+    limit: int
+
+
+@lru_cache(256)
+def _single(symbol: int) -> tuple[np.ndarray, int]:
+    return np.array([symbol << 4], np.uint16), 0
 
 
-def read_code(r: Reader, size: int) -> tuple[np.ndarray, int]:
-    """The lookup table of the prefix code that comes next, over an alphabet of `size` symbols."""
+def read_code(r: Reader, size: int) -> Generator[Lengths, tuple, tuple[np.ndarray, int]]:
+    """The lookup table of the prefix code that comes next, over an alphabet of `size` symbols.
+
+    Lengths that are sent one by one are yielded, and what `read_lengths` makes of them awaited.
+    """
     if r.take(1):
         two, wide = r.take(1), r.take(1)
+        first = r.take(8 if wide else 1)
+        if not two:
+            return _single(first)
         lens = np.zeros(max(size, 256), np.int64)
-        lens[r.take(8 if wide else 1)] = 1
-        if two:
-            lens[r.take(8)] = 1
+        lens[[first, r.take(8)]] = 1
         return _direct(lens)
     count = r.take(4) + 4
     steps, bits = _length_code(count, r.take(3 * count))
@@ -498,37 +644,100 @@ def read_code(r: Reader, size: int) -> tuple[np.ndarray, int]:
         limit = 2 + r.take(2 + 2 * r.take(3))
         if limit > size:
             raise ValueError("more code lengths than symbols")
-    lens, i, last = np.zeros(size, np.int64), 0, 8
-    data, byte, mask = r.data, r.at >> 3, (1 << bits) - 1
-    word = int.from_bytes(data[byte : byte + 8], "little") >> (r.at & 7)
-    have, byte = 64 - (r.at & 7), byte + 8
-    zeros = steps[0] == 1  # length 0 is sent as a single 0
-    while i < size and limit:
-        if have < 32:
-            word |= int.from_bytes(data[byte : byte + 8], "little") << have
-            have, byte = have + 64, byte + 8
-        if zeros and not word & 1:
-            run = min((word & -word).bit_length() - 1 if word else have, have, size - i, limit)
-            i, limit, word, have = i + run, limit - run, word >> run, have - run
-            continue
-        e = steps[word & mask]
-        n, s = e & 15, e >> 4
-        word, have, limit = word >> n, have - n, limit - 1
-        if s < 16:
-            lens[i] = s
-            i += 1
-            last = s or last
-            continue
-        extra, base = ((2, 3), (3, 3), (7, 11))[s - 16]
-        count = base + (word & ((1 << extra) - 1))
-        word, have = word >> extra, have - extra
-        if i + count > size:
-            raise ValueError("code lengths past the alphabet")
-        if s == 16:
-            lens[i : i + count] = last
-        i += count
-    r.at = 8 * byte - have
-    return _direct(lens)
+    found, r.at = yield Lengths(r.data, r.at, steps, bits, size, limit)
+    if found is None:
+        raise ValueError("a prefix code is not complete, or has lengths past its alphabet")
+    return found
+
+
+def read_lengths(asked: list[Lengths]) -> tuple[list[tuple[np.ndarray, int] | None], list[int]]:
+    """The lookup table of each code whose lengths come next (None for a wrong one), and the place in bits where they end.
+
+    A run of zeros and one more length of each code are read at a time.
+    """
+    n = len(asked)
+    parts = [c.data[c.at >> 3 : (c.at >> 3) + 2 * c.size + 8] for c in asked]  # a length takes at most 14 bits
+    raw = np.frombuffer(b"".join(x.ljust(2 * c.size + 16, b"\0") for x, c in zip(parts, asked, strict=True)), np.uint8)
+    window = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)).copy()
+    size = np.array([c.size for c in asked])
+    starts = 8 * (np.cumsum(2 * size + 16) - 2 * size - 16)
+    pos = starts + np.array([c.at & 7 for c in asked])
+    distinct = {id(c.steps): c for c in asked}
+    tables, at = {}, 0
+    for key, c in distinct.items():
+        tables[key] = at
+        at += len(c.steps)
+    steps = np.concatenate([c.steps for c in distinct.values()]).astype(np.int64)
+    base = np.array([tables[id(c.steps)] for c in asked])
+    mask = np.array([(1 << c.bits) - 1 for c in asked], np.uint64)
+    most_zeros = np.where(steps[base] == 1, 40, 0)  # where length 0 is sent as a single 0
+    begin = np.cumsum(size) - size
+    lens, to, end = np.zeros(int(size.sum()), np.uint8), begin.copy(), begin + size
+    limit, last, lane = np.array([c.limit for c in asked]), np.full(n, 8), np.arange(n)
+    ends, wrong = np.zeros(n, np.int64), np.zeros(n, bool)
+    while len(lane):
+        word = window[pos >> 3] >> (pos & 7).astype(np.uint64)
+        run = np.minimum(np.minimum(np.bitwise_count((word & -word) - np.uint64(1)), most_zeros), np.minimum(end - to, limit))
+        pos, to, limit = pos + run, to + run, limit - run
+        done = (to >= end) | (limit <= 0)
+        word >>= run.astype(np.uint64)
+        e = steps[base + (word & mask).astype(np.int64)]
+        e[done] = 0
+        used, symbol = e & 15, e >> 4
+        plain = ~done & (symbol < 16)
+        pos += used
+        lens[to[plain]] = symbol[plain]
+        last = np.where(plain & (symbol > 0), symbol, last)
+        limit -= ~done
+        to += plain
+        for k in np.nonzero(symbol > 15)[0].tolist():
+            s = int(symbol[k])
+            extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+            count = least + (int(word[k]) >> int(used[k]) & ((1 << extra) - 1))
+            pos[k] += extra
+            if to[k] + count > end[k]:
+                wrong[lane[k]] = True
+                count = int(end[k] - to[k])
+            if s == 16:
+                lens[to[k] : to[k] + count] = last[k]
+            to[k] += count
+        done = (to >= end) | (limit <= 0)
+        if done.any():
+            ends[lane[done]] = pos[done]
+            stay = ~done
+            lane, pos, to, end, limit, last, base, mask, most_zeros = (x[stay] for x in (lane, pos, to, end, limit, last, base, mask, most_zeros))
+    found = _tables(lens, size)
+    return [None if w else f for f, w in zip(found, wrong.tolist(), strict=True)], (ends - starts + np.array([c.at & ~7 for c in asked])).tolist()
+
+
+def _tables(lens: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, int] | None]:
+    """The lookup tables (see `_direct`) of codes whose lengths stand one after the other; None for codes that are not complete."""
+    n = len(size)
+    at = np.nonzero(lens)[0]
+    length = lens[at].astype(np.int64)
+    own = np.repeat(np.arange(n), size)[at]
+    symbol = at - (np.cumsum(size) - size)[own]
+    used, most = np.bincount(own, minlength=n), np.zeros(n, np.int64)
+    np.maximum.at(most, own, length)
+    filled = np.bincount(own, weights=1 << (most[own] - length), minlength=n)
+    complete = (used > 1) & (filled == 1 << most)
+    out: list = [None] * n
+    for k in np.nonzero(used[own] == 1)[0].tolist():
+        out[own[k]] = _single(int(symbol[k]))
+    by_most = np.lexsort((np.arange(n), most))
+    rank = np.empty(n, np.int64)
+    rank[by_most] = np.arange(n)
+    order = np.nonzero(complete[own])[0]
+    order = order[np.argsort(rank[own[order]] << 4 | length[order], kind="stable")]
+    values = np.repeat((symbol[order] << 4 | length[order]).astype(np.uint16), 1 << (most[own[order]] - length[order]))
+    begin = 0
+    for bits in np.unique(most[complete]).tolist():
+        codes = by_most[(most[by_most] == bits) & complete[by_most]].tolist()
+        rows = values[begin : begin + (len(codes) << bits)].reshape(len(codes), -1)[:, _REVERSED[: 1 << bits] >> (MAX_BITS - bits)]
+        begin += len(codes) << bits
+        for k, row in zip(codes, rows, strict=True):
+            out[k] = row, bits
+    return out
 
 
 @dataclass
@@ -545,7 +754,7 @@ class Coded:
     meta_bits: int
 
 
-def read_head(r: Reader, width: int, height: int, main: bool) -> Coded:
+def read_head(r: Reader, width: int, height: int, main: bool) -> Generator[Coded | Lengths, tuple, Coded]:
     cache_bits = r.take(4) if r.take(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -553,17 +762,20 @@ def read_head(r: Reader, width: int, height: int, main: bool) -> Coded:
     if main and r.take(1):
         meta_bits = r.take(3) + 2
         w, h = _blocks(width, height, meta_bits)
-        meta = (read_inner(r, w, h) >> np.uint32(8) & np.uint32(0xFFFF)).astype(np.int64)
+        meta = ((yield from read_inner(r, w, h)) >> np.uint32(8) & np.uint32(0xFFFF)).astype(np.int64)
         count = int(meta.max()) + 1
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    groups = [[read_code(r, s) for s in sizes] for _ in range(count)]
+    groups: list = [[] for _ in range(count)]
+    for g in groups:
+        for s in sizes:
+            g.append((yield from read_code(r, s)))
     r.take(0)  # the codes end within the stream
     return Coded(r.data, r.at, width, height, cache_bits, groups, meta, meta_bits)
 
 
-def read_inner(r: Reader, width: int, height: int) -> np.ndarray:
-    coded = read_head(r, width, height, False)
-    (pixels,), (r.at,) = read_tokens([coded])
+def read_inner(r: Reader, width: int, height: int) -> Generator[Coded | Lengths, tuple, np.ndarray]:
+    """The pixels of an image inside the head; its coded form is yielded, and what `read_tokens` makes of it awaited."""
+    pixels, r.at = yield (yield from read_head(r, width, height, False))
     if pixels is None:
         raise ValueError("the stream ends early, or a back-reference leaves the image")
     return pixels
@@ -578,8 +790,10 @@ def read_tokens(images: list[Coded]) -> tuple[list[np.ndarray | None], list[int]
     An image whose tokens go past its stream, or refer to what is not in it, has None for pixels; the others are not touched by it.
     """
     n, room = len(images), 64  # bytes after each stream, more than one token takes
-    starts = np.concatenate(([0], np.cumsum([len(i.data) + room for i in images])))
-    raw = np.frombuffer(b"".join(i.data + b"\0" * room for i in images), np.uint8)
+    skipped = np.array([i.at >> 3 for i in images])
+    parts = [i.data[i.at >> 3 : (i.at >> 3) + 8 * (i.width * i.height + 1)] for i in images]  # a token takes at most 60 bits
+    starts = np.concatenate(([0], np.cumsum([len(x) + room for x in parts])))
+    raw = np.frombuffer(b"".join(x + b"\0" * room for x in parts), np.uint8)
     stop = 8 * (starts[1:] - room)
     broken = np.zeros(n, bool)
     window = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)).copy()  # the 8 bytes from each byte on
@@ -601,7 +815,7 @@ def read_tokens(images: list[Coded]) -> tuple[list[np.ndarray | None], list[int]
     sizes = np.array([i.width * i.height for i in images])
     origin = np.concatenate(([0], np.cumsum(sizes)))
     out = np.zeros(origin[-1], np.uint32)
-    pos = starts[:-1] * 8 + np.array([i.at for i in images])
+    pos = starts[:-1] * 8 + np.array([i.at & 7 for i in images])
     p, end, begin = origin[:-1].copy(), origin[1:].copy(), origin[:-1].copy()
     width = np.array([i.width for i in images])
     group = np.array(first_group)
@@ -694,11 +908,10 @@ def read_tokens(images: list[Coded]) -> tuple[list[np.ndarray | None], list[int]
             ends[lane[done]] = pos[done]
             stay = ~done
             lane, pos, p, end, begin, width, group, meta_at, meta_bits, meta_width, stop = (x[stay] for x in (lane, pos, p, end, begin, width, group, meta_at, meta_bits, meta_width, stop))
-    return [None if bad else out[a:b] for a, b, bad in zip(origin[:-1], origin[1:], broken.tolist(), strict=True)], (ends - starts[:-1] * 8).tolist()
+    return [None if bad else out[a:b] for a, b, bad in zip(origin[:-1], origin[1:], broken.tolist(), strict=True)], (ends - starts[:-1] * 8 + skipped * 8).tolist()
 
 
-def open_stream(file: bytes) -> tuple[Coded, list[tuple], int, int]:
-    """The coded image of a WebP file, the transforms to undo in the order read, and the size in pixels."""
+def _opening(file: bytes) -> Generator[Coded | Lengths, tuple, tuple[Coded, list[tuple], int, int]]:
     if file[:4] != b"RIFF" or file[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     size = int.from_bytes(file[16:20], "little")
@@ -717,16 +930,49 @@ def open_stream(file: bytes) -> tuple[Coded, list[tuple], int, int]:
         if kind in (PREDICTOR, CROSS_COLOUR):
             bits = r.take(3) + 2
             w, h = _blocks(inner, height, bits)
-            undo.append((kind, read_inner(r, w, h).reshape(h, w), bits, inner))
+            undo.append((kind, (yield from read_inner(r, w, h)).reshape(h, w), bits, inner))
         elif kind == SUBTRACT_GREEN:
             undo.append((kind, None, 0, inner))
         else:
             size = r.take(8) + 1
-            colours = _joined(np.cumsum(_channels(read_inner(r, size, 1)), axis=0))
+            colours = _joined(np.cumsum(_channels((yield from read_inner(r, size, 1))), axis=0))
             undo.append((kind, colours, 0, inner))
             share = palette_bits(size)
             inner = (inner + (1 << share) - 1) >> share
-    return read_head(r, inner, height, True), undo, width, height
+    return (yield from read_head(r, inner, height, True)), undo, width, height
+
+
+def open_streams(files: list[bytes]) -> list[tuple[Coded, list[tuple], int, int] | Exception]:
+    """Of each WebP file the coded image, the transforms to undo in the order read, and the size in pixels; or what is wrong with it.
+
+    Codes and the images inside the heads are read in rounds, of each file the next.
+    """
+    out: list = [None] * len(files)
+    heads = [_opening(f) for f in files]
+    waiting: list[tuple[int, tuple | None]] = [(i, None) for i in range(len(files))]
+    while waiting:
+        images, codes = [], []
+        for i, value in waiting:
+            try:
+                asked = heads[i].send(value)
+                (images if isinstance(asked, Coded) else codes).append((i, asked))
+            except StopIteration as e:
+                out[i] = e.value
+            except (ValueError, IndexError) as e:
+                out[i] = e
+        waiting = []
+        for own, read in ((images, read_tokens), (codes, read_lengths)):
+            if own:
+                found = zip(*read([asked for _, asked in own]), strict=True)
+                waiting += [(i, value) for (i, _), value in zip(own, found, strict=True)]
+    return out
+
+
+def open_stream(file: bytes) -> tuple[Coded, list[tuple], int, int]:
+    (found,) = open_streams([file])
+    if isinstance(found, Exception):
+        raise found
+    return found
 
 
 def read_images(files: list[bytes], skip: bool = False) -> list[tuple[np.ndarray, int, int] | None]:
@@ -734,43 +980,47 @@ def read_images(files: list[bytes], skip: bool = False) -> list[tuple[np.ndarray
 
     A damaged or truncated file raises ValueError or, with skip, is None among the others' images.
     """
-    opened: list = []
-    for f in files:
-        try:
-            opened.append(open_stream(f))
-        except (ValueError, IndexError) as e:
-            if not skip:
-                raise ValueError(f"a damaged file: {e}") from e
-            opened.append(None)
-    found = iter(read_tokens([o[0] for o in opened if o])[0] if any(opened) else [])
-    out: list = []
-    for o in opened:
-        pixels = next(found) if o else None
-        try:
-            if pixels is None:
-                raise ValueError("the stream ends early, or a back-reference leaves the image")
-            out.append(_undone(pixels, *o))
-        except (ValueError, IndexError) as e:
-            if not skip:
-                raise ValueError(f"a damaged file: {e}") from e
-            out.append(None)
+    opened = open_streams(files)
+    sound = [i for i, o in enumerate(opened) if not isinstance(o, Exception)]
+    pixels: list = [None] * len(files)
+    if sound:
+        for i, found in zip(sound, read_tokens([opened[i][0] for i in sound])[0], strict=True):
+            opened[i] = opened[i] if found is not None else ValueError("the stream ends early, or a back-reference leaves the image")
+            pixels[i] = found
+    wrong = [o for o in opened if isinstance(o, Exception)]
+    if wrong and not skip:
+        raise ValueError(f"a damaged file: {wrong[0]}") from wrong[0]
+    sound = [i for i in sound if pixels[i] is not None]
+    images = [Image(pixels[i], opened[i][0].width, opened[i][3]) for i in sound]
+    undo(images, [opened[i][1] for i in sound])
+    out: list = [None] * len(files)
+    for i, image in zip(sound, images, strict=True):
+        out[i] = (image.pixels, image.width, image.height)
     return out
 
 
-def _undone(pixels: np.ndarray, coded: Coded, undo: list[tuple], width: int, height: int) -> tuple[np.ndarray, int, int]:
-    """The image with its transforms undone, the last first."""
-    inner = coded.width
-    for kind, data, bits, before in reversed(undo):
-        if kind == PREDICTOR:
-            pixels = inverse_predictor(pixels, before, height, (data >> np.uint32(8) & np.uint32(15)).astype(np.int64), bits)
-        elif kind == CROSS_COLOUR:
-            pixels = cross_colour(pixels, before, height, _channels(data)[..., 1:], bits, 1)
-        elif kind == SUBTRACT_GREEN:
-            pixels = subtract_green(pixels, 1)
-        else:
-            pixels = unpack_palette(pixels, inner, before, height, data)
-        inner = before
-    return pixels, width, height
+def undo(images: list[Image], steps: list[list[tuple]]) -> None:
+    """Undo each image's transforms, the last first; images of one width go through a kind of transform together."""
+    for k in range(1, max(map(len, steps), default=0) + 1):
+        kinds: dict[int, list[tuple[Image, tuple]]] = {}
+        for image, own in zip(images, steps, strict=True):
+            if k <= len(own):
+                kinds.setdefault(own[-k][0], []).append((image, own[-k]))
+        for kind, both in kinds.items():
+            if kind == PALETTE:
+                for image, (_, colours, _, before) in both:
+                    image.pixels, image.width = unpack_palette(image.pixels, image.width, before, image.height, colours), before
+                continue
+            step_of = {id(i): step for i, step in both}
+            for same in _by_width([i for i, _ in both]):
+                rows, heights = _stacked(same)
+                own = [step_of[id(i)] for i in same]
+                if kind == SUBTRACT_GREEN:
+                    rows = subtract_green(rows, 1)
+                else:
+                    values = _spread([s[1] for s in own], [s[2] for s in own], same[0].width, heights)
+                    rows = inverse_predictors(rows, heights, values >> np.uint32(8) & np.uint32(15)) if kind == PREDICTOR else cross_colour(rows, values, 1)
+                _unstacked(rows, same)
 
 
 # ---------------------------------------------------------------- payloads
@@ -802,21 +1052,23 @@ def chosen(payload: bytes, width: int, height: int) -> tuple:
 
 def store(payloads: list[bytes]) -> list[bytes]:
     """A WebP file for each payload; which features it uses depends on the payload alone."""
-    out: list[bytes] = [b""] * len(payloads)
-    classes: dict[int, list[tuple[int, Image]]] = {}
-    for i, payload in enumerate(payloads):
+    images, steps = [], []
+    for payload in payloads:
         width, height = shape_of(len(payload))
-        samples = np.frombuffer(payload.ljust(4 * width * height, b"\0"), np.uint8).reshape(-1, 4)
-        pixels = _joined(samples[:, (3, 0, 1, 2)])  # the payload's bytes are red, green, blue and alpha samples
+        samples = np.frombuffer(payload.ljust(4 * width * height, b"\0"), ">u4").astype(np.uint32)
+        pixels = samples >> np.uint32(8) | samples << np.uint32(24)  # the payload's bytes are red, green, blue and alpha samples
         few = len(pixels) <= 4096 and len(set(pixels[:64].tolist())) <= 16 and len(np.unique(pixels)) <= 16
-        classes.setdefault(8 if len(pixels) >= 512 else 0, []).append((i, prepared(pixels, width, height, (("palette",),) if few else chosen(payload, width, height))))
-    for bits, own in classes.items():
-        size = [(0x2F, 8), (0, 14), (0, 14), (1, 1), (0, 3)]
-        for i, image in own:
-            width, height = shape_of(len(payloads[i]))
-            image.head = [size[0], (width - 1, 14), (height - 1, 14), *size[3:], *image.head, (0, 1)]
-        for (i, _), (stream, n) in zip(own, write_entropy([x for _, x in own], bits), strict=True):
-            out[i] = container(stream[: -(-n // 8)])
+        images.append(Image(pixels, width, height, [(0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)]))
+        steps.append((("palette",),) if few else chosen(payload, width, height))
+    cached = [len(i.pixels) >= 512 for i in images]
+    transform(images, steps)
+    out: list[bytes] = [b""] * len(payloads)
+    for bits in (0, 8):
+        own = [k for k, c in enumerate(cached) if c == (bits > 0)]
+        for k in own:
+            images[k].head.append((0, 1))
+        for k, (stream, n) in zip(own, write_entropy([images[k] for k in own], bits) if own else [], strict=True):
+            out[k] = container(stream[: -(-n // 8)])
     return out
 
 
@@ -824,7 +1076,7 @@ def load(files: list[bytes], sizes: list[int]) -> list[bytes]:
     """The payloads of files, given their sizes."""
     out = []
     for (pixels, _, _), size in zip(read_images(files), sizes, strict=True):
-        out.append(_channels(pixels)[:, (1, 2, 3, 0)].astype(np.uint8).tobytes()[:size])
+        out.append((pixels << np.uint32(8) | pixels >> np.uint32(24)).astype(">u4").tobytes()[:size])
     return out
 
 

@@ -150,3 +150,110 @@ def test_operator(spark):
         assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest())
         assert by_text.setdefault(raw, r[1:]) == r[1:]
     assert media(empty(spark)).collect() == []
+
+
+def test_files_of_a_group_go_together(monkeypatch):
+    """The images inside the heads cost calls by group, not by file."""
+    from subspan.llm import webp
+
+    calls = {}
+    for name in ("write_entropy", "read_tokens"):
+        monkeypatch.setattr(webp, name, lambda *a, _f=getattr(webp, name), _n=name, **k: calls.update({_n: calls.get(_n, 0) + 1}) or _f(*a, **k))
+    made = []
+    for n in (40, 160):
+        raw = [np.random.default_rng(i).bytes(64 * 30) for i in range(n)]
+        assert load(store(raw), [len(r) for r in raw]) == raw
+        made.append(dict(calls))
+        calls.clear()
+    assert made[0] == made[1] and made[0]["write_entropy"] <= 3 and made[0]["read_tokens"] <= 8
+
+
+def plain_prediction(mode, left, top, right, corner):
+    mean = lambda a, b: [(x + y) // 2 for x, y in zip(a, b)]
+    guess = [a + b - c for a, b, c in zip(left, top, corner)]
+    if mode == 11:
+        return left if sum(abs(g - a) for g, a in zip(guess, left)) < sum(abs(g - b) for g, b in zip(guess, top)) else top
+    if mode == 12:
+        return [min(255, max(0, g)) for g in guess]
+    if mode == 13:
+        return [min(255, max(0, a + int((a - c) / 2))) for a, c in zip(mean(left, top), corner)]
+    black = [255, 0, 0, 0]
+    return (black, left, top, right, corner, mean(mean(left, right), top), mean(left, corner), mean(left, top), mean(corner, top), mean(top, right), mean(mean(left, corner), mean(top, right)), 0, 0, 0, black, black)[mode]
+
+
+def test_predictors_of_many_images_by_definition():
+    """All modes, in images of one width and different heights at once, undone by a plain loop."""
+    from subspan.llm.webp import forward_predictors, inverse_predictors
+
+    rng, width = np.random.default_rng(6), 9
+    heights = np.array([1, 12, 3, 30, 12, 7])
+    modes = rng.integers(0, 16, (heights.sum(), width))
+    modes[16:46] = rng.choice([0, 2, 3, 4, 8, 9], (30, width))  # one image of modes that look at the row above only
+    res = rng.integers(0, 1 << 32, modes.shape, dtype=np.uint32)
+    want = []
+    for begin, height in zip(np.cumsum(heights) - heights, heights):
+        out = []
+        for i in range(width * height):
+            y, x = divmod(i, width)
+            mode = 0 if i == 0 else 1 if y == 0 else 2 if x == 0 else int(modes[begin + y, x])
+            at = [out[i - d] if 0 < d <= i else [0] * 4 for d in (1, width, width - 1, width + 1)]
+            r = int(res[begin + y, x])
+            out.append([(a + (r >> s & 255)) & 255 for a, s in zip(plain_prediction(mode, *at), (24, 16, 8, 0))])
+        want += [a << 24 | r << 16 | g << 8 | b for a, r, g, b in out]
+    got = inverse_predictors(res, heights, modes)
+    assert got.ravel().tolist() == want
+    assert (forward_predictors(got, heights, modes) == res).all()
+
+
+def test_cross_colour_by_definition():
+    from subspan.llm.webp import cross_colour
+
+    rng = np.random.default_rng(7)
+    px, parts = rng.integers(0, 1 << 32, (2, 500), dtype=np.uint32)
+    signed = lambda v: (v & 255) - 256 * ((v & 255) > 127)
+    want = []
+    for p, t in zip(px.tolist(), parts.tolist()):
+        red = (p >> 16) + (signed(t) * signed(p >> 8) >> 5) & 255
+        blue = p + (signed(t >> 8) * signed(p >> 8) >> 5) + (signed(t >> 16) * signed(red) >> 5) & 255
+        want.append(p & 0xFF00FF00 | red << 16 | blue)
+    got = cross_colour(px, parts, 1)
+    assert got.tolist() == want and (cross_colour(got, parts, -1) == px).all()
+
+
+def lengths_sent(tokens, size, limit=None):
+    """What a reader is asked for a code whose lengths are sent as (symbol, extra bits): 13 symbols in 4 bits, 6 in 5."""
+    from subspan.llm.webp import Lengths, _direct, canonical
+
+    meta = np.array([4] * 13 + [5] * 6)
+    code, value, at = canonical(meta[None])[0], 0, 3
+    for symbol, extra in tokens:
+        value |= int(code[symbol]) << at
+        at += int(meta[symbol])
+        value |= extra << at
+        at += {16: 2, 17: 3, 18: 7}.get(symbol, 0)
+    return Lengths(value.to_bytes(at // 8 + 1, "little"), 3, *_direct(meta), size, size if limit is None else limit), at
+
+
+def test_code_lengths_in_runs():
+    """Runs of a length and of zeros, a limit on what is sent, and wrong codes among good ones."""
+    from subspan.llm.webp import _direct, read_lengths
+
+    runs = [(18, 127), (17, 7), (6, 0), *[(16, 3)] * 5, (0, 0), (6, 0), (7, 0), *[(16, 3)] * 10, (16, 0), (0, 0)]
+    lens = [0] * 148 + [6] * 31 + [0, 6] + [7] * 64 + [0]
+    first = [(16, 0), (16, 3), (17, 0), (8, 0), *[(16, 3)] * 41]  # 8 is the length before any
+    cases = [
+        (lengths_sent(runs, 300, len(runs)), lens),
+        (lengths_sent([*runs, *[(0, 0)] * (280 - len(lens))], 280), lens),
+        (lengths_sent(first, 280, len(first)), [8] * 9 + [0] * 3 + [8] * 247),
+        (lengths_sent([(0, 0), (5, 0), (18, 127)], 280, 3), [0, 5]),
+        (lengths_sent([(1, 0), (3, 0), (18, 127)], 280, 3), None),
+        (lengths_sent([(1, 0), (1, 0), (18, 127)], 100), None),
+        (lengths_sent([(18, 127), (18, 127)], 280, 2), None),
+    ]
+    found, ends = read_lengths([asked for (asked, _), _ in cases])
+    for ((_, end), want), got, at in zip(cases, found, ends):
+        if want is None:
+            assert got is None
+        else:
+            table, bits = _direct(np.array(want))
+            assert (got[0].tolist(), got[1], at) == (table.tolist(), bits, end)
