@@ -129,9 +129,11 @@ class Bits:
 
 def _previous(key: np.ndarray) -> np.ndarray:
     """For each place the last one before it with an equal key, or -1."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    run = np.cumsum(np.concatenate(([0], key[order[1:]] != key[order[:-1]])))
+    both = np.sort(run << 40 | order)  # equal keys by place
+    order, same = both & ((1 << 40) - 1), np.diff(both >> 40) == 0
     out = np.full(len(key), -1, np.int64)
-    same = key[order[1:]] == key[order[:-1]]
     out[order[1:][same]] = order[:-1][same]
     return out
 
@@ -173,7 +175,9 @@ def tokens_of(pixels: np.ndarray, image: np.ndarray, cache_bits: int, references
     kind, a, b = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     if cache_bits:
         slot = (pixels * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)
-        last = _previous(image.astype(np.int64) << cache_bits | slot.astype(np.int64))
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
+        last = np.full(n, -1, np.int64)
+        last[order[1:]] = np.where((slot[order[1:]] == slot[order[:-1]]) & (image[order[1:]] == image[order[:-1]]), order[:-1], -1)
         hit = (last >= 0) & free
         hit[hit] = pixels[last[hit]] == pixels[hit]
         kind[hit], a[hit] = 1, slot[hit]
@@ -206,10 +210,12 @@ def write_entropy(images: list[Image], cache_bits: int = 0, references: bool = T
     at, kind, a, b = tokens_of(pixels, image, cache_bits, references)
     own, px = image[at], pixels[at].astype(np.int64)
     width = np.array([i.width for i in images])[own]
-    run_symbol, run_extra, run_bits = prefix_of(np.where(kind == 2, a, 1))
-    far_symbol, far_extra, far_bits = prefix_of(np.where(kind == 2, _distance_codes(b, width), 1))
-    green = np.where(kind == 0, px >> 8 & 255, np.where(kind == 1, 280 + a, 256 + run_symbol))
     literal, run = kind == 0, kind == 2
+    runs = np.nonzero(run)[0]
+    run_symbol, run_extra, run_bits, far_symbol, far_extra, far_bits = np.zeros((6, len(at)), np.int64)
+    run_symbol[runs], run_extra[runs], run_bits[runs] = prefix_of(a[runs])
+    far_symbol[runs], far_extra[runs], far_bits[runs] = prefix_of(_distance_codes(b[runs], width[runs]))
+    green = np.where(literal, px >> 8 & 255, np.where(run, 256 + run_symbol, 280 + a))
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     symbols = (green, px >> 16 & 255, px & 255, px >> 24, far_symbol)
     use = (np.ones(len(at), bool), literal, literal, literal, run)
@@ -487,7 +493,8 @@ def unpack_palette(pixels: np.ndarray, narrow: int, width: int, height: int, col
 
 def _fields(data: bytes, n: int) -> list[tuple[int, int]]:
     """The fields of a bit stream, to stand inside a head."""
-    return [(int.from_bytes(data[i : i + 4], "little") & ((1 << min(32, n - 8 * i)) - 1), min(32, n - 8 * i)) for i in range(0, -(-n // 8), 4)]
+    words = np.frombuffer(data, "<u4").tolist()  # 0 past the stream
+    return [*zip(words, [32] * (n // 32)), *([(words[n // 32], n % 32)] if n % 32 else [])]
 
 
 def _by_width(images: list[Image]) -> list[list[Image]]:
@@ -632,10 +639,13 @@ def read_code(r: Reader, size: int) -> Generator[Lengths, tuple, tuple[np.ndarra
     if r.take(1):
         two, wide = r.take(1), r.take(1)
         first = r.take(8 if wide else 1)
-        if not two:
+        second = r.take(8) if two else first
+        if max(first, second) >= size:
+            raise ValueError("a symbol past the alphabet")
+        if first == second:
             return _single(first)
-        lens = np.zeros(max(size, 256), np.int64)
-        lens[[first, r.take(8)]] = 1
+        lens = np.zeros(size, np.int64)
+        lens[[first, second]] = 1
         return _direct(lens)
     count = r.take(4) + 4
     steps, bits = _length_code(count, r.take(3 * count))
@@ -784,8 +794,8 @@ def read_inner(r: Reader, width: int, height: int) -> Generator[Coded | Lengths,
 _NEAR_X, _NEAR_Y = np.array(NEAR).T
 
 
-def read_tokens(images: list[Coded]) -> tuple[list[np.ndarray | None], list[int]]:
-    """The pixels of each image and the place in bits where its tokens end. One token of each image is read at a time.
+def read_tokens(images: list[Coded], few: int = 16) -> tuple[list[np.ndarray | None], list[int]]:
+    """The pixels of each image and the place in bits where its tokens end. One token of each image is read at a time, and when few are left, image by image.
 
     An image whose tokens go past its stream, or refer to what is not in it, has None for pixels; the others are not touched by it.
     """
@@ -847,7 +857,7 @@ def read_tokens(images: list[Coded]) -> tuple[list[np.ndarray | None], list[int]
         bits = (window_at(place) & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
         return np.where(symbol < 4, symbol, 2 + (symbol & 1) << extra) + bits + 1, place + extra
 
-    while len(lane):
+    while len(lane) > few:
         g = group
         if has_meta:
             off = p - begin
@@ -908,9 +918,70 @@ def read_tokens(images: list[Coded]) -> tuple[list[np.ndarray | None], list[int]
             ends[lane[done]] = pos[done]
             stay = ~done
             lane, pos, p, end, begin, width, group, meta_at, meta_bits, meta_width, stop = (x[stay] for x in (lane, pos, p, end, begin, width, group, meta_at, meta_bits, meta_width, stop))
+    for k, i in enumerate(lane.tolist()):
+        own = cache[cache_at[i] : cache_at[i] + (1 << images[i].cache_bits)].tolist() if images[i].cache_bits else None
+        px, ends[i], broken[i] = _read_on(images[i], parts[i], int(pos[k] - 8 * starts[i]), out[begin[k] : p[k]].tolist(), own)
+        out[p[k] : begin[k] + len(px)] = px[p[k] - begin[k] :]
+        ends[i] += 8 * starts[i]
     return [None if bad else out[a:b] for a, b, bad in zip(origin[:-1], origin[1:], broken.tolist(), strict=True)], (ends - starts[:-1] * 8 + skipped * 8).tolist()
 
 
+def _read_on(image: Coded, data: bytes, pos: int, out: list[int], cache: list[int] | None) -> tuple[list[int], int, bool]:
+    """The pixels of an image, the first of which are known, the place in bits where its tokens end, and whether they are broken."""
+    size, stop, width, broken = image.width * image.height, 8 * len(data), image.width, False
+    groups = [[(values.tolist(), (1 << bits) - 1) for values, bits in g] for g in image.groups]
+    meta = image.meta.tolist() if image.meta is not None else None
+    meta_width = _blocks(width, image.height, image.meta_bits)[0]
+    shift = 32 - image.cache_bits
+    ((green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask), (far, far_mask)) = groups[0]
+    while len(out) < size:
+        if meta:
+            y, x = divmod(len(out), width)
+            ((green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask), (far, far_mask)) = groups[meta[(y >> image.meta_bits) * meta_width + (x >> image.meta_bits)]]
+        word = int.from_bytes(data[pos >> 3 : (pos >> 3) + 9], "little") >> (pos & 7)
+        e = green[word & green_mask]
+        symbol, n = e >> 4, e & 15
+        word >>= n
+        pos += n
+        if symbol < 256:
+            r = red[word & red_mask]
+            word >>= r & 15
+            b = blue[word & blue_mask]
+            word >>= b & 15
+            a = alpha[word & alpha_mask]
+            pos += (r & 15) + (b & 15) + (a & 15)
+            new = [a >> 4 << 24 | r >> 4 << 16 | symbol << 8 | b >> 4]
+        elif symbol >= 280:
+            new = [cache[symbol - 280]]
+        else:
+            extra = max(0, symbol - 258 >> 1)
+            symbol -= 256
+            length = (symbol if symbol < 4 else 2 + (symbol & 1) << extra) + (word & ((1 << extra) - 1)) + 1
+            word >>= extra
+            pos += extra
+            e = far[word & far_mask]
+            symbol, n = e >> 4, e & 15
+            word >>= n
+            extra = max(0, symbol - 2 >> 1)
+            back = (symbol if symbol < 4 else 2 + (symbol & 1) << extra) + (word & ((1 << extra) - 1)) + 1
+            pos += n + extra
+            back = back - len(NEAR) if back > len(NEAR) else max(1, NEAR[back - 1][0] + NEAR[back - 1][1] * width)
+            if back > len(out) or length > size - len(out):
+                broken = True
+                break
+            new = out[-back : len(out) - back + length]
+            if length > back:
+                new = (new * (length // back + 1))[:length]
+        out += new
+        if cache is not None:
+            for px in new:
+                cache[(px * CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift] = px
+        if pos > stop:
+            broken = True
+            break
+    return out, pos, broken
+
+
 def _opening(file: bytes) -> Generator[Coded | Lengths, tuple, tuple[Coded, list[tuple], int, int]]:
     if file[:4] != b"RIFF" or file[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
@@ -1037,15 +1108,13 @@ def chosen(payload: bytes, width: int, height: int) -> tuple:
     """The transforms that a payload is stored under: by its checksum, as none is always smaller for text.
 
     One payload in four each gets the predictor, cross-colour, subtract-green, and all three, with
-    modes and factors that differ from block to block; those of few colours get a palette instead. Images of over 1,024
-    pixels are predicted by the modes that need no pixel of the same row.
+    modes and factors that differ from block to block; those of few colours get a palette instead.
     """
     sum_ = zlib.crc32(payload)
     bits = 4 if width * height <= 1 << 14 else 7
     w, h = _blocks(width, height, bits)
     place = np.arange(w * h).reshape(h, w) + (sum_ >> 9) % 14
-    modes = np.arange(14) if width * height <= 1024 else np.array([0, 2, 3, 4, 8, 9])
-    predictor = ("predictor", modes[place % len(modes)], bits)
+    predictor = ("predictor", place % 14, bits)
     cross = ("cross", np.stack([place * 7 % 256, place * 11 % 256, place * 13 % 256], axis=-1), bits)
     return ((predictor,), (cross,), (("green",),), (("green",), predictor, cross))[sum_ % 4]
 

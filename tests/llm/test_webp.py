@@ -257,3 +257,34 @@ def test_code_lengths_in_runs():
         else:
             table, bits = _direct(np.array(want))
             assert (got[0].tolist(), got[1], at) == (table.tolist(), bits, end)
+
+
+def test_large_images_use_every_mode():
+    raw = next(r for i in range(40) if zlib.crc32(r := np.random.default_rng(i).bytes(64 * 16 * 20)) % 4 == 0)
+    (kind, blocks, _, _), = open_stream(store([raw])[0])[1]
+    assert kind == PREDICTOR and set((blocks >> 8 & 255).ravel().tolist()) == set(range(14))
+    assert load(store([raw]), [len(raw)]) == [raw]
+
+
+def test_images_read_together_or_one_by_one():
+    """Two groups of codes by block, a cache, references and streams that end early: token by token of all images, and image by image."""
+    from subspan.llm.webp import Coded, _direct, read_tokens
+
+    rng = np.random.default_rng(8)
+    mixed = np.array([9] * 256 + [4] * 4 + [0] * 20 + [4] * 4)  # literals, runs, cache
+    plain, far = np.array([8] * 256), np.array([2] * 4 + [0] * 36)
+    groups = [[_direct(x) for x in (green, plain, plain, plain, far)] for green in (mixed, plain)]
+    images = [Coded(rng.bytes(400 if i % 5 else 60), 3, 3, 20, 2, groups, rng.integers(0, 2, 5) if i % 3 else None, 2) for i in range(200)]
+    together, ends = read_tokens(images, few=0)
+    assert 20 < sum(x is None for x in together) < 180
+    for few in (7, 200):
+        got, places = read_tokens(images, few=few)
+        for x, y, a, b in zip(together, got, ends, places):
+            assert (x is None and y is None) or (x.tolist(), a) == (y.tolist(), b)
+
+
+def test_symbol_past_the_alphabet():
+    from subspan.llm.webp import Reader, read_code
+
+    with pytest.raises(ValueError):
+        next(read_code(Reader(bytes([0b101 | 200 << 3 & 255, 200 >> 5, 0])), 40))  # one symbol, 200, among 40 distances
